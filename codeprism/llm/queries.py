@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import line_dedup, quality, url_filter
+from codeprism.llm import bpe, line_dedup, packing, quality, url_filter
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -20,12 +20,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_url_filter, op10_host_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_url_filter, op6_packing, op9_bpe, op10_host_quality)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
