@@ -1,15 +1,16 @@
 """Packing of tokenized documents into sequences by cutting-stock column generation.
 
-A document's ids are cut into whole sequences of ``size`` ids and a rest.  The rests'
-lengths form a histogram of at most ``size - 1`` entries, which is all the driver
-sees.  A linear program over patterns (multisets of lengths that fill a sequence
-exactly) covers as much of it as possible: the simplex method starts from no patterns
-and a knapsack dynamic program prices new ones until none helps.  The solution is
-rounded down; the rests are ranked within their length, and each rank range belongs
-to one place of one pattern, so every executor finds a document's sequence from a
-small table.  What rounding leaves (a few rests per pattern, however large the corpus)
-is laid end to end and cut at every ``size`` ids; the end of it goes into sequences
-of power-of-two length.  So no id of padding is needed.
+A document's ids are cut into whole sequences of ``size`` ids, a body of a multiple of
+``unit`` ids and a tail of fewer than ``unit``.  The bodies' lengths form a histogram
+of at most ``size / unit - 1`` entries, which is all the driver sees.  A linear program
+over patterns (multisets of lengths that fill a sequence exactly) covers as much of it
+as possible: the simplex method starts from no patterns and a knapsack dynamic program
+prices new ones until none helps.  The solution is rounded down; documents are ranked
+within their length, and each rank range belongs to one place of one pattern, so every
+executor finds a document's sequence from a small table.  Bodies that the rounding or
+a lack of partners leaves, and all tails, are laid end to end and cut at every ``size``
+ids; the end of it goes into sequences of power-of-two length.  So no id of padding is
+needed.
 
 Ranks come from a window over (length, bucket of documents) plus offsets, so that a
 length that a third of all documents share is not ranked by one task.
@@ -32,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprism.llm.bpe import WHITE, in_batches
-from codeprism.llm.common import materialize
+from codeprism.llm.common import broadcast_if_small, materialize
 
-SIZE = 1024
-#: Patterns that one run of the dynamic program may add.
-COLUMNS = 40
+SIZE, UNIT = 1024, 16
+#: Cut bodies whose ids are read again: broadcast up to this number, joined by a shuffle beyond it.
+BROADCAST_CUTS = 100_000
 #: Chunks whose ids a worker keeps in each of two generations.
 KEPT_CHUNKS = 250_000
 
@@ -92,85 +93,93 @@ def chunk_tokens(path: str) -> ChunkTokens:
     return ChunkTokens(path)
 
 
-def fill_patterns(demand: dict[int, int], size: int = SIZE, gap: float = 0.01) -> list[tuple[dict[int, int], float]]:
+def fill_patterns(demand: dict[int, int], size: int) -> list[tuple[dict[int, int], float]]:
     """Patterns ({length: copies}, filling ``size`` exactly) and how often to use each.
 
     Maximizes the sequences that are filled without using more of a length than there
     is.  Column generation: with dual prices y of the lengths, the dynamic program
     finds the cheapest way to fill a sequence; if it costs less than 1, the pattern
-    enters the basis.  Stops when the best conceivable gain is below ``gap`` of the total.
+    enters the basis; a negative price lets its length's slack enter.
     """
     lengths = sorted(r for r, n in demand.items() if n > 0)
     if not lengths:
         return []
     k, w = len(lengths), np.array(lengths)
-    b = np.array([demand[r] for r in lengths], float)
-    inverse, x, cost = np.eye(k), b.copy(), np.zeros(k)
+    inverse, x, cost = np.eye(k), np.array([demand[r] for r in lengths], float), np.zeros(k)
     basis: list[dict[int, int] | None] = [None] * k
-    total = float(w @ b) / size
-    for _ in range(20 * k):
-        price = np.maximum(cost @ inverse, 0)
-        best, take = np.full(size + 1, np.inf), np.full(size + 1, -1)
-        best[0] = 0
-        for c in range(lengths[0], size + 1):
-            n = bisect_right(lengths, c)
-            costs = best[c - w[:n]] + price[:n]
-            j = int(costs.argmin())
-            best[c], take[c] = costs[j], j
-        gain = 1 - best[size]
-        if not np.isfinite(best[size]) or gain <= 1e-7 or gain * total <= gap * max(1.0, float(cost @ x)):
-            break
-        # The best pattern, then the best ones that hold each other length, while they still help.
-        through = best[size - w] + price
-        for first in np.argsort(through, kind="stable")[:COLUMNS]:
-            if through[first] >= 1 - gain / 2:
+    for _ in range(200 * k):
+        y = cost @ inverse
+        worst = int(y.argmin())
+        if y[worst] < -1e-9:
+            column, value, pattern = np.eye(k)[worst], 0.0, None
+        else:
+            best, take = np.full(size + 1, np.inf), np.full(size + 1, -1)
+            best[0] = 0
+            for c in range(lengths[0], size + 1):
+                n = bisect_right(lengths, c)
+                costs = best[c - w[:n]] + y[:n]
+                j = int(costs.argmin())
+                best[c], take[c] = costs[j], j
+            if best[size] >= 1 - 1e-7:
                 break
-            column, c = np.zeros(k), size - lengths[first]
-            column[first] = 1
+            column, c = np.zeros(k), size
             while c:
                 column[take[c]] += 1
                 c -= lengths[take[c]]
-            d = inverse @ column
-            if 1 - cost @ d <= 1e-7:
-                continue
-            ratios = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-            out = int(ratios.argmin())
-            theta = ratios[out]
-            x -= theta * d
-            x[out] = theta
-            np.maximum(x, 0, out=x)
-            row = inverse[out] / d[out]
-            inverse -= np.outer(d, row)
-            inverse[out] = row
-            cost[out] = 1.0
-            basis[out] = {lengths[j]: int(n) for j, n in enumerate(column) if n}
+            value, pattern = 1.0, {lengths[j]: int(n) for j, n in enumerate(column) if n}
+        d = inverse @ column
+        ratios = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+        out = int(ratios.argmin())
+        theta = ratios[out]
+        x -= theta * d
+        x[out] = theta
+        np.maximum(x, 0, out=x)
+        row = inverse[out] / d[out]
+        inverse -= np.outer(d, row)
+        inverse[out] = row
+        cost[out], basis[out] = value, pattern
     return [(p, float(v)) for p, v in zip(basis, x) if p and v > 0]
 
 
 class Layout:
-    """Where the rest of length r and rank k goes; small enough for every task."""
+    """Where the body and tail of a document of rest r (ids after its whole sequences) and rank k go.
+
+    ``demand``: documents by rest.  The object is small enough for every task.
+    """
 
-    def __init__(self, demand: dict[int, int], size: int = SIZE):
-        self.size = size
-        used = dict.fromkeys(demand, 0)
-        self.places: dict[int, list[tuple[int, int, int, int]]] = {r: [] for r in demand}
+    def __init__(self, demand: dict[int, int], size: int = SIZE, unit: int = UNIT):
+        self.size, self.unit = size, unit
+        bodies: dict[int, int] = {}
+        tails: dict[int, int] = {}
+        #: Rank of a rest's first document among the bodies and among the tails of its length.
+        self.first: dict[int, tuple[int, int]] = {}
+        for r in sorted(demand):
+            body, tail = r // unit, r % unit
+            self.first[r] = bodies.get(body, 0), tails.get(tail, 0)
+            bodies[body], tails[tail] = bodies.get(body, 0) + demand[r], tails.get(tail, 0) + demand[r]
+        bodies.pop(0, None), tails.pop(0, None)
+        used = dict.fromkeys(bodies, 0)
+        self.places: dict[int, list[tuple[int, int, int, int]]] = {b: [] for b in bodies}
         sequence = 0
-        for pattern, times in fill_patterns(demand, size):
-            times = min([int(times + 1e-6), *((demand[r] - used[r]) // n for r, n in pattern.items())])
+        for pattern, times in fill_patterns(bodies, size // unit):
+            times = min([int(times + 1e-6), *((bodies[b] - used[b]) // n for b, n in pattern.items())])
             if times <= 0:
                 continue
             offset = 0
-            for r, n in sorted(pattern.items()):
-                self.places[r].append((used[r], n, sequence, offset))
-                used[r] += n * times
-                offset += n * r
+            for b, n in sorted(pattern.items()):
+                self.places[b].append((used[b], n, sequence, offset))
+                used[b] += n * times
+                offset += n * b * unit
             sequence += times
-        self.used, self.first_left = used, sequence
-        self.left_at, at = {}, 0
-        for r in sorted(demand):
-            self.left_at[r] = at
-            at += r * (demand[r] - used[r])
-        #: Edges of the sequences that the left rests are cut into.
+        self.used, self.first_left, at = used, sequence, 0
+        self.body_at, self.tail_at = {}, {}
+        for b in sorted(bodies):
+            self.body_at[b] = at
+            at += b * unit * (bodies[b] - used[b])
+        for t in sorted(tails):
+            self.tail_at[t] = at
+            at += t * tails[t]
+        #: Edges of the sequences that the stream is cut into: whole ones, then powers of two.
         self.whole = at // size
         self.edges = [self.whole * size]
         for bit in range(size.bit_length() - 1, -1, -1):
@@ -178,15 +187,9 @@ class Layout:
                 self.edges.append(self.edges[-1] + (1 << bit))
         self.sequences = sequence + self.whole + len(self.edges) - 1
 
-    def pieces(self, r: int, rank: int) -> list[tuple[int, int, int, int]]:
-        """(start in the rest, length, sequence, offset) of the pieces of one rest."""
-        if rank < self.used[r]:
-            spans = self.places[r]
-            start, n, sequence, offset = spans[bisect_right(spans, (rank, 1 << 60)) - 1]
-            turn, slot = divmod(rank - start, n)
-            return [(0, r, sequence + turn, offset + slot * r)]
-        begin = at = self.left_at[r] + (rank - self.used[r]) * r
-        end, out = begin + r, []
+    def stream(self, begin: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of the pieces of ids ``begin`` to ``begin + length`` of the stream."""
+        at, end = begin, begin + length
         while at < end:
             if at < self.edges[0]:
                 k, offset = divmod(at, self.size)
@@ -195,27 +198,44 @@ class Layout:
                 i = bisect_right(self.edges, at) - 1
                 k, offset, stop = self.whole + i, at - self.edges[i], self.edges[i + 1]
             stop = min(stop, end)
-            out.append((at - begin, stop - at, self.first_left + k, offset))
+            yield at - begin, stop - at, self.first_left + k, offset
             at = stop
-        return out
+
+    def body(self, r: int, rank: int) -> list[tuple[int, int, int, int]]:
+        b, rank = r // self.unit, rank + self.first[r][0]
+        if not b:
+            return []
+        if rank < self.used[b]:
+            spans = self.places[b]
+            start, n, sequence, offset = spans[bisect_right(spans, (rank, 1 << 60)) - 1]
+            turn, slot = divmod(rank - start, n)
+            return [(0, b * self.unit, sequence + turn, offset + slot * b * self.unit)]
+        return list(self.stream(self.body_at[b] + (rank - self.used[b]) * b * self.unit, b * self.unit))
+
+    def tail(self, r: int, rank: int) -> list[tuple[int, int, int, int]]:
+        t = r % self.unit
+        return list(self.stream(self.tail_at[t] + (rank + self.first[r][1]) * t, t)) if t else []
 
 
-def token_table(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    """doc_id, h (hash of the text), doc_tokens and the CRC-32 of each whole sequence and of the rest."""
+def token_table(docs: DataFrame, tokenizer: str, size: int = SIZE, unit: int = UNIT) -> DataFrame:
+    """doc_id, h (hash of the text), doc_tokens, the CRC-32 of each whole sequence and of the body, and the tail's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunk_tokens(tokenizer)
         for b in batches:
-            tokens, sums = [], []
+            tokens, sums, tails = [], [], []
             for texts in in_batches(x.as_py() for x in b["text"]):
                 for t in texts:
                     ids = coder.encode(t) + bytes(4)
-                    tokens.append(len(ids) // 4)
-                    sums.append([zlib.crc32(ids[i : i + 4 * size]) for i in range(0, len(ids), 4 * size)])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(tokens, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "h", "doc_tokens", "sums"])
+                    n = len(ids) // 4
+                    tail = 4 * (n - n % size % unit)
+                    tokens.append(n)
+                    sums.append([zlib.crc32(ids[i : min(i + 4 * size, tail)]) for i in range(0, tail, 4 * size)])
+                    tails.append(ids[tail:])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(tokens, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "h", "doc_tokens", "sums", "tail"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, doc_tokens long, sums array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, doc_tokens long, sums array<long>, tail binary")
 
 
 def _ranked(tokens: DataFrame, size: int) -> tuple[DataFrame, dict[int, int], int]:
@@ -234,34 +254,37 @@ def _ranked(tokens: DataFrame, size: int) -> tuple[DataFrame, dict[int, int], in
     offsets = groups.select("rest", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), (F.coalesce(F.sum("w").over(earlier), F.lit(0)) + base).alias("w0"))
     own = Window.partitionBy("rest", "bucket").orderBy("doc_id", "h")
     ranked = keyed.select("*", (F.row_number().over(own) - 1).alias("k"), F.coalesce(F.sum("whole").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("wk"))
-    out = ranked.join(offsets, ["rest", "bucket"]).select("doc_id", "h", "doc_tokens", "sums", "rest", (F.col("k") + F.col("n0")).alias("rank"), (F.col("wk") + F.col("w0")).alias("whole_at"))
+    out = ranked.join(offsets, ["rest", "bucket"]).select("doc_id", "h", "doc_tokens", "sums", "tail", "rest", (F.col("k") + F.col("n0")).alias("rank"), (F.col("wk") + F.col("w0")).alias("whole_at"))
     return out, {s["rest"]: s["n"] for s in sums if s["rest"]}, before
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, unit: int = UNIT) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
     kind = dict(docs.dtypes)["doc_id"]
-    tokens = materialize(token_table(docs, tokenizer, size))
+    tokens = materialize(token_table(docs, tokenizer, size, unit))
     ranked, demand, wholes = _ranked(tokens, size)
-    layout = Layout(demand, size)
+    layout = Layout(demand, size, unit)
     names = ["doc_id", "h", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, h, n, sums, rest, rank, at in zip(*(b[c].to_pylist() for c in ("doc_id", "h", "doc_tokens", "sums", "rest", "rank", "whole_at"))):
+            for doc, h, n, sums, tail, rest, rank, at in zip(*(b[c].to_pylist() for c in ("doc_id", "h", "doc_tokens", "sums", "tail", "rest", "rank", "whole_at"))):
                 for i in range(n // size):
                     out.append((doc, h, i * size, size, sums[i], n, layout.sequences + at + i, 0))
-                for start, length, sequence, offset in layout.pieces(rest, rank) if rest else ():
-                    out.append((doc, h, n - rest + start, length, sums[-1] if length == rest else None, n, sequence, offset))
+                for start, length, sequence, offset in layout.body(rest, rank) if rest else ():
+                    out.append((doc, h, n - rest + start, length, sums[-1] if length == rest - rest % unit else None, n, sequence, offset))
+                for start, length, sequence, offset in layout.tail(rest, rank) if rest else ():
+                    out.append((doc, h, n - rest % unit + start, length, zlib.crc32(tail[4 * start : 4 * (start + length)]), n, sequence, offset))
             arrays = [pa.array(x, b.schema.field("doc_id").type if i == 0 else pa.int64()) for i, x in enumerate(zip(*out) if out else [()] * 8)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     pieces = materialize(ranked.mapInArrow(place, f"doc_id {kind}, h long, start long, length long, crc long, doc_tokens long, sequence_id long, offset long"))
-    # Only rests that the rounding left and an edge cuts lack a sum: at most two pieces for each sequence of those.
+    # Only bodies of the stream that an edge cuts lack a sum: at most two for each of its sequences.
     cut = pieces.where(F.col("crc").isNull()).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
+    cut = broadcast_if_small(cut, BROADCAST_CUTS)
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("x"), "text")
-    wanted = texts.join(F.broadcast(cut), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("h"))).select("doc_id", "h", "text", "cuts").dropDuplicates(["doc_id", "h"])
+    wanted = texts.join(cut, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("h"))).select("doc_id", "h", "text", "cuts").dropDuplicates(["doc_id", "h"])
 
     def sum_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = chunk_tokens(tokenizer)
@@ -277,4 +300,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFra
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x")) & (F.col("start") == F.col("s")) & (F.col("length") == F.col("l"))
     known, lacking = pieces.where(F.col("crc").isNotNull()), pieces.where(F.col("crc").isNull())
     out = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    return known.withColumnRenamed("crc", "ids_crc32").select(*out).unionByName(lacking.join(F.broadcast(sums), same).withColumnRenamed("found", "ids_crc32").select(*out))
+    return known.withColumnRenamed("crc", "ids_crc32").select(*out).unionByName(lacking.join(sums, same).withColumnRenamed("found", "ids_crc32").select(*out))
