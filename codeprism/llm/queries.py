@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, line_dedup, packing, quality, url_filter
+from codeprism.llm import bpe, line_dedup, packing, quality, simhash, url_filter
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -26,6 +26,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -39,7 +43,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_url_filter, op6_packing, op9_bpe, op10_host_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_url_filter, op5_simhash, op6_packing, op9_bpe, op10_host_quality)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
