@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filter
+from codeprism.llm import bpe, fingerprints, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filter
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_versions(read(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -51,7 +55,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op9_bpe, op10_host_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op9_bpe, op10_host_quality)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
