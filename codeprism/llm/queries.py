@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, fingerprints, line_dedup, packing, pii, quality, simhash, suffix_dedup, url_filter
+from codeprism.llm import bpe, fingerprints, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -46,6 +46,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -55,7 +59,7 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op9_bpe, op10_host_quality)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op8_lm_score, op9_bpe, op10_host_quality)}
 
 
 def _terms(terms: tuple[str, ...]) -> str:

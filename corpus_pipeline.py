@@ -1,10 +1,15 @@
-"""Corpus pipeline: five of the training-data operators in a row over ``documents``."""
+"""Corpus pipeline: five of the training-data operators in a row over ``documents``.
+
+Each stage takes what its predecessor kept and returns the columns of documents, all
+but the last, which returns the packed pieces.  ``run`` writes each stage's result to
+the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeprism.llm import line_dedup, quality
+from codeprism.llm import line_dedup, packing, pii, quality, simhash
 from codeprism.llm.common import stored
 
 
@@ -13,12 +18,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that spread over many sites."""
+def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; lines that spread over many sites stay only where they occur first."""
     return line_dedup.dedup_lines(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup_stage)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of linked fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", cross_site_lines), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("packing", packed)]
 
 #: SimHash groups and BPE token ids are not expressible in SQL.
 ORACLE_SQL = None
