@@ -106,5 +106,6 @@ def keep_good(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     row = F.struct(*[docs[c] for c in docs.columns])
     judged = text_metrics(docs, row, F.col("source")).withColumnsRenamed({"k0": "row", "k1": "host"})
     bad = rejected_hosts(judged.select("host", "base_failed"), host_limit)
-    kept = judged.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
-    return kept.select("row.*")
+    # A generator, since a filter would be pushed below the projections and repeat their arrays per element.
+    passed = judged.select("row", "host", F.explode(F.filter(F.array("base_failed"), lambda failed: ~failed)))
+    return passed.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti").select("row.*")
