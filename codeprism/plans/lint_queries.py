@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeprism.functions.text import STRING
-from codeprism.operators import formatting, reporting, rules
+from codeprism.operators import formatting, reporting, rules, structure
 from codeprism.operators.rules import ID, compiled, facts_sql
 from codeprism.sources import corpus, files
 from codeprism.sources.corpus import relation
@@ -126,3 +126,21 @@ query("stream_debounce", """SELECT user_id, count(*) AS n, min(ts) AS first, max
   FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, batch""", tables=False)(
     lambda spark, sf_dir: changes.debounced_batch(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", 7200)
 )
+
+
+def _blocks(kind: str, opens: str, closes: str) -> str:
+    return f"""SELECT file_path, '{kind}' AS kind, line, 1 AS step FROM facts WHERE {duck(f"m[c, {rules.starts(opens)}]")} UNION ALL SELECT file_path, '{kind}', line, -1 FROM facts WHERE {duck(f"m[c, {rules.starts(closes)}]")}"""
+
+
+BLOCKS = f"""mark AS ({' UNION ALL '.join(_blocks(k, *v) for k, v in structure.BLOCKS.items())}),
+  placed AS (SELECT *, sum(step) OVER (PARTITION BY file_path, kind ORDER BY line) + CASE WHEN step < 0 THEN 1 ELSE 0 END AS depth FROM mark),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY file_path, kind, depth, step ORDER BY line) AS nth FROM placed),
+  block AS (SELECT file_path, kind, o.line AS start_line, x.line AS end_line, CAST(depth AS BIGINT) AS depth FROM (SELECT * FROM numbered WHERE step > 0) o JOIN (SELECT * FROM numbered WHERE step < 0) x USING (file_path, kind, depth, nth) WHERE x.line >= o.line AND depth > 0)"""
+query("src_blocks", f"WITH {FACTS}, {BLOCKS} SELECT * FROM block")(lambda r: structure.blocks(_facts(r)))
+query("src_regions", rf"WITH {FACTS}, {BLOCKS} SELECT block.file_path, regexp_extract(c, '^#\S+\s+({ID})', 1) AS name, start_line, end_line FROM block JOIN facts ON facts.file_path = block.file_path AND facts.line = start_line WHERE kind = 'region'")(lambda r: structure.regions(_facts(r)))
+query("src_enclosing_blocks", f"""WITH {FACTS}, {BLOCKS} SELECT file_path, line, kind, start_line, end_line, depth, row_number() OVER (PARTITION BY file_path, line ORDER BY start_line DESC, end_line, kind) AS nesting
+  FROM (SELECT file_path, line FROM facts WHERE line % 10 = 0) p JOIN block USING (file_path) WHERE line BETWEEN start_line AND end_line""")(lambda r: structure.enclosing(structure.blocks(_facts(r)), r("source_lines").where("line % 10 = 0").select("file_path", "line")).select("file_path", "line", "kind", "start_line", "end_line", "depth", "nesting"))
+query("src_highlight", """SELECT file_path, line, count(*) AS n FROM (SELECT file_path, line, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') || ' ', '(?i)[^\\p{L}\\p{N}_]message[^\\p{L}\\p{N}_]')) FROM source_lines) q GROUP BY 1, 2""")(lambda r: structure.highlights(r("source_lines"), "Message").groupBy("file_path", "line").agg(F.count(F.lit(1)).alias("n")))
+query("src_semantic_tokens")(lambda r: structure.semantic_tokens(r("source_lines")))
+query("src_locals")(lambda r: structure.locals_of(_facts(r)))
+query("type_inference")(lambda r: structure.inferred_types(_facts(r)))
