@@ -41,7 +41,7 @@ def completions(types: DataFrame, type_name: str, prefix: str = "") -> DataFrame
 def search(types: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Names that contain ``text``: globals first, then each type followed by its methods."""
     has = F.contains(fold(F.col("name")), fold(F.lit(text))) | F.contains(fold(F.coalesce("name_en", F.lit(""))), fold(F.lit(text)))
-    tops = types.select(F.when("is_global", 0).otherwise(1).alias("rank"), F.col("name").alias("type"), F.lit(-1).alias("ord"), "name", "name_en")
+    tops = types.select(F.when(F.col("is_global"), 0).otherwise(1).alias("rank"), F.col("name").alias("type"), F.lit(-1).alias("ord"), "name", "name_en")
     methods = members(types).where("kind = 'method'").select(F.lit(1).alias("rank"), "type", "ord", "name", "name_en")
     return tops.unionByName(methods).where(has).orderBy("rank", "type", "ord").limit(limit).select("type", "name", "name_en")
 

@@ -37,10 +37,14 @@ def is_excluded(path: Column, globs: Sequence[str]) -> Column:
     tests = [F.lit(False)]
     for glob in globs:
         pattern = fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
-        tests += [path.rlike(f"^{pattern}"), F.exists(F.split(path, "/"), lambda p, pattern=pattern: p.rlike(f"^{pattern}"))]
+        tests += [path.rlike(f"^{pattern}"), _any_part(path, f"^{pattern}")]
     return F.array_contains(F.array(*tests), True)
 
 
+def _any_part(path: Column, pattern: str) -> Column:
+    return F.exists(F.split(path, "/"), lambda part: part.rlike(pattern))
+
+
 def lines_of(modules: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, line (from 1), text: one row per line; CRLF and CR end lines too, a final newline adds none."""
     plain = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n$", "")
