@@ -63,8 +63,10 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL009", "SelfAssign", "W", True, "lhs <> '' AND lower(lhs) = lower(rhs)"),
     ("BSL010", "UselessReturn", "I", True, f"m[c, ^(?:{RETURN})\\s*;?$] AND m[n1, {starts(END_PROC)}]"),
     ("BSL012", "UsingHardcodeSecretInformation", "E", True, r'm[text, (?:пароль|password|pwd|secret|секрет|token|токен)[\p{L}\p{N}_]*\s*=\s*"[^"]+"]'),
+    ("BSL013", "CommentedCode", "I", False, f"m[note, {CODE_COMMENT}] AND m[t1, {CODE_COMMENT}]"),
     ("BSL014", "LineLength", "I", True, "length(text) > 120"),
     ("BSL016", "NonStandardRegion", "I", True, f"m[c, {starts(REGION)}] AND NOT m[c, ^(?:{REGION})\\s+(?:{STANDARD_REGIONS})$]"),
+    ("BSL017", "CommandModuleExportMethods", "W", True, f"head = 1 AND m[c, {bounded(EXPORT)}] AND m[file_path, /(?:Commands|Forms)/]"),
     ("BSL018", "RaiseExceptionWithLiteral", "W", False, rf'm[c, ^(?:{RAISE})\s*\(?""\)?;?$]'),
     ("BSL020", "NestedStatements", "W", True, f"depth > 4 AND m[c, {starts(IF + '|' + LOOP)}]"),
     ("BSL022", "DeprecatedMessage", "W", True, f"m[code, {call('Предупреждение|Warning|DoMessageBox')}]"),
@@ -76,6 +78,7 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL029", "MagicNumber", "I", True, f"m[code, {NUMBER % '2-9'}]"),
     ("BSL030", "SemicolonPresence", "I", True, f"head = 1 AND m[c, ;$]"),
     ("BSL033", "CreateQueryInCycle", "W", True, f"loops > 0 AND m[code, {member('Выполнить|Execute')}]"),
+    ("BSL036", "IfConditionComplexity", "W", True, f"m[c, ^(?:{IF}|{ELSIF})\\s.*(?:\\s(?:И|ИЛИ|And|Or)\\s.*){{4,}}]"),
     ("BSL037", "OverrideBuiltinMethod", "W", True, f"head = 1 AND m[c, ^(?:{PROC}|{FUNC})\\s+(?:Сообщить|Message|Формат|Format|Найти|Find|Тип|Type|Число|Number|Строка|String|Дата|Date)\\s*\\(]"),
     ("BSL038", "StringConcatenationInLoop", "W", True, f"loops > 0 AND m[code, {STRING_SUM}]"),
     ("BSL039", "NestedTernaryOperator", "I", True, r"m[code, \?\s*\(.*\?\s*\(]"),
@@ -95,6 +98,7 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL060", "DoubleNegatives", "I", True, f"m[code, {bounded(f'(?:{NOT})' + chr(92) + 's+(?:' + NOT + ')')}]"),
     ("BSL061", "AbruptLoopExit", "I", True, f"m[c, {starts(BREAK)}] AND m[n1, {starts(END_LOOP)}]"),
     ("BSL066", "DeprecatedFind", "W", True, f"m[code, {call('Найти|Find')}]"),
+    ("BSL067", "VarDeclarationAfterCode", "W", True, f"scope > 0 AND m[c, {starts(VAR)}] AND p1 <> '' AND NOT m[p1, {starts(VAR + '|' + PROC + '|' + FUNC)}]"),
     ("BSL069", "InfiniteLoop", "W", True, f"m[c, ^(?:Пока|While)\\s+(?:{TRUE})\\s+(?:{DO})] AND NOT m[n1, {starts(BREAK)}]"),
     ("BSL070", "EmptyLoopBody", "W", True, f"m[c, {starts(LOOP)}] AND m[c, {STOP}(?:{DO})$] AND m[n1, {starts(END_LOOP)}]"),
     ("BSL071", "MagicNumber", "I", False, f"scope > 0 AND m[code, {NUMBER % '3-9'}]"),
@@ -146,13 +150,16 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL145", "StringFormatInsteadOfConcat", "I", False, r'm[code, ""\s*\+[^+]*\+\s*""|\+\s*""\s*\+]'),
     ("BSL146", "ModuleInitializationCode", "I", False, f"scope = 0 AND c <> '' AND NOT m[c, ^[#&]|{starts(VAR)}]"),
     ("BSL147", "UseOfUICall", "W", True, f"m[code, {call('ОткрытьФорму|OpenForm')}]"),
+    ("BSL151", "BeginTransactionBeforeTryCatch", "E", False, f"m[code, {call(BEGIN)}] AND NOT m[n1, {starts(TRY)}]"),
     ("BSL153", "CanonicalSpellingKeywords", "I", False, f"m[c, {starts('|'.join([IF, ELSIF, ELSE, END_IF, LOOP, END_LOOP, RETURN, TRY, EXCEPT, END_TRY]))}] AND NOT M[c, {starts('|'.join([IF, ELSIF, ELSE, END_IF, LOOP, END_LOOP, RETURN, TRY, EXCEPT, END_TRY]))}]"),
+    ("BSL173", "DeletingCollectionItem", "E", False, f"loops > 0 AND m[code, {member('Удалить|Delete')}]"),
     ("BSL183", "ExecuteExternalCode", "W", False, f"m[code, {call('Выполнить|Execute')}]"),
     ("BSL186", "ExtraCommas", "W", False, r"m[code, ,\s*\)]"),
     ("BSL190", "FormDataToValue", "W", False, f"m[code, {bounded('ДанныеФормыВЗначение|FormDataToValue')}]"),
     ("BSL199", "IfElseIfEndsWithElse", "I", False, f"m[c, {starts(END_IF)}] AND m[p1, {starts(ELSIF)}]"),
     ("BSL208", "LatinAndCyrillicSymbolInWord", "W", False, f"m[code, {MIXED}]"),
     ("BSL216", "MissingSpace", "I", False, r"m[code, [\p{L}\p{N}_)]=|=[\p{L}\p{N}_(]]"),
+    ("BSL219", "MissingVariablesDescription", "I", True, f"m[c, ^(?:{VAR})\\s.*[\\s](?:{EXPORT})\\s*;?$] AND NOT m[t1, ^//]"),
     ("BSL227", "OneStatementPerLine", "I", False, r"m[c, ;\s*[^\s;]]"),
     ("BSL255", "TryNumber", "W", False, f"m[p1, {starts(TRY)}] AND m[code, {call('Число|Number')}]"),
     ("BSL257", "UnaryPlusInConcatenation", "W", False, r"m[code, \+\s*\+]"),
@@ -213,8 +220,9 @@ PARAM_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL142", "LargeParameterDefaultValue", "I", False, "longest_default > 50"),
 ]
 #: Rules over whole modules.
-FILE_FACTS = {"n_lines": "count(*)", "n_code": "sum(CASE WHEN c <> '' THEN 1 ELSE 0 END)", "n_module_vars": f"sum(CASE WHEN scope = 0 AND m[c, {starts(VAR)}] THEN 1 ELSE 0 END)", "opening": "max(CASE WHEN line = 1 THEN t ELSE '' END)"}
+FILE_FACTS = {"n_lines": "count(*)", "n_code": "sum(CASE WHEN c <> '' THEN 1 ELSE 0 END)", "n_module_vars": f"sum(CASE WHEN scope = 0 AND m[c, {starts(VAR)}] THEN 1 ELSE 0 END)", "opening": "max(CASE WHEN line = 1 THEN t ELSE '' END)", "lowest": "min(depth)", "last_depth": "max_by(depth, line)"}
 FILE_RULES: list[tuple[str, str, str, bool, str]] = [
+    ("BSL001", "ParseError", "E", True, "lowest < 0 OR last_depth <> 0"),
     ("BSL048", "EmptyFile", "I", True, "n_code = 0"),
     ("BSL063", "LargeModule", "W", True, "n_lines > 1000"),
     ("BSL083", "TooManyModuleVariables", "I", False, "n_module_vars > 10"),
@@ -335,6 +343,26 @@ def unused_parameters(facts: DataFrame, params: DataFrame) -> DataFrame:
     )
 
 
+def _reads(facts: DataFrame) -> DataFrame:
+    """file_path, scope, word: lower-case identifiers of each method that stand anywhere but left of its line's ``=`` or in a declaration."""
+    rest = F.when(F.col("c").rlike("(?iu)" + starts(VAR)), F.lit("")).otherwise(F.regexp_replace("c", rf"^{ID}\s*=", ""))
+    return facts.where("scope > 0 AND head = 0").select("file_path", "scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(rf"({ID})")), lambda x: F.lower(x)))).alias("word")).distinct()
+
+
+def unused_locals(facts: DataFrame) -> DataFrame:
+    """Variables that a method assigns and never reads (BSL007): first line and lower-case name."""
+    given = facts.where("scope > 0").select("file_path", "scope", "line", F.lower(F.regexp_extract("c", rf"^({ID})\s*=", 1)).alias("word")).where("word <> ''")
+    first = given.groupBy("file_path", "scope", "word").agg(F.min("line").alias("line"))
+    return first.join(_reads(facts), ["file_path", "scope", "word"], "left_anti").select("file_path", "line", F.lit("BSL007").alias("code"), F.lit("WARNING").alias("severity"), F.col("word").alias("name"))
+
+
+def procedures_as_functions(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Assignments from a call of a procedure (BSL117), by the symbols' kinds."""
+    called = facts.select("file_path", "line", F.lower(F.regexp_extract("c", rf"^{ID}\s*=\s*({ID})\s*\(", 1)).alias("word")).where("word <> ''")
+    procedures = symbols.where("kind = 'procedure'").select(F.col("name_lower").alias("word")).distinct()
+    return called.join(procedures, "word", "left_semi").select("file_path", "line", F.lit("BSL117").alias("code"), F.lit("ERROR").alias("severity"))
+
+
 def duplicate_literals(facts: DataFrame, per_scope: int = 3, per_file: int = 4) -> DataFrame:
     """String literals used often in one method (BSL035) or module (BSL132): first line and count."""
     each = facts.where(~F.col("c").rlike("(?iu)" + starts(RAISE))).select("file_path", "scope", "line", F.explode(F.regexp_extract_all("text", F.lit(f"({STRING})"))).alias("literal")).where(F.char_length("literal") > 2)

@@ -62,6 +62,10 @@ query("lint_param_rules", f"WITH {FACTS}, {PARAMS}, {PARAM_SUMS} {_found(rules.P
 query("lint_unused_params", rf"""WITH {FACTS}, {PARAMS}, used AS (SELECT DISTINCT file_path, scope, lower(unnest(regexp_extract_all(code, '{ID}'))) AS word FROM facts WHERE scope > 0 AND head = 0)
   SELECT p.file_path, proc_line AS line, CASE WHEN by_val THEN 'BSL021' ELSE 'BSL062' END AS code, 'WARNING' AS severity, p.name FROM params p JOIN facts f ON f.file_path = p.file_path AND f.line = proc_line AND f.head = 1
   WHERE NOT starts_with(p.name, '_') AND (by_val OR default_value IS NULL) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.file_path = p.file_path AND u.scope = f.scope AND u.word = lower(p.name))""")(lambda r: rules.unused_parameters(_facts(r), rules.parameters(_facts(r))))
+query("lint_unused_locals", rf"""WITH {FACTS}, given AS (SELECT file_path, scope, lower(regexp_extract(c, '^({ID})\s*=', 1)) AS name, min(line) AS line FROM facts WHERE scope > 0 AND regexp_extract(c, '^({ID})\s*=', 1) <> '' GROUP BY 1, 2, 3),
+  used AS (SELECT DISTINCT file_path, scope, lower(unnest(regexp_extract_all(CASE WHEN {duck(f"m[c, {rules.starts(rules.VAR)}]")} THEN '' ELSE regexp_replace(c, '^{ID}\s*=', '') END, '{ID}'))) AS name FROM facts WHERE scope > 0 AND head = 0)
+  SELECT file_path, line, 'BSL007' AS code, 'WARNING' AS severity, name FROM given WHERE NOT EXISTS (SELECT 1 FROM used WHERE used.file_path = given.file_path AND used.scope = given.scope AND used.name = given.name)""")(lambda r: rules.unused_locals(_facts(r)))
+query("lint_procedure_as_function", rf"""WITH {FACTS} SELECT file_path, line, 'BSL117' AS code, 'ERROR' AS severity FROM facts WHERE lower(regexp_extract(c, '^{ID}\s*=\s*({ID})\s*\(', 1)) IN (SELECT name_lower FROM symbols WHERE kind = 'procedure')""")(lambda r: rules.procedures_as_functions(_facts(r), r("symbols")))
 LITERALS = f"""lit AS (SELECT * FROM (SELECT file_path, scope, line, unnest(regexp_extract_all(text, '{STRING}')) AS literal FROM facts WHERE NOT {duck(f"m[c, {rules.starts(rules.RAISE)}]")}) q WHERE length(literal) > 2)"""
 query("lint_duplicate_literals", f"""WITH {FACTS}, {LITERALS} SELECT file_path, min(line) AS line, 'BSL035' AS code, literal, count(*) AS n FROM lit WHERE scope > 0 GROUP BY file_path, scope, literal HAVING count(*) >= 3
   UNION ALL SELECT file_path, min(line), 'BSL132', literal, count(*) FROM lit GROUP BY file_path, literal HAVING count(*) >= 4""")(lambda r: rules.duplicate_literals(_facts(r)))
