@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches (DataFrame expressions only).
 
-A text is cut into paragraphs: sentences or lines, of at most 160 code points each.
+A text is cut into paragraphs: lines, long ones every 128 code points.
 The 64-bit digests of its distinct paragraphs fill a sketch of cells (count, XOR of
 digests, XOR of their check sums), three cells per digest.  Sketches of two versions
 are subtracted cell by cell; what they share cancels, and peeling (cells of count one
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = r"[^.!?\n]{1,160}[.!?\n]*"
+PARAGRAPH = r"[^\n]{1,128}\n*"
 #: Cells of a fingerprint, of a sketch at first, and how often it may be made larger.
 PRINT_CELLS, FIRST_CELLS, RETRIES = 24, 18, 3
 #: Differences that a sketch of ``FIRST_CELLS`` is meant for.
@@ -35,15 +35,21 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def _hit(digest: str, cell: str, third: str) -> str:
-    """Whether cell number ``cell`` is the one of the digest in its third of the sketch."""
-    return f"(shiftrightunsigned({digest}, 34 + 10 * cast({cell} div {third} AS int)) & 1023) % {third} = {cell} % {third}"
+def placed(items: str, cells: int) -> str:
+    """SQL for the digests of an array with their check sum and their cells, one in each third of the sketch."""
+    third = cells // 3
+    at = ", ".join(f"{k * third} + (shiftrightunsigned(d, {34 + 10 * k}) & 1023) % {third} AS c{k}" for k in range(3))
+    return f"transform({items}, d -> struct(d AS d, xxhash64(d) AS h, {at}))"
+
+
+def _hit(x: str) -> str:
+    return f"({x}.c0 = c OR {x}.c1 = c OR {x}.c2 = c)"
 
 
 def sketch(items: str, cells: int) -> str:
     """SQL for the cells of an array of digests."""
-    return f"""transform(sequence(0, {cells - 1}), c -> aggregate(filter({items}, d -> {_hit('d', 'c', str(cells // 3))}), {ZERO},
-        (a, d) -> struct(a.n + 1L AS n, a.k ^ d AS k, a.h ^ xxhash64(d) AS h)))"""
+    return f"""aggregate(array({placed(items, cells)}), cast(NULL AS array<struct<n:bigint,k:bigint,h:bigint>>), (z, ds) -> transform(sequence(0, {cells - 1}), c ->
+        aggregate(filter(ds, d -> {_hit('d')}), {ZERO}, (a, d) -> struct(a.n + 1L AS n, a.k ^ d.d AS k, a.h ^ d.h AS h))))"""
 
 
 def subtracted(a: str, b: str) -> str:
@@ -52,9 +58,11 @@ def subtracted(a: str, b: str) -> str:
 
 def peeled(cells: str, count: int) -> str:
     """SQL for struct(cells, d): what is left of a subtracted sketch and how many digests it gave up."""
-    pure = "array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> struct(x.k AS d, x.n AS s)))"
-    less = f"""transform(st.cells, (x, c) -> aggregate(filter(pure, p -> {_hit('p.d', 'c', str(count // 3))}), x,
-        (a, p) -> struct(a.n - p.s AS n, a.k ^ p.d AS k, a.h ^ xxhash64(p.d) AS h)))"""
+    third = count // 3
+    at = ", ".join(f"{k * third} + (shiftrightunsigned(x.k, {34 + 10 * k}) & 1023) % {third} AS c{k}" for k in range(3))
+    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> struct(x.k AS d, x.h AS h, x.n AS s, {at})))"
+    less = f"""transform(st.cells, (x, c) -> aggregate(filter(pure, p -> {_hit('p')}), x,
+        (a, p) -> struct(a.n - p.s AS n, a.k ^ p.d AS k, a.h ^ p.h AS h)))"""
     # aggregate over a one-element array names the pure cells for use in both fields
     step = f"""CASE WHEN st.done THEN st ELSE aggregate(array({pure}), st, (s0, pure) ->
         CASE WHEN size(pure) = 0 THEN struct(st.cells AS cells, st.d AS d, true AS done) ELSE struct({less} AS cells, st.d + size(pure) AS d, false AS done) END) END"""
@@ -98,7 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     a bound also goes to the range above it, as the neighbour of that range's last row.
     """
     rows = docs.count()
-    ranges = max(1, min(1024, rows // 20_000 + 8)) if rows else 1
+    ranges = max(1, min(4096, rows // 2_000 + 8)) if rows else 1
     found = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges + 1)]), F.lit(max(10_000, 20 * ranges))).alias("b"), F.max("doc_id").alias("m")).first()
     bounds = sorted({*(found["b"] or []), *([found["m"]] if found["m"] is not None else [])}, reverse=True)
     if not bounds:  # only null ids
