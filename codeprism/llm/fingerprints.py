@@ -35,21 +35,23 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
-def placed(items: str, cells: int) -> str:
-    """SQL for the digests of an array with their check sum and their cells, one in each third of the sketch."""
-    third = cells // 3
-    at = ", ".join(f"{k * third} + (shiftrightunsigned(d, {34 + 10 * k}) & 1023) % {third} AS c{k}" for k in range(3))
-    return f"transform({items}, d -> struct(d AS d, xxhash64(d) AS h, {at}))"
+def _cells(d: str, cells: int) -> str:
+    """SQL fields c0, c1, c2: the cell of digest ``d`` in each third of the sketch."""
+    return ", ".join(f"(shiftrightunsigned({d}, {34 + 10 * k}) & 1023) % {cells // 3} AS c{k}" for k in range(3))
 
 
-def _hit(x: str) -> str:
-    return f"({x}.c0 = c OR {x}.c1 = c OR {x}.c2 = c)"
+def placed(items: str, cells: int) -> str:
+    """SQL for the digests of an array with their check sum and their cells."""
+    return f"transform({items}, d -> struct(d AS d, xxhash64(d) AS h, {_cells('d', cells)}))"
 
 
 def sketch(items: str, cells: int) -> str:
     """SQL for the cells of an array of digests."""
-    return f"""aggregate(array({placed(items, cells)}), cast(NULL AS array<struct<n:bigint,k:bigint,h:bigint>>), (z, ds) -> transform(sequence(0, {cells - 1}), c ->
-        aggregate(filter(ds, d -> {_hit('d')}), {ZERO}, (a, d) -> struct(a.n + 1L AS n, a.k ^ d.d AS k, a.h ^ d.h AS h))))"""
+    thirds = (
+        f"transform(sequence(0, {cells // 3 - 1}), c -> aggregate(ds, {ZERO}, (a, d) -> IF(d.c{k} = c, struct(a.n + 1L AS n, a.k ^ d.d AS k, a.h ^ d.h AS h), a)))"
+        for k in range(3)
+    )
+    return f"aggregate(array({placed(items, cells)}), cast(NULL AS array<struct<n:bigint,k:bigint,h:bigint>>), (z, ds) -> concat({', '.join(thirds)}))"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -59,10 +61,12 @@ def subtracted(a: str, b: str) -> str:
 def peeled(cells: str, count: int) -> str:
     """SQL for struct(cells, d): what is left of a subtracted sketch and how many digests it gave up."""
     third = count // 3
-    at = ", ".join(f"{k * third} + (shiftrightunsigned(x.k, {34 + 10 * k}) & 1023) % {third} AS c{k}" for k in range(3))
-    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> struct(x.k AS d, x.h AS h, x.n AS s, {at})))"
-    less = f"""transform(st.cells, (x, c) -> aggregate(filter(pure, p -> {_hit('p')}), x,
-        (a, p) -> struct(a.n - p.s AS n, a.k ^ p.d AS k, a.h ^ p.h AS h)))"""
+    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> struct(x.k AS d, x.h AS h, x.n AS s, {_cells('x.k', count)})))"
+    thirds = (
+        f"transform(slice(st.cells, {k * third + 1}, {third}), (x, c) -> aggregate(pure, x, (a, p) -> IF(p.c{k} = c, struct(a.n - p.s AS n, a.k ^ p.d AS k, a.h ^ p.h AS h), a)))"
+        for k in range(3)
+    )
+    less = f"concat({', '.join(thirds)})"
     # aggregate over a one-element array names the pure cells for use in both fields
     step = f"""CASE WHEN st.done THEN st ELSE aggregate(array({pure}), st, (s0, pure) ->
         CASE WHEN size(pure) = 0 THEN struct(st.cells AS cells, st.d AS d, true AS done) ELSE struct({less} AS cells, st.d + size(pure) AS d, false AS done) END) END"""
