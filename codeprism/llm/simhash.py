@@ -38,18 +38,24 @@ PAIRWISE = 256
 RING = ((0, 22), (22, 21), (43, 21))
 
 
-def fingerprints(docs: DataFrame, *keys: Column, shingle: int = SHINGLE) -> DataFrame:
-    """``keys`` as k0, k1... and the signed 64-bit fingerprint of column text."""
+def shingles(docs: DataFrame, *keys: Column, shingle: int = SHINGLE) -> DataFrame:
+    """``keys`` as k0, k1... and hashes, the XXH64 of all word shingles of column text."""
     names = [f"k{i}" for i in range(len(keys))]
     words = docs.select(*(k.alias(n) for k, n in zip(keys, names)), words_of(lower_ascii(F.coalesce("text", F.lit("")))).alias("words"))
     parts = ", ' ', ".join(f"words[i + {j}]" for j in range(shingle))
-    hashes = words.select(
+    return words.select(
         *names,
         F.expr(f"""CASE WHEN size(words) = 0 THEN cast(array() AS array<bigint>)
                         WHEN size(words) < {shingle} THEN array(xxhash64(array_join(words, ' ')))
                         ELSE transform(sequence(0, size(words) - {shingle}), i -> xxhash64(concat({parts}))) END""").alias("hashes"),
     )
 
+
+def fingerprints(docs: DataFrame, *keys: Column, shingle: int = SHINGLE) -> DataFrame:
+    """``keys`` as k0, k1... and the signed 64-bit fingerprint of column text."""
+    names = [f"k{i}" for i in range(len(keys))]
+    hashes = shingles(docs, *keys, shingle=shingle)
+
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b["hashes"]
@@ -63,7 +69,7 @@ def fingerprints(docs: DataFrame, *keys: Column, shingle: int = SHINGLE) -> Data
                 out[i] = np.packbits(2 * ones > end - start, bitorder="little").view(np.int64)[0]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(out)], [*names, "fingerprint"])
 
-    kinds = dict(words.dtypes)
+    kinds = dict(hashes.dtypes)
     return hashes.mapInArrow(vote, ", ".join(f"{n} {kinds[n]}" for n in names) + ", fingerprint long")
 
 

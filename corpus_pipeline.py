@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeprism.llm import line_dedup, packing, pii, quality, simhash
+from codeprism.llm import line_dedup, near, packing, pii, quality
 from codeprism.llm.common import stored
 
 
@@ -24,8 +24,8 @@ def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """The document of the smallest doc_id of each group of near copies (0.8 of five-word shingles)."""
+    return near.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", cross_site_lines), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("packing", packed)]
+STAGES = [("quality rules", quality_rules), ("line dedup", cross_site_lines), ("near-dedup", near_duplicates), ("PII", personal_data), ("packing", packed)]
 
-#: SimHash groups and BPE token ids are not expressible in SQL.
+#: Near-copy groups and BPE token ids are not expressible in SQL.
 ORACLE_SQL = None
 
 
