@@ -7,9 +7,9 @@ decision is predicted by three counters: of the code's node alone, of (previous
 symbol, node) and of (two previous symbols, node), the latter two hashed into tables
 of fixed size.  Their logits are mixed by weights that a gate picks (how much the two
 hashed counters have seen); an adaptive probability map then corrects the mixed
-probability.  Weights and map, a few hundred numbers, are learned online in every
-partition (a bit's own count is left out) from ``fit_documents`` training documents of
-smallest id hash, and averaged; vocabulary and counters cover all training documents.
+probability.  Weights and map, a few hundred numbers, are learned online over all
+training documents in every partition (a bit's own count is left out) and averaged;
+vocabulary and counters cover all of them.
 A token outside the table costs its symbol plus its share of the rare tokens' mass,
 (c + 0.5) of the sum, with c its training count and 0 for unknown tokens.
 
@@ -48,8 +48,6 @@ END = b""
 #: Count levels of a hashed counter that gates tell apart: 0, 1 to 3, 4 to 15, more.
 LEVEL = np.searchsorted([1, 4, 16], np.arange(17), side="right").astype(np.int8)
 GATES, STEPS, RATE, PRIOR = 16, 33, 0.02, 0.4
-#: Documents that weights and map are fitted on, about (those of smallest id hash); counts always cover all.
-FIT_DOCUMENTS = 20_000
 #: Tokens that are worked on together, and distinct tokens that a task counts before it passes them on.
 BATCH, DISTINCT = 60_000, 200_000
 
@@ -243,11 +241,10 @@ def frequent(counts: DataFrame, most: int, least: int) -> list[tuple[bytes, int]
     return sorted(zip(words["word"].to_pylist(), words["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def train(tokens: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BITS, fit_documents: int = FIT_DOCUMENTS) -> tuple[Model, DataFrame, int, int]:
+def train(tokens: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BITS) -> tuple[Model, DataFrame, int, int]:
     """The model, the training counts (word, c), and N and V; ``tokens`` has held and text (binary)."""
     spark = tokens.sparkSession
-    rows = tokens.where(~F.col("held"))
-    known = rows.select("text")
+    known = tokens.where(~F.col("held")).select("text")
     counts = stored(known.mapInArrow(_tally, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"], total["v"]
@@ -280,9 +277,6 @@ def train(tokens: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BIT
     for k, table in enumerate(model.tables):
         table.reshape(-1)[at[kind == k]] = n_at[kind == k]
     counted_model = spark.sparkContext.broadcast(model)
-    documents = rows.select("doc_id").count()
-    share = min(1.0, fit_documents / max(1, documents))
-    fitted = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -298,7 +292,7 @@ def train(tokens: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BIT
             values = np.concatenate([m.weights.ravel() * tokens_seen, m.map.ravel(), [tokens_seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "x"])
 
-    learned = {r["i"]: r["x"] for r in fitted.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a few hundred numbers
+    learned = {r["i"]: r["x"] for r in known.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a few hundred numbers
     counted_model.destroy()
     if learned:
         values = np.array([learned[i] for i in range(len(learned))])
