@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches (DataFrame expressions only).
 
-A text is cut into paragraphs: lines, long ones every 128 code points.
+A text is cut into paragraphs: sentences or lines, of at most 160 code points each.
 The 64-bit digests of its distinct paragraphs fill a sketch of cells (count, XOR of
 digests, XOR of their check sums), three cells per digest.  Sketches of two versions
 are subtracted cell by cell; what they share cancels, and peeling (cells of count one
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = r"[^\n]{1,128}\n*"
+PARAGRAPH = r"[^.!?\n]{1,160}[.!?]*\n*|[.!?]+\n*"
 #: Cells of a fingerprint, of a sketch at first, and how often it may be made larger.
 PRINT_CELLS, FIRST_CELLS, RETRIES = 24, 18, 3
 #: Differences that a sketch of ``FIRST_CELLS`` is meant for.

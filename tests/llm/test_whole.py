@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeprism.llm import lm
+from codeprism.llm import fingerprints, lm
 
 
 def test_lm_weights_learn_from_all_training_documents(spark):
@@ -10,3 +10,11 @@ def test_lm_weights_learn_from_all_training_documents(spark):
     model, _, n, _ = lm.train(tokens, symbols=5, table_bits=8)
     assert n == 75_000
     assert model.map.sum() == sum(model.code.size[i] * c for i, c in enumerate(model.counts))
+
+
+def test_paragraphs_realign_after_an_insertion(spark):
+    text = " ".join(f"Sentence {i} of this single line tells of matter {i * i}, and it ends here." for i in range(20))
+    docs = spark.createDataFrame([(2, "A " + text), (1, text), (0, "...")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.compare_versions(docs).collect()}
+    assert got[2]["near_next"] > 0.8
+    assert got[1]["near_next"] == 0.0
