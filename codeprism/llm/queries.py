@@ -70,7 +70,7 @@ SQL_LINES = f"""
 WITH doc AS (SELECT doc_id, source, string_split(text, chr(10)) AS all_lines FROM documents),
 line AS (SELECT doc_id, source, i - 1 AS place, trim(all_lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
          FROM doc, unnest(range(1, len(all_lines) + 1)) AS u(i)),
-bad AS (SELECT line, min((doc_id, place)) AS first FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+bad AS (SELECT line, min((doc_id, place)) AS first FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}),
 gone AS (SELECT doc_id, list(place) AS places FROM line JOIN bad USING (line) WHERE (doc_id, place) <> first GROUP BY doc_id)
 SELECT doc_id, CAST(len(all_lines) AS BIGINT) AS n_lines, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(list_filter(all_lines, lambda x, i: NOT coalesce(list_contains(places, i - 1), false)), chr(10))) AS kept_sha256
@@ -97,15 +97,21 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1,
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, {_BLANK}, '', 'g')) > 0) AS l FROM word),
 base AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, {_BLANK}, '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
   FROM word JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
-host AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS BIGINT)) AS f FROM judged GROUP BY source),
-prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM host),
-fit AS (SELECT m, CASE WHEN v > 0 THEN least(1000, greatest(1, m * (1 - m) / v - 1)) ELSE 1000 END AS w FROM prior),
-rate AS (SELECT source, (f + m * w) / (n + w) AS r FROM host, fit)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r < {quality.HOST_LIMIT} AS kept
-FROM judged JOIN rate ON judged.source IS NOT DISTINCT FROM rate.source"""
+judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  {', '.join(f'({sql}) AS fails_{r}' for r, sql in quality.SOFT.items())} FROM base),
+host AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed AS BIGINT)) AS DOUBLE) AS f_base,
+  {', '.join(f'CAST(sum(CAST(fails_{r} AS BIGINT)) AS DOUBLE) AS f_{r}' for r in quality.SOFT)} FROM judged GROUP BY source),
+rule AS ({' UNION ALL '.join(f"SELECT source, '{r}' AS rule, n, f_{r} AS f FROM host" for r in quality.RULES)}),
+sums AS (SELECT rule, CAST(count(*) AS DOUBLE) AS h, sum(n) AS d, sum(f) AS t, sum(f) / sum(n) AS m, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS s, sum(n) - sum(n * n) / sum(n) AS z FROM rule GROUP BY rule),
+corr AS (SELECT rule, m, CASE WHEN h < 2 OR m * (1 - m) = 0 OR z / (h - 1) <= 1 THEN 0 ELSE (s / (h - 1) - m * (1 - m)) / (m * (1 - m) * (z / (h - 1) - 1)) END AS c FROM sums),
+fit AS (SELECT rule, m, CASE WHEN c > 0 THEN least({quality.MOST_WEIGHT}, greatest({quality.LEAST_WEIGHT}, 1 / c - 1)) ELSE {quality.MOST_WEIGHT} END AS w FROM corr),
+rate AS (SELECT source, rule, m, n, w, (f + m * w) / (n + w) AS r FROM rule JOIN fit USING (rule)),
+low AS (SELECT source, rule, m, r - {quality.Z} * sqrt(r * (1 - r) / (n + w + 1)) AS l FROM rate),
+verdict AS (SELECT source, coalesce(bool_or(rule = 'base' AND l >= {quality.HOST_LIMIT}), false) AS bad, {', '.join(f"coalesce(bool_or(rule = '{r}' AND l >= {quality.STRICT} * m), false) AS strict_{r}" for r in quality.SOFT)} FROM low GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR bad {' '.join(f'OR (fails_{r} AND strict_{r})' for r in quality.SOFT)}) AS kept
+FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source"""
 
 
 def oracle_sql() -> dict[str, str]:
