@@ -16,13 +16,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local one is set.
+    Only where the session names none and runs in one process (tests, a laptop) a local
+    one is set; on a cluster executors could not read it, so that is an error.
     """
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="codeprism-")
         sc.setCheckpointDir(place)
     elif not sc.getCheckpointDir():

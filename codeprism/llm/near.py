@@ -1,22 +1,34 @@
-"""Near copies by the Jaccard measure of word shingles: MinHash bands propose, the sets themselves decide.
+"""Near copies by SimHash over five-word shingles: pigeonring chains propose, the shingle sets decide.
 
 A text is the set of the XXH64 of its five-word shingles (A-Z lower-cased; a shorter
-text is one shingle).  Texts of equal sets are one node.  A node has ``BANDS`` * ``ROWS``
-minima; nodes that share a band and agree in ``LOOSE`` of the minima (one byte of each)
-are proposed, as a spanning forest of each band's place, and fall into one proposed
-component.  Within it all sets are compared by an inverted index, and nodes at
-``JACCARD`` or more are linked; its components are those of the result.
-
-At similarity s a pair shares a band with probability 1 - (1 - s**4)**16: 0.9998 at 0.8.
+text is one shingle).  Texts of equal sets are one node.  At a Jaccard measure of 0.8
+about 15 % of the bits of two SimHash fingerprints differ, too many for 64 bits to tell,
+so prints are wide: a ring of segments of b bits, b about log2 of the number of texts.
+As ``SEGMENTS`` are as many as it takes for one of them to be equal with probability
+``RECALL`` at 0.8, their number grows with the number of texts to the power 0.24.
+
+1. Nodes that have a segment in common meet.  From there on the chain of the next 128
+   bits must keep within proportional budgets (``BUDGET`` of the bits so far, at every
+   step of 32), or the pair is dropped.  What is left must pass the full Hamming check.
+2. Pairs that pass fall into proposed components.  Within one, nodes at ``JACCARD`` or
+   more by their sets are linked; these components are the result.
+
+A place where more than ``CROWD`` nodes meet is not searched: all of them are proposed
+together, found by an aggregate.  A proposed component of more than ``CROWD`` nodes or
+``CROWD_HASHES`` hashes is dealt to blocks.  A few of its nodes are compared with all
+blocks, then some of those outside the largest component so far, then all of these; so
+every link that could still join two components is seen, and none within the largest.
 
 Edge cases: null and empty texts have the empty set and are copies of each other;
-repeated rows are members like any other; a null doc_id counts as smaller than all
-others; an empty table gives an empty result.
+repeated rows are members like any other; a null doc_id counts as larger than all
+others; very long texts count whole; an empty table gives an empty result; extra
+columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,61 +36,109 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeprism.llm.common import materialize, stored
+from codeprism.llm.common import broadcast_if_small, materialize, stored
 from codeprism.llm.simhash import components, shingles
 
-SHINGLE, JACCARD = 5, 0.8
-BANDS, ROWS, LOOSE = 16, 4, 39
-_RANDOM = np.random.default_rng(5)
-_XOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
-_ODD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+SHINGLE, JACCARD, RECALL, BUDGET = 5, 0.8, 0.98, 0.25
+#: Share of equal bits of two sets of one size at ``JACCARD``: their cosine is 2J / (1 + J).
+AGREE = 1 - math.acos(2 * JACCARD / (1 + JACCARD)) / math.pi
+#: Bits of a segment at least, and bits of a chain.
+LEAST_BITS, CHAIN = 12, 128
+#: Nodes of a place that are compared pair by pair at once; larger places by a spanning forest.
+PAIRWISE = 8
+CROWD, CROWD_HASHES = 2_000, 2_000_000
+#: Nodes of a crowded component that are compared with all its blocks in the first two rounds.
+PIVOTS = (8, 64)
+BROADCAST_ROWS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def minima(values: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a set that is not empty."""
-    parts = [((values[at : at + 4096] ^ _XOR) * _ODD).min(axis=1) for at in range(0, len(values), 4096)]
-    return np.min(parts, axis=0)
+def layout(texts: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments for so many texts; the ring is a multiple of 64 bits."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, texts))))
+    segments = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**bits))
+    return bits, -(-segments * bits // 64) * 64 // bits
 
 
-def bands(low: np.ndarray) -> np.ndarray:
-    """The place of a node in each band."""
-    out = np.arange(BANDS, dtype=np.uint64) * _MIX
-    for column in low.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * _MIX
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+def wide_print(values: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set of hashes in ``words`` of 64 bits: each bit is 1 if set in over half of them."""
+    seeds = (np.arange(1, words + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(values), 240):  # sums of so few fit a byte
+        h = values[at : at + 240, None] * seeds
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(values), bitorder="little").view(np.int64)
 
 
-def signed(sets: DataFrame) -> DataFrame:
-    """key, node, sig (a byte of each minimum) and bands of rows with k0 and hashes."""
+def signed(sets: DataFrame, words: int) -> DataFrame:
+    """key, node, size and print (words of 64 bits; none for the empty set) of rows with k0 and hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, values = np.asarray(b["hashes"].offsets), np.asarray(b["hashes"].values).view(np.uint64)
-            nodes, sigs, places = [], [], []
+            nodes, sizes, prints = [], [], []
             for start, end in zip(ends[:-1], ends[1:]):
                 one = np.unique(values[start:end])
                 nodes.append(int.from_bytes(hashlib.blake2b(one.tobytes(), digest_size=8).digest(), "little", signed=True))
-                low = minima(one) if len(one) else None
-                sigs.append(b"" if low is None else (low * _MIX >> np.uint64(56)).astype(np.uint8).tobytes())
-                places.append(np.zeros(0, np.int64) if low is None else bands(low))
-            yield pa.RecordBatch.from_arrays([b["k0"], pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(places, pa.list_(pa.int64()))], ["key", "node", "sig", "bands"])
+                sizes.append(len(one))
+                prints.append(wide_print(one, words) if len(one) else np.zeros(0, np.int64))
+            arrays = [b["k0"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "size", "print"])
+
+    return sets.mapInArrow(sign, f"key {dict(sets.dtypes)['k0']}, node long, size long, print array<long>")
+
+
+def ring(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each print (a row of words) the segments (with their number) and the ``CHAIN`` bits from each on, as words."""
+    raw = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    number = raw.shape[1] // bits
+    turned = np.concatenate([raw, raw[:, : bits + CHAIN]], axis=1)
+    at = np.arange(number) * bits
+    keys = np.zeros((len(prints), number), np.uint64)
+    for k in range(bits):
+        keys = keys << np.uint64(1) | turned[:, at + k]
+    keys = (keys * np.uint64(number) + np.arange(number, dtype=np.uint64)).view(np.int64)
+    chain = turned[:, (at[:, None] + bits + np.arange(CHAIN))]
+    return keys, np.packbits(chain, axis=2, bitorder="little").view(np.int64)
+
+
+def places(nodes: DataFrame, bits: int) -> DataFrame:
+    """node, place, c0, c1 (the chain) for every segment of every node."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                prints = part["print"].flatten().to_numpy(zero_copy_only=False)
+                if not len(prints):
+                    continue
+                keys, chain = ring(prints.reshape(part.num_rows, -1), bits)
+                columns = [np.repeat(part["node"].to_numpy(), keys.shape[1]), keys.ravel(), chain[..., 0].ravel(), chain[..., 1].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "place", "c0", "c1"])
+
+    return nodes.where(F.size("print") > 0).select("node", "print").mapInArrow(lay, "node long, place long, c0 long, c1 long")
 
-    return sets.mapInArrow(sign, f"key {dict(sets.dtypes)['k0']}, node long, sig binary, bands array<long>")
 
+def chained(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the chains a and b (rows of two words) keep within the budgets at every step of 32 bits."""
+    steps = np.bitwise_count((a ^ b).view(np.uint32)).cumsum(axis=-1)
+    return (steps <= BUDGET * (bits + 32 * np.arange(1, CHAIN // 32 + 1))).all(axis=-1)
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Runs of whole groups of rows of equal ``column``; the rows are sorted by it."""
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.Table]:
+    """Runs of whole groups of rows of equal ``columns``; the rows are sorted by them."""
     rest: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.asarray(b[column])
-        if rest and rest[-1][column][-1].as_py() == keys[0] == keys[-1]:
+        keys = np.stack([np.asarray(b[c]) for c in columns])
+        other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and rest and all(rest[-1][c][-1].as_py() == k[0] for c, k in zip(columns, keys)):
             rest.append(b)
             continue
-        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
         if cut or rest:
             yield pa.Table.from_batches([*rest, *([b.slice(0, cut)] if cut else [])])
         rest = [b.slice(cut)]
@@ -86,91 +146,188 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(rest)
 
 
-def _cuts(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    at = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-    return ((int(a), int(b)) for a, b in zip(at[:-1], at[1:]) if b - a > 1)
+def _bounds(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place (exclusive) of each run of equal keys."""
+    cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys[0])]])
+
 
+def _forest(node: np.ndarray, chain: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Spanning links of the nodes of one place by their chains."""
+    found, root = [], np.arange(len(node))
+    for i in range(len(node) - 1):
+        rest = np.flatnonzero(root != root[i])
+        alike = rest[chained(chain[rest], chain[i], bits)]
+        others, first = np.unique(root[alike], return_index=True)
+        found += [(node[i], node[alike[k]]) for k in first]
+        root[np.isin(root, others)] = root[i]
+        if len(rest) == len(alike):
+            break
+    return found
 
-def proposed(nodes: DataFrame) -> DataFrame:
-    """Links a, b between nodes that share a band and look alike: of each place a spanning forest."""
-    places = nodes.select("node", "sig", F.explode("bands").alias("place")).repartition("place").sortWithinPartitions("place")
+
+def proposed(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links a, b between nodes that share a segment, keep within the chain's budgets and pass the full check."""
+    met = places(nodes, bits)
+    crowds = met.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > CROWD)
+    crowds = broadcast_if_small(materialize(crowds.select("place", "hub")), BROADCAST_ROWS)
+    together = met.join(crowds, "place").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    dealt = met.join(crowds, "place", "left_anti").repartition("place").sortWithinPartitions("place")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "place"):
-            node, found, sigs = t["node"].to_numpy(), [], t["sig"].combine_chunks()
-            for start, end in _cuts(t["place"].to_numpy()):
-                sig = np.frombuffer(b"".join(sigs.slice(start, end - start).to_pylist()), np.uint8).reshape(end - start, -1)
-                root = np.arange(end - start)
-                for i in range(end - start - 1):
-                    rest = np.flatnonzero(root != root[i])
-                    alike = rest[(sig[rest] == sig[i]).sum(axis=1) >= LOOSE]
-                    others, first = np.unique(root[alike], return_index=True)
-                    found += [(node[start + i], node[start + alike[k]]) for k in first]
-                    root[np.isin(root, others)] = root[i]
-                    if len(rest) == len(alike):
-                        break
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return places.mapInArrow(meet, "a long, b long").distinct()
+            place, node = t["place"].to_numpy(), t["node"].to_numpy()
+            chain = np.stack([t["c0"].to_numpy(), t["c1"].to_numpy()], axis=1)
+            start, end = _bounds(place)
+            size = np.repeat(end - start, end - start)
+            pairs = []
+            for k in range(1, PAIRWISE):
+                i = np.flatnonzero((place[k:] == place[:-k]) & (size[k:] <= PAIRWISE))
+                i = i[chained(chain[i], chain[i + k], bits)]
+                pairs.append(np.stack([node[i], node[i + k]]))
+            for s, e in zip(start, end):
+                if e - s > PAIRWISE and (found := _forest(node[s:e], chain[s:e], bits)):
+                    pairs.append(np.array(found, np.int64).T)
+            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    links = dealt.mapInArrow(meet, "a long, b long").distinct()
+    prints = nodes.select("node", "print")
+    full = links.join(prints.select(F.col("node").alias("a"), F.col("print").alias("pa")), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("pb")), "b")
+    differ = F.expr(f"aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (s, d) -> s + d) <= {BUDGET} * 64 * size(pa)")
+    return full.where(differ).select("a", "b").unionByName(together)
+
+
+class Sets:
+    """An inverted index over some sets, for the Jaccard measure of others with them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        self.values, value = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        self.held = owner[np.argsort(value, kind="stable")]
+        self.bound = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=len(self.values)))])
+
+    def near(self, one: np.ndarray, jaccard: float = JACCARD) -> np.ndarray:
+        """Places of the sets at ``jaccard`` or more from ``one``."""
+        at = np.searchsorted(self.values, one)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == one)] if len(self.values) else at[:0]
+        first, n = self.bound[at], self.bound[at + 1] - self.bound[at]
+        spots = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+        shared = np.bincount(self.held[spots], minlength=len(self.size))
+        return np.flatnonzero(shared >= jaccard * (self.size + len(one) - shared) - 1e-9)
 
 
 def joined(sets: list[np.ndarray], jaccard: float = JACCARD) -> np.ndarray:
     """The component of each set, as the place of one member: sets at ``jaccard`` or more are linked."""
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, value = np.unique(np.concatenate(sets), return_inverse=True)
-    held = owner[np.argsort(value, kind="stable")]
-    bound = np.concatenate([[0], np.cumsum(np.bincount(value))])
-    ends, root = np.cumsum(size), np.arange(len(sets))
-    for i in range(len(sets) - 1):
-        mine = value[ends[i] - size[i] : ends[i]]
-        shared = np.bincount(np.concatenate([held[bound[v] : bound[v + 1]] for v in mine]), minlength=len(sets))
-        near = np.flatnonzero(shared >= jaccard * (size + size[i] - shared) - 1e-9)
-        root[np.isin(root, root[near])] = root[i]
+    index, root = Sets(sets), np.arange(len(sets))
+    for i, one in enumerate(sets[:-1]):
+        root[np.isin(root, root[index.near(one, jaccard)])] = root[i]
         if (root == root[0]).all():
             break
     return root
 
 
 def decided(sets: DataFrame) -> DataFrame:
-    """node and root, the smallest node it is linked to, of rows with k0 (proposed, node) and hashes."""
+    """Links a, b (each node to the smallest of its component) within small proposed components: proposed, node, hashes."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "proposed"):
             node, out, hashes = t["node"].to_numpy(), [], t["hashes"].combine_chunks()
-            for start, end in _cuts(t["proposed"].to_numpy()):
+            for start, end in zip(*_bounds(t["proposed"].to_numpy())):
                 ids, at = np.unique(node[start:end], return_index=True)  # a repeated row has its node again
-                root = joined([np.unique(hashes[int(start + k)].values.to_numpy()) for k in at])
-                least = np.full(len(ids), len(ids))
-                np.minimum.at(least, root, np.arange(len(ids)))
-                out.append((ids, ids[least[root]]))
+                if len(ids) > 1:
+                    root = joined([np.unique(hashes[int(start + k)].values.to_numpy()) for k in at])
+                    least = np.full(len(ids), len(ids))
+                    np.minimum.at(least, root, np.arange(len(ids)))
+                    out.append((ids, ids[least[root]]))
             a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    flat = sets.select("proposed", "node", "hashes").repartition("proposed").sortWithinPartitions("proposed")
+    return flat.mapInArrow(decide, "a long, b long").where("a <> b")
 
-    flat = sets.select("k0.proposed", "k0.node", "hashes").repartition("proposed").sortWithinPartitions("proposed")
-    return flat.mapInArrow(decide, "node long, root long")
+
+def compared(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Links a, b between ``queries`` and the ``members`` (proposed, block, blocks, node, hashes) of their proposed component.
+
+    Every query goes to every block; a block holds its members and takes the queries one by one.
+    """
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = members.select("proposed", "block", F.lit(0).alias("asks"), "node", "hashes").unionByName(asked.select("proposed", "block", F.lit(1).alias("asks"), "node", "hashes"))
+    dealt = both.repartition("proposed", "block").sortWithinPartitions("proposed", "block", "asks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets, index = None, [], [], None
+        for b in batches:
+            hashes, a, links = b["hashes"], [], []
+            for i, row in enumerate(zip(*(b[c].to_pylist() for c in ("proposed", "block", "asks", "node")))):
+                if row[:2] != at:
+                    at, ids, sets, index = row[:2], [], [], None
+                one = np.unique(hashes[i].values.to_numpy())
+                if not row[2]:
+                    ids.append(row[3])
+                    sets.append(one)
+                    continue
+                index = index or (Sets(sets) if sets else None)
+                for k in index.near(one) if index else ():
+                    if ids[k] != row[3]:
+                        a.append(row[3])
+                        links.append(ids[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(links, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(ask, "a long, b long")
+
+
+def dissolved(members: DataFrame) -> DataFrame:
+    """Links a, b within crowded proposed components, enough to tell their components: proposed, block, blocks, node, hashes."""
+    links = None
+    for pivots in (*PIVOTS, None):
+        label = members.select("proposed", "node")
+        if links is not None:
+            roots = components(links)
+            label = label.join(roots, "node", "left").select("proposed", "node", F.coalesce("root", "node").alias("root"))
+            sizes = label.groupBy("proposed", "root").agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.groupBy("proposed").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+            label = label.join(largest, "proposed").where(F.col("root") != F.col("largest"))
+        outside = members.join(materialize(label.select("node")), "node")
+        if pivots is not None:
+            rank = F.row_number().over(Window.partitionBy("proposed").orderBy("node"))
+            chosen = materialize(outside.select("proposed", "node").withColumn("n", rank).where(F.col("n") <= pivots).select("node"))
+            outside = members.join(chosen, "node")
+        found = stored(compared(members, outside))
+        links = found if links is None else stored(links.unionByName(found).distinct())
+    return links
 
 
 def component_keys(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> DataFrame:
     """key and first, the smallest key of the row's component, of every row."""
-    prints = stored(signed(shingles(docs, key, shingle=shingle)))
-    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    loose = materialize(components(proposed(nodes)).select(F.col("node"), F.col("root").alias("proposed")))
+    bits, segments = layout(docs.count())
+    prints = stored(signed(shingles(docs, key, shingle=shingle), -(-segments * bits // 64)))
+    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")))
+    loose = materialize(components(proposed(nodes, bits)).select(F.col("node"), F.col("root").alias("proposed")))
     loose = loose.unionByName(loose.select(F.col("proposed").alias("node"), "proposed").distinct()).distinct()
-    wanted = nodes.join(loose, "node").select(F.col("first"), F.struct("proposed", "node").alias("at"))
+    wanted = materialize(nodes.join(loose, "node").select("first", "node", "proposed", "size"))
+    crowds = wanted.groupBy("proposed").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
+    blocks = F.when((F.col("n") > CROWD) | (F.col("hashes") > CROWD_HASHES), F.ceil(F.greatest(F.col("n") / CROWD, F.col("hashes") / CROWD_HASHES))).otherwise(0)
+    crowds = materialize(crowds.select("proposed", blocks.cast("long").alias("blocks")).where(F.col("blocks") > 0))
+    placed = wanted.join(broadcast_if_small(crowds, BROADCAST_ROWS), "proposed", "left").select("first", F.struct("proposed", "node", F.coalesce("blocks", F.lit(0)).alias("blocks")).alias("at"))
     texts = docs.select("text", key.alias("key"))
-    texts = texts.join(wanted, texts["key"].eqNullSafe(wanted["first"])).select("text", "at")
-    roots = decided(shingles(texts, F.col("at"), shingle=shingle))
-    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = texts.join(placed, texts["key"].eqNullSafe(placed["first"])).select("text", "at")
+    sets = shingles(texts, F.col("at"), shingle=shingle).select("k0.*", "hashes")
+    links = decided(sets.where("blocks = 0"))
+    if crowds.limit(1).count():
+        members = stored(sets.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).dropDuplicates(["node"]))
+        links = links.unionByName(dissolved(members))
+    named = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named.select("node", "root", "first"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
     return prints.select("key", "node").join(named.select("node", "root"), "node").join(least, "root").select("key", "first")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The row of the smallest doc_id (then text hash) of each component, with all columns of ``docs``."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
+    """The row of the smallest doc_id (nulls last, then text hash) of each component, with all columns of ``docs``."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     firsts = component_keys(docs, key, shingle).select("first").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
     kept = rows.join(firsts, rows["key"].eqNullSafe(firsts["first"]), "left_semi")

@@ -158,14 +158,14 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that has an edge (columns a, b); root is the smallest node of its component.
 
-    Alternating large-star and small-star steps; they end when a round changes nothing.
+    Alternating large-star and small-star steps until a round changes nothing; labels only fall, so this ends.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
@@ -196,8 +196,8 @@ def group_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The row of the smallest doc_id (then text hash) of each component, with all columns of ``docs``."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
+    """The row of the smallest doc_id (nulls last, then text hash) of each component, with all columns of ``docs``."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     prints = materialize(fingerprints(docs, key, shingle=shingle).withColumnRenamed("k0", "key"))
     firsts = grouped(prints, "key").select(F.col("component_id").alias("first")).distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))

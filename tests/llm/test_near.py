@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from codeprism.llm import near
+from codeprism.llm import near, simhash
 
 
 def five(text):
@@ -49,7 +52,36 @@ def test_stage_keeps_one_of_each_group(spark):
 
 def test_sets_decide():
     sets = [set(range(100)), set(range(89)) | set(range(200, 211)), set(range(88)) | set(range(300, 312)), set(range(400, 410))]
-    import numpy as np
-
     root = near.joined([np.array(sorted(s)) for s in sets])
     assert root[0] == root[1] and root[2] != root[0] and root[3] not in root[:3]
+
+
+@pytest.mark.parametrize("crowd", [3, 20])
+def test_crowds_are_dealt_to_blocks(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near, "CROWD", crowd)
+    monkeypatch.setattr(near, "PIVOTS", (1, 2))
+    rng = random.Random(crowd)
+    texts = family(rng, 80, 60, 1, 2) + family(rng, 40, 200, 8, 16) + ["a b", None]
+    docs = dict(enumerate(texts))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in near.keep_one(frame).collect()} == smallest(docs)
+
+
+def test_wide_prints_and_chains():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    other = np.concatenate([base[:356], rng.integers(0, 1 << 63, 44, np.uint64)])
+    a, b, c = (near.wide_print(x, 64) for x in (base, other, rng.integers(0, 1 << 63, 400, np.uint64)))
+    share = lambda x, y: np.bitwise_count((x ^ y).view(np.uint64)).sum() / 4096
+    assert abs(share(a, b) - (1 - near.AGREE)) < 0.03 and abs(share(a, c) - 0.5) < 0.05
+    keys, chain = near.ring(np.stack([a, b, c]), 18)
+    bits = np.unpackbits(a.view(np.uint8), bitorder="little")
+    assert keys[0, 3] == int("".join(map(str, bits[54:72])), 2) * keys.shape[1] + 3
+    assert (np.unpackbits(chain[0, -1].view(np.uint8), bitorder="little") == np.roll(bits, -18 * keys.shape[1])[:128]).all()
+    assert near.chained(chain[0], chain[1], 18).mean() > 0.99 > 0.01 > near.chained(chain[0], chain[2], 18).mean()
+
+
+def test_null_ids_come_last(spark):
+    frame = spark.createDataFrame([(None, "one text"), (7, "one text"), (5, "one text")], "doc_id long, text string")
+    assert [r["doc_id"] for r in near.keep_one(frame).collect()] == [5]
+    assert [r["doc_id"] for r in simhash.keep_one(frame).collect()] == [5]
