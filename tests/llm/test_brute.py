@@ -145,12 +145,23 @@ def test_column_generation():
 
 def test_fingerprints(spark, docs, texts):
     digest = lambda x: {xxhash.xxh64(p.encode(), seed=42).intdigest() for p in re.findall(fingerprints.PARAGRAPH, x)}
+
+    def shown(items):
+        third, cells = fingerprints.PRINT_CELLS // 3, [[0, 0, 0] for _ in range(fingerprints.PRINT_CELLS)]
+        for d in items:
+            check = xxhash.xxh64(struct.pack("<Q", d), seed=42).intdigest()
+            for k in range(3):
+                c = cells[k * third + (d >> 34 + 10 * k & 1023) % third]
+                c[0], c[1], c[2] = c[0] + 1, c[1] ^ d, c[2] ^ check
+        return "".join(f"{n:08x}{k:016x}{h:016x}" for n, k, h in cells)
+
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     got = {r["doc_id"]: r for r in fingerprints.compare_versions(docs).collect()}
     order = texts[::-1]
     for i, (k, x) in enumerate(order):
         y, half = order[(i + 1) % len(order)][1], len(x) // 2
         edited = x[: len(x) - half] + y[:half]
+        assert got[k]["fingerprint"] == shown(digest(x)) and got[k]["edited_fingerprint"] == shown(digest(edited))
         assert got[k]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[k]["n_chars"] == len(x)
         assert got[k]["near_edited"] == pytest.approx(like(digest(x), digest(edited))) and got[k]["near_next"] == pytest.approx(like(digest(x), digest(y)))
     by_text = collections.defaultdict(set)
@@ -159,6 +170,14 @@ def test_fingerprints(spark, docs, texts):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_ranges_of_ids(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    monkeypatch.setattr(fingerprints, "FANOUT", 5)
+    got = {r["doc_id"]: r for r in fingerprints.with_next(docs).collect()}
+    for i, (k, x) in enumerate(texts):
+        assert got[k]["text"] == x and got[k]["next_text"] == texts[i - 1][1]
+
+
 def test_lm(docs, texts):
     got = lm.score(docs).toPandas().set_index("doc_id")
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in texts}
