@@ -7,8 +7,10 @@ or another, is removed; overlaps count, and windows are judged on the input.
    equal windows have their anchor at the same offset.  Windows next to each other with
    one anchor and offsets of one class form a context; all of them hold the same core of
    over 200 bytes, whose hash is the key under which equal windows must meet.
-2. Contexts whose key occurs once hold no repeat.  Where all contexts of a key are
-   equal, all their windows repeat.  The others are gathered, each distinct one once.
+2. Contexts whose key occurs once hold no repeat.  A context's identity is a BLAKE2b
+   digest of 128 bits over its bytes and its anchor's offset.
+   Where all contexts of a key are equal by it, all their windows repeat.  The others
+   are gathered, each distinct one once.
 3. Per block of contexts a Burrows-Wheeler transform is built and expanded: breadth
    first, all intervals of strings of length l are extended backward by one byte, and
    each right boundary reached for the first time has l as its common prefix.  The
@@ -17,7 +19,8 @@ or another, is removed; overlaps count, and windows are judged on the input.
    of windows unique in their block, and of one window of each repeat, meet by
    aggregation to find repeats across blocks.
 
-Texts travel twice (contexts out, spans back), never grouped by passage.
+Keys and contexts with a share of all rows (at most 1 / ``HOT_SHARE`` of them) are joined
+by broadcast, the others by a shuffle.  Texts travel twice (contexts out, spans back), never grouped by passage.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than ``length``
 stay; equal rows repeat each other; an empty table gives an empty result; extra columns
@@ -40,6 +43,10 @@ LENGTH = 400
 GRAM = 16
 #: Distinct contexts of one key that a block takes; more are dealt to several.
 BLOCK_CONTEXTS = 2048
+#: A key or context is hot with this share of all rows; so few of them exist that they can be broadcast.
+HOT_SHARE, HOT_ROWS = 1 / 2_000, 1_000
+#: Bytes of contexts that a judging task takes, about.
+TASK_BYTES = 8_000_000
 #: Bytes of contexts that one transform covers, and documents' bytes hashed at once.
 BLOCK_BYTES, SEGMENT = 1_500_000, 4_000_000
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,7 +104,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts_of(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """key, ctx, first and last window start of every context of one text."""
+    """key, ctx and ctx2 (the halves of its digest), first and last window start of every context of one text."""
     width = length - GRAM + 1
     half = -(-width // 2)
     parts = []
@@ -114,11 +121,13 @@ def contexts_of(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...
         hi = np.concatenate([change, [len(anchor)]]) - 1
         p, c = anchor[lo], offset_class[lo]
         core = np.maximum(p - c * half, 0), np.minimum(p - (c + 1) * half + 1 + length, len(piece))
-        h1, h2 = RollingHash(piece, _B1), RollingHash(piece, _B2)
-        key = h1.of(*core) + c.astype(np.uint64)
-        ctx = h2.of(lo, hi + length) ^ ((p - lo) * 1_000_003 + (p - hi)).astype(np.uint64) * _B1
-        parts.append((key.view(np.int64), ctx.view(np.int64), lo + at, hi + at))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
+        key = RollingHash(piece, _B1).of(*core) + c.astype(np.uint64)
+        view, digests = memoryview(piece), []
+        for start, stop, shift in zip(lo.tolist(), (hi + length).tolist(), (p - lo).tolist()):
+            digests.append(hashlib.blake2b(view[start:stop], digest_size=16, salt=shift.to_bytes(8, "little")).digest())
+        ctx = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        parts.append((key.view(np.int64), ctx[:, 0], ctx[:, 1], lo + at, hi + at))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def suffix_order(symbols: np.ndarray, breaks: np.ndarray, depth: int) -> np.ndarray:
@@ -214,37 +223,40 @@ def _context_rows(docs: DataFrame, length: int) -> DataFrame:
             for start in range(0, b.num_rows, 256):
                 rows = [(i, contexts_of(np.frombuffer((b["text"][i].as_py() or "").encode(), np.uint8), length)) for i in range(start, min(start + 256, b.num_rows))]
                 index = pa.array(np.repeat([i for i, _ in rows], [len(r[0]) for _, r in rows]))
-                columns = [pa.array(np.concatenate([r[k] for _, r in rows]), pa.int64()) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(index), b["h"].take(index), *columns], ["doc_id", "h", "key", "ctx", "lo", "hi"])
+                columns = [pa.array(np.concatenate([r[k] for _, r in rows]), pa.int64()) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(index), b["h"].take(index), *columns], ["doc_id", "h", "key", "ctx", "ctx2", "lo", "hi"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, key long, ctx long, lo long, hi long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, key long, ctx long, ctx2 long, lo long, hi long")
 
 
 def _extract(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """key, ctx, n (occurrences), blocks and the bytes of each distinct context, read from its first occurrence."""
-    lists = wanted.groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("x")).agg(F.collect_list(F.struct("key", "ctx", "n", "blocks", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("spots"))
+    """key, ctx, ctx2, n (occurrences), blocks and the bytes of each distinct context, read from its first occurrence."""
+    lists = wanted.groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("x")).agg(F.collect_list(F.struct("key", "ctx", "ctx2", "n", "blocks", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("spots"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     held = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))).select("text", "spots")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "ctx", "n", "blocks"]
+        names = ["key", "ctx", "ctx2", "n", "blocks"]
         for b in batches:
             for i in range(b.num_rows):
                 data, spots = b["text"][i].as_py().encode(), b["spots"][i].as_py()
                 arrays = [pa.array([s[c] for s in spots], pa.int64()) for c in names]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([data[s["lo"] : s["hi"] + length] for s in spots], pa.binary())], [*names, "bytes"])
 
-    return held.mapInArrow(cut, "key long, ctx long, n long, blocks long, bytes binary")
+    return held.mapInArrow(cut, "key long, ctx long, ctx2 long, n long, blocks long, bytes binary")
 
 
 def _judge(contexts: DataFrame, length: int) -> DataFrame:
     """Per distinct context the windows that repeat (``ranges``: from, to) and, in keys of several blocks, hashes of windows still to be compared."""
-    dealt = contexts.withColumn("block", F.pmod("ctx", F.col("blocks"))).repartition("key", "block").sortWithinPartitions("key", "block")
+    contexts = stored(contexts)
+    size = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    tasks = max(contexts.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    dealt = contexts.withColumn("block", F.pmod("ctx", F.col("blocks"))).repartition(int(tasks), "key", "block").sortWithinPartitions("key", "block")
 
     def judge(rows: list[tuple]) -> pa.RecordBatch:
-        begins, repeated, sample = repeated_starts([r[3] for r in rows], length)
+        begins, repeated, sample = repeated_starts([r[4] for r in rows], length)
         out = []
-        for (key, ctx, n, text, blocks), at in zip(rows, begins):
+        for (key, ctx, ctx2, n, text, blocks), at in zip(rows, begins):
             windows = len(text) - length + 1
             hit, one = repeated[at : at + windows].copy(), sample[at : at + windows]
             todo = []
@@ -257,41 +269,57 @@ def _judge(contexts: DataFrame, length: int) -> DataFrame:
             if n > 1:
                 hit[:] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            out.append((key, ctx, [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])], todo))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("w", pa.int64()), ("open", pa.bool_())]))]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "ctx", "ranges", "todo"])
+            out.append((key, ctx, ctx2, [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2])], todo))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("w", pa.int64()), ("open", pa.bool_())]))]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "ctx", "ctx2", "ranges", "todo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for b in batches:
-            for key, ctx, n, blocks, text, block in zip(*(b[c].to_pylist() for c in ("key", "ctx", "n", "blocks", "bytes", "block"))):
+            for key, ctx, ctx2, n, blocks, text, block in zip(*(b[c].to_pylist() for c in ("key", "ctx", "ctx2", "n", "blocks", "bytes", "block"))):
                 if size >= BLOCK_BYTES and (key, block) != last:
                     yield judge(held)
                     held, size = [], 0
-                held.append((key, ctx, n, text, blocks))
+                held.append((key, ctx, ctx2, n, text, blocks))
                 size += len(text)
                 last = key, block
         if held:
             yield judge(held)
 
-    return dealt.mapInArrow(run, "key long, ctx long, ranges array<struct<a:long,b:long>>, todo array<struct<h1:long,h2:long,w:long,open:boolean>>")
+    return dealt.mapInArrow(run, "key long, ctx long, ctx2 long, ranges array<struct<a:long,b:long>>, todo array<struct<h1:long,h2:long,w:long,open:boolean>>")
+
+
+def _split_join(rows: DataFrame, facts: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """``rows`` joined with ``facts`` (unique by ``on``; n is the number of rows that match).
+
+    Facts of ``hot`` rows or more are broadcast, so no key gathers more rows in a task;
+    there are at most as many of them as ``hot`` goes into the number of rows.
+    """
+    heavy = F.broadcast(facts.where(F.col("n") >= hot))
+    light = rows.join(F.broadcast(facts.where(F.col("n") >= hot).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(light.join(facts.where(F.col("n") < hot), on))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, h (hash of the text) and spans (byte from, to; unmerged) of the documents with repeats."""
     rows = stored(_context_rows(docs, length))
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where(F.col("n") > 1)
-    shared = stored(rows.join(keys.select("key", (F.col("c0") == F.col("c1")).alias("alike")), "key"))
+    hot = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
+    digest = F.struct("ctx", "ctx2")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("c0"), F.max(digest).alias("c1")).where(F.col("n") > 1)
+    shared = stored(_split_join(rows, stored(keys.select("key", "n", (F.col("c0") == F.col("c1")).alias("alike"))), ["key"], hot).drop("n"))
     differing = shared.where(~F.col("alike"))
-    distinct = differing.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("first"))
+    distinct = differing.groupBy("key", "ctx", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("first"))
     distinct = materialize(distinct)
-    blocks = distinct.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CONTEXTS)).alias("blocks"))
-    judged = stored(_judge(_extract(docs, distinct.join(blocks, "key"), length), length))
-    todo = judged.select("key", "ctx", F.inline("todo"))
+    blocks = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("of")).select("key", "of", F.ceil(F.col("of") / F.lit(BLOCK_CONTEXTS)).alias("blocks"))
+    wanted = _split_join(distinct.withColumnRenamed("n", "times"), materialize(blocks.withColumnRenamed("of", "n")), ["key"], hot).drop("n").withColumnRenamed("times", "n")
+    judged = stored(_judge(_extract(docs, wanted, length), length))
+    todo = judged.select("key", "ctx", "ctx2", F.inline("todo"))
     twice = todo.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1", "h2")
-    across = todo.where("open").join(twice, ["h1", "h2"]).select("key", "ctx", F.col("w").alias("a"), (F.col("w") + 1).alias("b"))
-    ranges = judged.select("key", "ctx", F.inline("ranges")).unionByName(across)
-    hits = differing.join(ranges, ["key", "ctx"]).select("doc_id", "h", (F.col("lo") + F.col("a")).alias("from"), (F.col("lo") + F.col("b") - 1 + length).alias("to"))
+    across = todo.where("open").join(twice, ["h1", "h2"]).select("key", "ctx", "ctx2", F.col("w").alias("a"), (F.col("w") + 1).alias("b"))
+    ranges = judged.select("key", "ctx", "ctx2", F.inline("ranges")).unionByName(across).groupBy("key", "ctx", "ctx2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = stored(ranges.join(distinct.select("key", "ctx", "ctx2", "n"), ["key", "ctx", "ctx2"]))
+    met = _split_join(differing, ranges, ["key", "ctx", "ctx2"], hot).select("doc_id", "h", "lo", F.inline("ranges"))
+    hits = met.select("doc_id", "h", (F.col("lo") + F.col("a")).alias("from"), (F.col("lo") + F.col("b") - 1 + length).alias("to"))
     whole = shared.where("alike").select("doc_id", "h", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
     return whole.unionByName(hits).groupBy("doc_id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
