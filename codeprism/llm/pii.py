@@ -15,7 +15,7 @@ next candidate, included) and its shape with the word to the left.
 On the graph of distinct (pattern, instance) pairs a pattern's confidence for a kind is
 the number of its known instances over all its instances plus ``SMOOTHING``, if they are
 ``MIN_SUPPORT`` or more.  An instance that is not known scores 1 - prod(1 - confidence)
-over the best pattern of each side (left, right, shape).  Instances of ``MIN_SCORE`` or
+over the best pattern of each side (left, right, shape; ``MAX_SIDE`` at most).  Instances of ``MIN_SCORE`` or
 more become known, and so on until none is added; known sets only grow, so this ends.
 Known instances are added wherever they occur outside base spans.
 
@@ -47,6 +47,8 @@ SECRET = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_/+=-]{20,}$"
 AROUND = "\"'()[]{}<>,;:!?."
 BLANKS = "\n\t\r\x0b\x0c"
 SMOOTHING, MIN_SUPPORT, MIN_SCORE = 1.0, 3, 0.9
+#: What the best pattern of one side counts at most: less than ``MIN_SCORE``, so that two sides must agree.
+MAX_SIDE = 0.85
 #: Matches whose lengths are summed one by one; the sums of earlier blocks are at hand.
 BLOCK = 128
 #: Confident patterns and known instances are broadcast up to this number, joined by a shuffle beyond it.
@@ -155,7 +157,7 @@ def contextual_spans(found: DataFrame, key: str = "key", smoothing: float = SMOO
         held = edges.join(broadcast_if_small(known, BROADCAST_ROWS), "instance").groupBy("side", "pattern", "kind").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= min_support)
         sure = materialize(held.join(size, ["side", "pattern"]).select("side", "pattern", "kind", (F.col("s") / (F.col("n") + F.lit(smoothing))).alias("c")).where(F.col("c") >= 1 - (1 - min_score) ** (1 / 3) - 1e-9))
         sides = edges.join(broadcast_if_small(sure, BROADCAST_ROWS), ["side", "pattern"]).groupBy("instance", "kind", "side").agg(F.max("c").alias("c"))
-        scored = sides.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("score")).where(F.col("score") >= min_score)
+        scored = sides.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(MAX_SIDE)))))).alias("score")).where(F.col("score") >= min_score)
         new = scored.groupBy("instance").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind")).join(known.select("instance"), "instance", "left_anti")
         known, before = materialize(known.unionByName(new)), count
         count = known.count()
