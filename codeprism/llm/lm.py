@@ -1,44 +1,47 @@
 """Language-model scores by logistic context mixing over the bits of words.
 
-A text is its words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and one end.  The
-``symbols`` most frequent tokens of the training documents and one symbol for all
-others get a Huffman code, so a token is a walk of a few binary decisions.  Each
-decision is predicted by three counters: of the code's node alone, of (previous
-symbol, node) and of (two previous symbols, node), the latter two hashed into tables
-of fixed size.  Their logits are mixed by weights that a gate picks (how much the two
-hashed counters have seen); an adaptive probability map then corrects the mixed
-probability.  Weights and map, a few hundred numbers, are learned online over all
-training documents in every partition (a bit's own count is left out) and averaged;
-vocabulary and counters cover all of them.
-A token outside the table costs its symbol plus its share of the rare tokens' mass,
+A text is its words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and one end.  The most
+frequent tokens of the training documents and one symbol for all others get a Huffman
+code, so a token is a walk of a few binary decisions.  Each decision is predicted by
+three counters: of the code's node alone, of (previous symbol, node) and of (two
+previous symbols, node), the latter two hashed into tables.  Their logits are mixed by
+weights that a gate picks (how much the two hashed counters have seen); an adaptive
+probability map then corrects the mixed probability.  Weights and map, a few hundred
+numbers, are learned online over all training documents in every partition: after each
+``STEP`` decisions the weights follow the error by rates that shrink with what each
+weight has moved (a bit's own count is left out); partitions are averaged.
+A token outside the code costs its symbol plus its share of the rare tokens' mass,
 (c + 0.5) of the sum, with c its training count and 0 for unknown tokens.
 
-The driver and the tasks hold the symbols, the two tables and the counts of about
-``HELD_WORDS`` words, whose sizes are parameters.  Counts of rarer tokens stay
-distributed and are joined.
+Vocabulary, counters, weights and map cover all training documents.  Tables grow with
+the square root of the training tokens N, 2**(7 + log2(N) / 2) slots and a quarter as
+many coded words, up to ``MAX_TABLE_BITS`` and ``MAX_SYMBOLS``, which bound what driver
+and tasks hold; they also hold the counts of about ``HELD_WORDS`` words.  Counts of all
+rarer tokens stay distributed and are joined.
 
-Edge cases: null and empty texts are one end; repeated rows are scored alike; a null
-doc_id counts as empty text in the split; without training documents N and V are 0 and
-every token is unknown; an empty table gives an empty result; other columns are unread.
+Edge cases: null and empty texts are one end; repeated rows are scored alike; very long
+texts are worked on in pieces whose contexts run on; a null doc_id counts as empty text
+in the split; without training documents N and V are 0 and every token is unknown; an
+empty table gives an empty result; other columns are unread.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeprism.llm.common import stored
 
-SYMBOLS, TABLE_BITS = 65_536, 18
+MAX_TABLE_BITS, MAX_SYMBOLS = 24, 1 << 20
 #: Words whose counts tasks hold, about; counts of rarer ones are joined.
 HELD_WORDS = 327_680
 #: Folds by crc32 of the id as text, and the one that is held out.
@@ -47,7 +50,9 @@ FOLDS, HELD = 5, 1
 END = b""
 #: Count levels of a hashed counter that gates tell apart: 0, 1 to 3, 4 to 15, more.
 LEVEL = np.searchsorted([1, 4, 16], np.arange(17), side="right").astype(np.int8)
-GATES, STEPS, RATE, PRIOR = 16, 33, 0.02, 0.4
+GATES, STEPS, RATE, PRIOR = 16, 33, 0.05, 0.4
+#: Decisions between two steps of the weights, and counters that travel together.
+STEP, CHUNK = 4_096, 16_384
 #: Tokens that are worked on together, and distinct tokens that a task counts before it passes them on.
 BATCH, DISTINCT = 60_000, 200_000
 
@@ -104,7 +109,7 @@ class Code:
 class Model:
     """What all tasks share: symbols, code, counters, weights and map."""
 
-    def __init__(self, top: list[tuple[bytes, int]], rare_mass: float, table_bits: int = TABLE_BITS):
+    def __init__(self, top: list[tuple[bytes, int]], rare_mass: float, table_bits: int = 18):
         self.ids = {word: i for i, (word, _) in enumerate(top)}
         self.counts = np.array([c for _, c in top], float)
         self.rare, self.first, self.bits = len(top), len(top) + 1, table_bits
@@ -112,17 +117,21 @@ class Model:
         self.base = np.log10(np.append(self.counts + 0.5, 1.0))
         self.slots = [self.code.inner, 1 << table_bits, 1 << table_bits]
         self.weights = np.tile(np.array([0.4, 0.3, 0.3, 0.0]), (GATES, 1))
-        self.map = np.zeros((STEPS, 2))
+        self.map, self.moved = np.zeros((STEPS, 2)), np.zeros((GATES, 4))
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.get, words, repeat(self.rare)), np.int64, len(words))
 
-    def decisions(self, symbols: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Owner token, bit and the slots in the three tables of every decision; firsts: where texts begin."""
+    def contexts(self, symbols: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols one and two places before each; firsts: where texts begin."""
         one = np.concatenate([[self.first], symbols[:-1]])
         one[firsts] = self.first
         two = np.concatenate([[self.first], one[:-1]])
         two[firsts] = self.first
+        return one, two
+
+    def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Owner token, bit and the slots in the three tables of every decision."""
         size = self.code.size[symbols]
         owner = np.repeat(np.arange(len(symbols)), size)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.code.start[symbols][owner]
@@ -134,6 +143,13 @@ class Model:
         mix = self.code.mix[node]
         return owner, bit, [node, *((((c[owner] + mix) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64) for c in (c1, c2))]
 
+    def pieces(self, symbols: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]:
+        """Decisions of a run, a bounded piece at a time; contexts run on where a long text is cut."""
+        one, two = self.contexts(symbols, firsts)
+        for at in range(0, len(symbols), BATCH):
+            part = slice(at, min(len(symbols), at + BATCH))
+            yield part, self.decisions(symbols[part], one[part], two[part])
+
     def seal(self) -> None:
         """Logits and levels of all counters take the place of the counters, for scoring."""
         self.logits = [_logs(t[:, 1]) - _logs(t[:, 0]) for t in self.tables]
@@ -162,29 +178,34 @@ class Model:
 
     def log10(self, symbols: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol in its context."""
-        owner, bit, slots = self.decisions(symbols, firsts)
-        z = self.mixed(*self.inputs(slots, None))
-        p = 1 / (1 + np.exp(-z))
-        step = (z + 12) * np.float32((STEPS - 1) / 24)
-        low = np.minimum(step.astype(np.int64), STEPS - 2)
         refined = self.map[:, 1] + 20 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
         refined = (refined / (self.map.sum(axis=1) + 20)).astype(np.float32)
-        # z stays within 12, so p is 3e-6 at least, as is 1 - p: single precision will do
-        p = (p + refined[low] + np.diff(refined)[low] * (step - low.astype(np.float32))) / 2
-        return np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(symbols))
+        out = np.zeros(len(symbols))
+        for part, (owner, bit, slots) in self.pieces(symbols, firsts):
+            z = self.mixed(*self.inputs(slots, None))
+            p = 1 / (1 + np.exp(-z))
+            step = (z + 12) * np.float32((STEPS - 1) / 24)
+            low = np.minimum(step.astype(np.int64), STEPS - 2)
+            # z stays within 12, so p is 3e-6 at least, as is 1 - p: single precision will do
+            p = (p + refined[low] + np.diff(refined)[low] * (step - low.astype(np.float32))) / 2
+            out[part] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), part.stop - part.start)
+        return out
 
     def learn(self, symbols: np.ndarray, firsts: np.ndarray) -> None:
-        """One online step of weights and map."""
-        _, bit, slots = self.decisions(symbols, firsts)
-        x, gate = self.inputs(slots, bit)
-        z = self.mixed(x, gate)
-        miss = bit - 1 / (1 + np.exp(-z))
-        seen = np.bincount(gate, minlength=GATES)
-        for k in range(4):
-            step = np.bincount(gate, miss * x[k] if k < 3 else miss, GATES) / np.maximum(seen, 1)
-            self.weights[:, k] += RATE * np.clip(step, -1, 1) * np.minimum(1, seen / 100)
-        near = np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
-        self.map += np.bincount(near * 2 + bit, minlength=2 * STEPS).reshape(STEPS, 2)
+        """Online steps of weights and map over a run of training symbols."""
+        for _, (_, bit, slots) in self.pieces(symbols, firsts):
+            x, gate = self.inputs(slots, bit)
+            for at in range(0, len(bit), STEP):
+                part = slice(at, at + STEP)
+                inputs, g, b = [v[part] for v in x], gate[part], bit[part]
+                z = self.mixed(inputs, g)
+                miss = b - 1 / (1 + np.exp(-z))
+                seen = np.maximum(np.bincount(g, minlength=GATES), 1)
+                pull = np.stack([np.bincount(g, miss * v, GATES) / seen for v in (*inputs, 1)], axis=1)
+                self.moved += pull * pull
+                self.weights += RATE * pull / np.sqrt(self.moved + 1e-6)
+                near = np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
+                self.map += np.bincount(near * 2 + b, minlength=2 * STEPS).reshape(STEPS, 2)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[bytes], np.ndarray]]:
@@ -214,11 +235,15 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
-def _pieces(symbols: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """A run cut where a single long text exceeds the batch; the context starts anew there."""
-    for at in range(0, len(symbols), 4 * BATCH):
-        part = slice(at, min(len(symbols), at + 4 * BATCH))
-        yield part, np.concatenate([[0], firsts[(firsts > at) & (firsts < part.stop)] - at])
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, symbols and text starts for runs of coded rows of about ``BATCH`` symbols."""
+    for b in batches:
+        ends = np.asarray(b["ids"].offsets).astype(np.int64)
+        ids, row = np.asarray(b["ids"].values).astype(np.int64), 0
+        while row < b.num_rows:
+            stop = min(b.num_rows, max(row + 1, int(np.searchsorted(ends, ends[row] + BATCH, side="right")) - 1))
+            yield b.slice(row, stop - row), ids[ends[row] : ends[stop]], ends[row:stop] - ends[row]
+            row = stop
 
 
 def frequent(counts: DataFrame, most: int, least: int) -> list[tuple[bytes, int]]:
@@ -241,104 +266,155 @@ def frequent(counts: DataFrame, most: int, least: int) -> list[tuple[bytes, int]
     return sorted(zip(words["word"].to_pylist(), words["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def train(tokens: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BITS) -> tuple[Model, DataFrame, int, int]:
-    """The model, the training counts (word, c), and N and V; ``tokens`` has held and text (binary)."""
-    spark = tokens.sparkSession
+def sized(n: int) -> tuple[int, int]:
+    """Coded symbols and bits of the hashed tables for n training tokens."""
+    bits = min(MAX_TABLE_BITS, max(10, math.ceil(7 + math.log2(max(n, 1)) / 2)))
+    return min(MAX_SYMBOLS, 1 << (bits - 2)), bits
+
+
+def vocabulary(tokens: DataFrame, symbols: int | None = None, table_bits: int | None = None) -> tuple[Model, DataFrame, int, int]:
+    """The model before learning, the training counts (word, c), and N and V; ``tokens`` has held and text (binary)."""
     known = tokens.where(~F.col("held")).select("text")
     counts = stored(known.mapInArrow(_tally, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total["n"], total["v"]
+    most, bits = sized(n)
+    symbols, table_bits = symbols or most, table_bits or bits
     held = frequent(counts, max(symbols, HELD_WORDS), symbols)
     top, more = held[:symbols], held[symbols:]
-    rare = n - sum(c for _, c in top) + 0.5 * (v - len(top) + 1)
-    model = Model(top, rare, table_bits)
+    model = Model(top, n - sum(c for _, c in top) + 0.5 * (v - len(top) + 1), table_bits)
+    model.more = dict(more)
+    return model, counts, n, v
+
+
+def coded(tokens: DataFrame, model: Model, *names: str) -> DataFrame:
+    """Columns ``names`` of ``tokens`` with rid, ids (symbols), n_tokens, known, many (rare tokens), heavy and held_logs
+    (sums of log10 weights that tasks know) and rare (the other words, for a join)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, rows, place = shared.value, 0, TaskContext.get().partitionId() << 33
+        for b, row, stop, words, firsts in _runs(batches):
+            ids, size = m.symbols(words), stop - row
+            bounds = np.append(firsts, len(ids))
+            text = np.repeat(np.arange(size), np.diff(bounds))
+            at = np.flatnonzero(ids == m.rare)
+            held = np.fromiter((m.more.get(words[i], 0) for i in at), np.int64, len(at))
+            far = at[held == 0]
+            sent = np.bincount(text[far], minlength=size)
+            arrays = {
+                "rid": pa.array(place + rows + np.arange(size)), **{c: b.slice(row, size)[c] for c in names},
+                "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                "n_tokens": pa.array(np.diff(bounds), pa.int64()), "known": pa.array(np.diff(bounds) - sent, pa.int64()),
+                "many": pa.array(np.bincount(text[at], minlength=size), pa.int64()), "heavy": pa.array(np.bincount(text, m.base[ids], size), pa.float64()),
+                "held_logs": pa.array(np.bincount(text[at], np.where(held > 0, np.log10(held + 0.5), 0), size).astype(float)),
+                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sent)]), pa.int32()), pa.array([words[i] for i in far], pa.binary())),
+            }
+            rows += size
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+    kinds = dict(tokens.dtypes)
+    own = "".join(f"{c} {kinds[c]}, " for c in names)
+    return tokens.mapInArrow(run, f"rid long, {own}ids array<int>, n_tokens long, known long, many long, heavy double, held_logs double, rare array<binary>")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of counters that several tasks sent, added up: t, chunk, counts (little-endian long)."""
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for t, chunk, counts in zip(*(b[c].to_pylist() for c in ("t", "chunk", "counts"))):
+            own = np.frombuffer(counts, "<i4").astype(np.int64)
+            seen[t, chunk] = seen[t, chunk] + own if (t, chunk) in seen else own
+    if seen:
+        t, chunk = zip(*seen)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(chunk, pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], ["t", "chunk", "counts"])
+
+
+def fitted(model: Model, known: DataFrame) -> Model:
+    """``model`` with counters, weights and map learned from all rows of ``known`` (ids)."""
+    spark = known.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sums = [np.zeros(2 * size, np.int64) for size in m.slots]
-        for _, _, _, words, firsts in _runs(batches):
-            ids = m.symbols(words)
-            for part, starts in _pieces(ids, firsts):
-                _, bit, slots = m.decisions(ids[part], starts)
+        sums = [np.zeros(2 * size, np.int32) for size in m.slots]
+        for _, ids, firsts in _coded(batches):
+            for _, (_, bit, slots) in m.pieces(ids, firsts):
                 for total, slot in zip(sums, slots):
-                    total += np.bincount(2 * slot + bit, minlength=len(total))
-        for k, total in enumerate(sums):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["t", "at", "n"])
-
-    # Each task sends up to all slots, so several partitions share one where that leaves no core idle.
-    tasks = max(spark.sparkContext.defaultParallelism, known.rdd.getNumPartitions() // 8)
-    counted = known.coalesce(tasks).mapInArrow(count, "t int, at int, n long").groupBy("t", "at").agg(F.sum("n").alias("n"))
-    found = stored(counted).toArrow()
-    kind, at, n_at = (np.asarray(found[c].combine_chunks()) for c in ("t", "at", "n"))
+                    at, n = np.unique(2 * slot + bit, return_counts=True) if len(slot) < len(total) // 8 else (slice(None), np.bincount(2 * slot + bit, minlength=len(total)))
+                    total[at] += n.astype(np.int32)
+        for t, total in enumerate(sums):
+            for chunk in range(0, len(total), CHUNK):
+                part = total[chunk : chunk + CHUNK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([chunk // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["t", "chunk", "counts"])
+
+    # Each task sends its tables whole, so several partitions share one where that leaves no core idle.
+    tasks = max(spark.sparkContext.defaultParallelism, known.rdd.getNumPartitions() // 4)
+    sent = known.select("ids").coalesce(tasks).mapInArrow(count, "t int, chunk int, counts binary")
+    found = stored(sent.repartition("t", "chunk").mapInArrow(_sums, "t int, chunk int, counts binary")).toArrow()  # the tables, whose size is bounded
     shared.destroy()  # what it served is stored
     model.tables = [np.zeros((size, 2), np.int64) for size in model.slots]
-    for k, table in enumerate(model.tables):
-        table.reshape(-1)[at[kind == k]] = n_at[kind == k]
-    counted_model = spark.sparkContext.broadcast(model)
+    for t, chunk, counts in zip(*(found[c].to_pylist() for c in ("t", "chunk", "counts"))):
+        part = np.frombuffer(counts, "<i8")
+        model.tables[t].reshape(-1)[chunk * CHUNK : chunk * CHUNK + len(part)] = part
+    counted = spark.sparkContext.broadcast(model)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
-        m, tokens_seen = copy.copy(counted_model.value), 0
-        m.weights, m.map = m.weights.copy(), m.map.copy()
-        for _, _, _, words, firsts in _runs(batches):
-            ids = m.symbols(words)
-            tokens_seen += len(ids)
-            for part, starts in _pieces(ids, firsts):
-                m.learn(ids[part], starts)
-        if tokens_seen:
-            values = np.concatenate([m.weights.ravel() * tokens_seen, m.map.ravel(), [tokens_seen]])
+        m, seen = copy.copy(counted.value), 0
+        m.weights, m.map, m.moved = m.weights.copy(), m.map.copy(), m.moved.copy()
+        for _, ids, firsts in _coded(batches):
+            seen += len(ids)
+            m.learn(ids, firsts)
+        if seen:
+            values = np.concatenate([m.weights.ravel() * seen, m.map.ravel(), [seen]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "x"])
 
-    learned = {r["i"]: r["x"] for r in known.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a few hundred numbers
-    counted_model.destroy()
+    learned = {r["i"]: r["x"] for r in known.select("ids").mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # a few hundred numbers
+    counted.destroy()
     if learned:
         values = np.array([learned[i] for i in range(len(learned))])
         model.weights = (values[: 4 * GATES] / values[-1]).reshape(GATES, 4)
         model.map = values[4 * GATES : -1].reshape(STEPS, 2)
     model.seal()
-    model.more = dict(more)
-    return model, counts, n, v
+    return model
 
 
-def score(docs: DataFrame, symbols: int = SYMBOLS, table_bits: int = TABLE_BITS) -> DataFrame:
+def train(tokens: DataFrame, symbols: int | None = None, table_bits: int | None = None) -> tuple[Model, DataFrame, int, int]:
+    """The model, the training counts (word, c), and N and V; ``tokens`` has held and text (binary)."""
+    model, counts, n, v = vocabulary(tokens, symbols, table_bits)
+    return fitted(model, stored(coded(tokens.where(~F.col("held")), model))), counts, n, v
+
+
+def score(docs: DataFrame, symbols: int | None = None, table_bits: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     tokens = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    model, counts, n, v = train(tokens, symbols, table_bits)
+    tokens = tokens.withColumn("bytes", F.octet_length("text").cast("long"))
+    model, counts, n, v = vocabulary(tokens, symbols, table_bits)
+    rows = stored(coded(tokens, model, "doc_id", "held", "bytes"))
+    model = fitted(model, rows.where(~F.col("held")))
+    mass = n - float(model.counts.sum()) + 0.5 * (v - len(model.counts) + 1)
+    del model.more  # served in coding
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    passed = ["rid", "doc_id", "held", "bytes", "n_tokens", "known", "many", "heavy", "held_logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rows, place = shared.value, 0, TaskContext.get().partitionId() << 33
-        for b, row, stop, words, firsts in _runs(batches):
-            ids = m.symbols(words)
-            logs = np.concatenate([m.log10(ids[part], starts) for part, starts in _pieces(ids, firsts)])
-            text = np.repeat(np.arange(stop - row), np.diff(np.append(firsts, len(ids))))
-            rare = ids == m.rare
-            heavy = np.bincount(text, m.base[ids], stop - row)
-            at = np.flatnonzero(rare)
-            held = np.fromiter((m.more.get(words[i], 0) for i in at), np.int64, len(at))
-            logs_held = np.bincount(text[at], np.where(held > 0, np.log10(held + 0.5), 0), stop - row)
-            far = at[held == 0]
-            many = np.bincount(text[at], minlength=stop - row)
-            sent = np.bincount(text[far], minlength=stop - row)
-            known = np.diff(np.append(firsts, len(ids))) - sent
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sent)]), pa.int32()), pa.array([words[i] for i in far], pa.binary()))
-            part = b.slice(row, stop - row)
-            arrays = [pa.array(place + rows + np.arange(stop - row)), part["doc_id"], part["held"], pc.binary_length(part["text"]).cast(pa.int64()), pa.array(np.diff(np.append(firsts, len(ids))).astype(np.int64)), pa.array(known), pa.array(many), pa.array(heavy + logs_held), pa.array(np.bincount(text, logs, stop - row) + logs_held), lists]
-            rows += stop - row
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "held", "bytes", "n_tokens", "known", "many", "heavy", "mixed", "rare"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = stored(tokens.mapInArrow(run, f"rid long, doc_id {kind}, held boolean, bytes long, n_tokens long, known long, many long, heavy double, mixed double, rare array<binary>"))
-    words = scored.select("rid", F.explode("rare").alias("word"))
+        for part, ids, firsts in _coded(batches):
+            logs = shared.value.log10(ids, firsts)
+            total = np.add.reduceat(logs, firsts)  # every text has its end
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in passed), pa.array(total)], [*passed, "mixed"])
+
+    kinds = dict(rows.dtypes)
+    scored = rows.select(*passed, "ids").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in passed) + ", mixed double")
+    words = rows.select("rid", F.explode("rare").alias("word"))
     c = F.coalesce("c", F.lit(0))
     rest = words.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.log10(c + 0.5)).alias("logs"), F.sum((c > 0).cast("long")).alias("found"))
-    mass = n - float(model.counts.sum()) + 0.5 * (v - len(model.counts) + 1)
-    base = F.col("heavy") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
-    mixed = F.col("mixed") + F.coalesce("logs", F.lit(0.0)) - F.col("many") * float(np.log10(mass))
-    return scored.drop("rare").join(rest, "rid", "left").select(
+    logs = F.col("held_logs") + F.coalesce("logs", F.lit(0.0))
+    base = F.col("heavy") + logs - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
+    mixed = F.col("mixed") + logs - F.col("many") * float(np.log10(mass))
+    return scored.join(rest, "rid", "left").select(
         "doc_id", F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"), mixed.alias("score"), F.when(F.col("bytes") > 0, -mixed / float(np.log10(2)) / F.col("bytes")).alias("bits_per_byte"),
     )
