@@ -67,7 +67,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     )
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key)
     out = rows.join(places, rows["key"].eqNullSafe(places["key"]), "left").select("row", F.split("row.text", "\n", -1).alias("all"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    kept = F.expr("CASE WHEN size(places) = 0 THEN row.text ELSE array_join(filter(all, (x, i) -> NOT array_contains(places, i)), '\n') END")
+    kept = F.expr("CASE WHEN size(places) = 0 THEN row.text ELSE array_join(transform(array_except(sequence(0, size(all) - 1), places), i -> all[i]), '\n') END")
     return out.select("row", kept.alias("text"), F.coalesce(F.when(F.col("row.text").isNotNull(), F.size("all")), F.lit(0)).cast("long").alias("n_lines"), F.size("places").cast("long").alias("n_removed"))
 
 
