@@ -1,13 +1,15 @@
 """URL filter: host and path rules first, else a weighted vocabulary.
 
-Explicit rules (host, path prefix, verdict) win; the longest fitting one decides.
+Terms come from a table (term, weight): weight ``STRICT_WEIGHT`` or more is strict, a
+lower one soft, none or zero is no term.  Explicit rules (host, path prefix, verdict) win; the longest fitting one decides.
 Other URLs are scanned once by an Aho-Corasick automaton over all terms.  A hit
 counts only if no ASCII letter or digit touches it on either side.  One strict term,
 or ``soft_limit`` different soft terms, reject the URL.
 
 Edge cases: null URLs and those without ``://`` have empty host and path, fit no
 rule and are judged by their text alone (null: allow); repeated rows are judged
-alike; an empty table gives an empty result; extra columns are not read.
+alike; very long URLs are scanned whole; an empty table gives an empty result, an empty
+vocabulary allows all; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,18 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 )
-STRICT = ("spam", "porn", "xxx", "casino", "viagra", "malware", "phishing", "warez")
-SOFT = ("cheap", "pills", "farm", "free", "win", "bonus", "loan", "adult", "bet", "click", "deal", "promo")
-SOFT_LIMIT = 2
+#: The default vocabulary; ``vocabulary`` takes another from a table.
+STRICT = (
+    "spam", "porn", "porno", "xxx", "casino", "viagra", "cialis", "malware", "phishing", "warez", "keygen", "hentai", "escort", "milf", "camgirl", "sexcam",
+    "blackjack", "roulette", "sportsbook", "payday",
+)
+SOFT = (
+    "cheap", "pills", "farm", "free", "win", "bonus", "loan", "loans", "adult", "bet", "click", "deal", "promo", "sex", "nude", "dating", "poker", "slots",
+    "crack", "torrent", "replica", "discount", "jackpot", "pharmacy", "seo", "backlinks",
+)
+#: Terms of a table at most, since every task holds them.
+MAX_TERMS = 1_000_000
+SOFT_LIMIT, STRICT_WEIGHT = 2, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -46,6 +57,14 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return best
 
 
+def vocabulary(terms: DataFrame, strict_weight: float = STRICT_WEIGHT) -> tuple[list[str], list[str]]:
+    """Strict and soft terms of a table with columns term and weight; letters count without case (ASCII)."""
+    rows = terms.where("term <> '' AND weight > 0").groupBy(F.translate("term", UPPER, LOWER).alias("term")).agg(F.max("weight").alias("weight")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return sorted(r["term"] for r in rows if r["weight"] >= strict_weight), sorted(r["term"] for r in rows if r["weight"] < strict_weight)
+
+
 def automaton(strict: Sequence[str], soft: Sequence[str]):
     import ahocorasick
 
@@ -62,6 +81,8 @@ def rejects(found, url: str | None, soft_limit: int = SOFT_LIMIT) -> bool:
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in url or "")
     inner = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
     soft = set()
+    if not len(found):
+        return False
     for end, (term, weight) in found.iter(text):
         if not inner(end + 1) and not inner(end - len(term)):
             if weight == 2:

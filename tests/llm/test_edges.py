@@ -47,6 +47,17 @@ def test_urls(spark):
     assert (out[2]["host"], out[2]["path"], out[12]["host"]) == ("", "", "b:")
 
 
+def test_url_terms_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", 1.5), ("so", 0.5), ("so", 0.2), ("la", 0.1), ("", 1.0), (None, 1.0), ("x", None)], "term string, weight double")
+    strict, soft = url_filter.vocabulary(terms)
+    assert (strict, soft) == (["bad"], ["la", "so"])
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["a://b/bad", "a://b/badly", "a://b/so", "a://b/so-la", "a://b/spam"])], "page_id long, url string")
+    judged = lambda **k: [r["verdict"] for r in url_filter.filter_urls(pages, **k).orderBy("page_id").collect()]
+    assert judged(strict=strict, soft=soft) == ["block", "allow", "allow", "block", "allow"]
+    assert judged(strict=(), soft=()) == ["allow"] * 5
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0 and url_filter.filter_urls(pages.union(pages)).count() == 10
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
 def test_stages(spark, odd, name, stage):
     out = stage(spark, odd, "")
@@ -68,6 +79,15 @@ def test_lines_keep_their_first_place(spark):
     assert all(r["n_removed"] == 0 for r in line_dedup.remove_boilerplate(docs.where("doc_id < 7"), min_sites=8).collect())
 
 
+def test_strict_host(spark):
+    text = lambda i, more: " ".join(f"w{i}x{k}" for k in range(60)) + more
+    rows = [(i, text(i, " #" * 9 if i % 20 == 0 or h == 3 and i % 2 else ""), f"h{h}") for h in range(10) for i in range(1000 * h, 1000 * h + 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r["doc_id"] for r in quality.judge(docs).where("NOT kept").collect()}
+    assert gone == {i for i, t, h in rows if h == "h3" and t.endswith("#")}
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {r[0] for r in rows} - gone
+
+
 def test_bad_host_goes(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60)) if i % 100 else "bad", "good") for i in range(300)] + [(1000 + i, "bad" if i else " ".join(f"v{k}" for k in range(60)), "evil") for i in range(100)], "doc_id long, text string, source string")
     kept = quality.judge(docs).where("kept")
