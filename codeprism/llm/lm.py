@@ -52,7 +52,9 @@ END = b""
 LEVEL = np.searchsorted([1, 4, 16], np.arange(17), side="right").astype(np.int8)
 GATES, STEPS, RATE, PRIOR = 16, 33, 0.05, 0.4
 #: Decisions between two steps of the weights, and counters that travel together.
-STEP, CHUNK = 4_096, 16_384
+STEP, CHUNK = 8_192, 16_384
+#: Steps of the mixed logit in one unit; a multiple of 4.
+GRAIN = 64
 #: Tokens that are worked on together, and distinct tokens that a task counts before it passes them on.
 BATCH, DISTINCT = 60_000, 200_000
 
@@ -91,19 +93,20 @@ class Code:
             parent[a[1]] = parent[b[1]] = node
             side[b[1]] = 1
             heapq.heappush(heap, (a[0] + b[0], node))
-        nodes, bits, self.size = [], [], np.zeros(n, np.int64)
-        for s in range(n):
-            at, path = s, []
-            while at != 2 * n - 2:
-                path.append((parent[at] - n, side[at]))
-                at = parent[at]
-            self.size[s] = len(path)
-            nodes += [p for p, _ in reversed(path)]
-            bits += [b for _, b in reversed(path)]
-        self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.int8)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        depth = np.zeros(max(1, 2 * n - 1), np.int32)
+        for node in range(2 * n - 3, -1, -1):  # a parent comes after its children
+            depth[node] = depth[parent[node]] + 1
+        self.size = depth[:n].copy()
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int32)
+        self.nodes, self.bits = np.zeros(int(self.size.sum()), np.int32), np.zeros(int(self.size.sum()), np.int8)
+        at, symbol, left = np.arange(n), np.arange(n), self.size.copy()
+        while len(symbol := symbol[left[symbol] > 0]):  # one step up for all symbols that are not at the root
+            left[symbol] -= 1
+            place, node = self.start[symbol] + left[symbol], at[symbol]
+            self.nodes[place], self.bits[place] = parent[node] - n, side[node]
+            at[symbol] = parent[node]
         self.inner = max(1, n - 1)
-        self.mix = np.arange(1, self.inner + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+        self.mix = np.arange(1, self.inner + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)
 
 
 class Model:
@@ -124,24 +127,30 @@ class Model:
 
     def contexts(self, symbols: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols one and two places before each; firsts: where texts begin."""
-        one = np.concatenate([[self.first], symbols[:-1]])
+        one = np.concatenate([[self.first], symbols[:-1]]).astype(np.uint64)
         one[firsts] = self.first
-        two = np.concatenate([[self.first], one[:-1]])
+        two = np.concatenate([np.array([self.first], np.uint64), one[:-1]])
         two[firsts] = self.first
         return one, two
 
     def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Owner token, bit and the slots in the three tables of every decision."""
         size = self.code.size[symbols]
-        owner = np.repeat(np.arange(len(symbols)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.code.start[symbols][owner]
-        node, bit = self.code.nodes[at].astype(np.int64), self.code.bits[at]
-        c1 = one.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
+        at = np.arange(len(owner), dtype=np.int32) + (self.code.start[symbols] - (np.cumsum(size, dtype=np.int32) - size))[owner]
+        node, bit = self.code.nodes[at], self.code.bits[at]
+        c1 = one * np.uint64(0x9E3779B97F4A7C15)
         c1 ^= c1 >> np.uint64(29)
-        c2 = c1 * np.uint64(0xBF58476D1CE4E5B9) + two.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        c2 = c1 * np.uint64(0xBF58476D1CE4E5B9) + two * np.uint64(0xC2B2AE3D27D4EB4F)
         c2 ^= c2 >> np.uint64(29)
-        mix = self.code.mix[node]
-        return owner, bit, [node, *((((c[owner] + mix) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64) for c in (c1, c2))]
+        mix, slots = self.code.mix[node], [node]
+        for c in (c1, c2):
+            h = (c >> np.uint64(32)).astype(np.uint32)[owner]
+            h += mix
+            h *= np.uint32(0x85EBCA6B)
+            h >>= np.uint32(32 - self.bits)
+            slots.append(h)
+        return owner, bit, slots
 
     def pieces(self, symbols: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]:
         """Decisions of a run, a bounded piece at a time; contexts run on where a long text is cut."""
@@ -150,62 +159,79 @@ class Model:
             part = slice(at, min(len(symbols), at + BATCH))
             yield part, self.decisions(symbols[part], one[part], two[part])
 
+    def ready(self) -> None:
+        """For learning: logits of all counters with one occurrence of the bit left out (by slot and bit), and their levels."""
+        self.without, self.levels = [], []
+        for t in self.tables:
+            x = np.empty(t.shape, np.float32)
+            x[:, 1] = _logs(np.maximum(t[:, 1] - 1, 0)) - _logs(t[:, 0])
+            x[:, 0] = _logs(t[:, 1]) - _logs(np.maximum(t[:, 0] - 1, 0))
+            self.without.append(x.reshape(-1))
+            self.levels.append(LEVEL[np.minimum(np.maximum(t.sum(axis=1) - 1, 0), len(LEVEL) - 1)])
+
     def seal(self) -> None:
-        """Logits and levels of all counters take the place of the counters, for scoring."""
+        """For scoring: logits and levels of all counters take the place of the counters."""
         self.logits = [_logs(t[:, 1]) - _logs(t[:, 0]) for t in self.tables]
         self.levels = [LEVEL[np.minimum(t.sum(axis=1), len(LEVEL) - 1)] for t in self.tables]
-        del self.tables
-
-    def inputs(self, slots: list[np.ndarray], bit: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Logits of the counters, and the gate; ``bit``: leave this occurrence out."""
-        if bit is None:
-            return [t[s] for t, s in zip(self.logits, slots)], 4 * self.levels[1][slots[1]] + self.levels[2][slots[2]]
-        x, gate, sign = [], 0, (2 * bit - 1).astype(np.float32)
-        for k, (table, slot) in enumerate(zip(self.tables, slots)):
-            flat, place = table.reshape(-1), 2 * slot + bit
-            own, other = np.maximum(flat[place] - 1, 0), flat[place ^ 1]
-            x.append(sign * (_logs(own) - _logs(other)))
-            if k:
-                gate = gate * 4 + LEVEL[np.minimum(own + other, len(LEVEL) - 1)]
-        return x, gate
-
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        self.tables = self.without = None
+
+    def slim(self, *names: str) -> "Model":
+        """A copy without the words and without attributes ``names``, to send to tasks."""
+        import copy
+
+        out = copy.copy(self)
+        for name in ("ids", "more", "base", "counts", *names):
+            out.__dict__.pop(name, None)
+        return out
+
+    def mixed(self, x: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The gate, and the mixed logit in steps of 1 / ``GRAIN`` from -12."""
+        gate = 4 * self.levels[1][slots[1]] + self.levels[2][slots[2]]
+        return gate, self.steps(x, gate)
+
+    def steps(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         w = self.weights.T.astype(np.float32)
         z = w[3][gate]
         for k in range(3):
             z += w[k][gate] * x[k]
-        return np.clip(z, -12, 12, out=z)
+        z += np.float32(12)
+        z *= np.float32(GRAIN)
+        return np.clip(z, 0, 24 * GRAIN, out=z).astype(np.int32)
+
+    def table(self) -> np.ndarray:
+        """log10 probability of bits 0 and 1 at each step of the mixed logit, as the map refines it."""
+        z = np.linspace(-12, 12, 24 * GRAIN + 1)
+        p, grid = 1 / (1 + np.exp(-z)), np.linspace(-12, 12, STEPS)
+        refined = (self.map[:, 1] + 20 / (1 + np.exp(-grid))) / (self.map.sum(axis=1) + 20)
+        p = (p + np.interp(z, grid, refined)) / 2
+        return np.log10(np.stack([1 - p, p], axis=1)).reshape(-1)
 
     def log10(self, symbols: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol in its context."""
-        refined = self.map[:, 1] + 20 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
-        refined = (refined / (self.map.sum(axis=1) + 20)).astype(np.float32)
-        out = np.zeros(len(symbols))
+        out, table = np.zeros(len(symbols)), self.table()
         for part, (owner, bit, slots) in self.pieces(symbols, firsts):
-            z = self.mixed(*self.inputs(slots, None))
-            p = 1 / (1 + np.exp(-z))
-            step = (z + 12) * np.float32((STEPS - 1) / 24)
-            low = np.minimum(step.astype(np.int64), STEPS - 2)
-            # z stays within 12, so p is 3e-6 at least, as is 1 - p: single precision will do
-            p = (p + refined[low] + np.diff(refined)[low] * (step - low.astype(np.float32))) / 2
-            out[part] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), part.stop - part.start)
+            _, step = self.mixed([t[s] for t, s in zip(self.logits, slots)], slots)
+            out[part] = np.bincount(owner, table[2 * step + bit], part.stop - part.start)
         return out
 
     def learn(self, symbols: np.ndarray, firsts: np.ndarray) -> None:
         """Online steps of weights and map over a run of training symbols."""
+        sigmoid = (1 / (1 + np.exp(-np.linspace(-12, 12, 24 * GRAIN + 1)))).astype(np.float32)
         for _, (_, bit, slots) in self.pieces(symbols, firsts):
-            x, gate = self.inputs(slots, bit)
+            x = [t[(s << (1 if s.dtype != np.uint32 else np.uint32(1))) + bit] for t, s in zip(self.without, slots)]
+            gate = 4 * self.levels[1][slots[1]] + self.levels[2][slots[2]]
+            steps = []
             for at in range(0, len(bit), STEP):
                 part = slice(at, at + STEP)
                 inputs, g, b = [v[part] for v in x], gate[part], bit[part]
-                z = self.mixed(inputs, g)
-                miss = b - 1 / (1 + np.exp(-z))
+                steps.append(self.steps(inputs, g))
+                miss = b - sigmoid[steps[-1]]
                 seen = np.maximum(np.bincount(g, minlength=GATES), 1)
                 pull = np.stack([np.bincount(g, miss * v, GATES) / seen for v in (*inputs, 1)], axis=1)
                 self.moved += pull * pull
                 self.weights += RATE * pull / np.sqrt(self.moved + 1e-6)
-                near = np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
-                self.map += np.bincount(near * 2 + b, minlength=2 * STEPS).reshape(STEPS, 2)
+            near = (np.concatenate(steps) + 3 * GRAIN // 8) // (3 * GRAIN // 4)
+            self.map += np.bincount(near * 2 + bit, minlength=2 * STEPS).reshape(STEPS, 2)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list[bytes], np.ndarray]]:
@@ -239,7 +265,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     """Rows, symbols and text starts for runs of coded rows of about ``BATCH`` symbols."""
     for b in batches:
         ends = np.asarray(b["ids"].offsets).astype(np.int64)
-        ids, row = np.asarray(b["ids"].values).astype(np.int64), 0
+        ids, row = np.asarray(b["ids"].values), 0
         while row < b.num_rows:
             stop = min(b.num_rows, max(row + 1, int(np.searchsorted(ends, ends[row] + BATCH, side="right")) - 1))
             yield b.slice(row, stop - row), ids[ends[row] : ends[stop]], ends[row:stop] - ends[row]
@@ -333,19 +359,22 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(model: Model, known: DataFrame) -> Model:
     """``model`` with counters, weights and map learned from all rows of ``known`` (ids)."""
     spark = known.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.slim())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sums = [np.zeros(2 * size, np.int32) for size in m.slots]
+        sums = [np.zeros(2 * size, np.int64) for size in m.slots]
         for _, ids, firsts in _coded(batches):
             for _, (_, bit, slots) in m.pieces(ids, firsts):
                 for total, slot in zip(sums, slots):
-                    at, n = np.unique(2 * slot + bit, return_counts=True) if len(slot) < len(total) // 8 else (slice(None), np.bincount(2 * slot + bit, minlength=len(total)))
-                    total[at] += n.astype(np.int32)
+                    place = 2 * slot.astype(np.int64) + bit
+                    if len(total) <= 8 * len(place):
+                        total += np.bincount(place, minlength=len(total))
+                    else:
+                        np.add.at(total, place, 1)
         for t, total in enumerate(sums):
             for chunk in range(0, len(total), CHUNK):
-                part = total[chunk : chunk + CHUNK]
+                part = total[chunk : chunk + CHUNK].astype("<i4")
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([chunk // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["t", "chunk", "counts"])
 
@@ -354,11 +383,12 @@ def fitted(model: Model, known: DataFrame) -> Model:
     sent = known.select("ids").coalesce(tasks).mapInArrow(count, "t int, chunk int, counts binary")
     found = stored(sent.repartition("t", "chunk").mapInArrow(_sums, "t int, chunk int, counts binary")).toArrow()  # the tables, whose size is bounded
     shared.destroy()  # what it served is stored
-    model.tables = [np.zeros((size, 2), np.int64) for size in model.slots]
+    model.tables = [np.zeros((size, 2), np.int32) for size in model.slots]
     for t, chunk, counts in zip(*(found[c].to_pylist() for c in ("t", "chunk", "counts"))):
         part = np.frombuffer(counts, "<i8")
         model.tables[t].reshape(-1)[chunk * CHUNK : chunk * CHUNK + len(part)] = part
-    counted = spark.sparkContext.broadcast(model)
+    model.ready()
+    counted = spark.sparkContext.broadcast(model.slim("tables"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
@@ -396,8 +426,7 @@ def score(docs: DataFrame, symbols: int | None = None, table_bits: int | None =
     rows = stored(coded(tokens, model, "doc_id", "held", "bytes"))
     model = fitted(model, rows.where(~F.col("held")))
     mass = n - float(model.counts.sum()) + 0.5 * (v - len(model.counts) + 1)
-    del model.more  # served in coding
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.slim())
     passed = ["rid", "doc_id", "held", "bytes", "n_tokens", "known", "many", "heavy", "held_logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
