@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeprism.functions.text import STRING, bounded
@@ -57,6 +57,7 @@ NUMBER = r"(?:^|[^\p{L}\p{N}_.])(?:[%s]|[0-9]{2,})(?:$|[^\p{L}\p{N}_.])"
 
 #: code, name, severity (E, W, I), on by default, condition.
 LINE_RULES: list[tuple[str, str, str, bool, str]] = [
+    ("BSL003", "NonExportMethodsInApiRegion", "W", True, f"head = 1 AND api = 1 AND NOT m[c, {bounded(EXPORT)}]"),
     ("BSL004", "EmptyCodeBlock", "W", True, f"m[c, {starts(EXCEPT)}] AND m[n1, {starts(END_TRY)}] OR m[c, {STOP}(?:{THEN})$] AND m[c, {starts(IF)}] AND m[n1, {starts(END_IF)}]"),
     ("BSL005", "UsingHardcodeNetworkAddress", "W", True, r'm[text, "(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?"|"\x5c\x5c[^"]+"]'),
     ("BSL006", "UsingHardcodePath", "W", True, f"m[text, {HARD_PATH}]"),
@@ -85,9 +86,10 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL040", "UsingThisForm", "I", True, f"m[code, {bounded('ЭтаФорма|ThisForm')}] AND NOT m[file_path, /Forms/.*/Ext/Module\\.bsl$]"),
     ("BSL041", "NotifyDescriptionToModalWindow", "I", True, f"m[code, {bounded('ОписаниеОповещения|NotifyDescription')}]"),
     ("BSL045", "MultilineStringLiteral", "I", True, r'm[c, ""$] AND m[n1, ^\+]'),
-    ("BSL046", "MissingElseBranch", "I", True, f"m[c, {starts(END_IF)}] AND m[p1, {starts(ELSIF)}]"),
+    ("BSL046", "MissingElseBranch", "I", True, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
     ("BSL047", "MagicDate", "I", True, f"m[code, {call('ТекущаяДата|CurrentDate')}]"),
-    ("BSL051", "UnreachableCode", "W", True, f"m[p1, {starts(RETURN + '|' + RAISE)}] AND m[p1, ;$] AND NOT m[c, {DELIMITER}]"),
+    ("BSL049", "UnconditionalExceptionRaise", "I", True, f"scope > 0 AND depth = 0 AND try_depth = 0 AND m[c, {starts(RAISE)}] AND NOT (m[p1, {starts(PROC + '|' + FUNC)}] AND m[n1, {starts(END_PROC + '|' + END_FUNC)}])"),
+    ("BSL051", "UnreachableCode", "W", True, f"m[p1, {starts(RETURN + '|' + RAISE)}] AND m[p1, ;$] AND c <> '' AND NOT m[c, {DELIMITER}]"),
     ("BSL052", "IdenticalExpressions", "W", True, f"m[c, {LITERAL_IF}]"),
     ("BSL053", "ExecuteExternalCode", "W", True, f"m[code, {call('Выполнить|Execute')}]"),
     ("BSL054", "ExportVariables", "I", True, f"m[c, ^(?:{VAR})\\s.*[\\s](?:{EXPORT})\\s*;?$]"),
@@ -99,16 +101,17 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL061", "AbruptLoopExit", "I", True, f"m[c, {starts(BREAK)}] AND m[n1, {starts(END_LOOP)}]"),
     ("BSL066", "DeprecatedFind", "W", True, f"m[code, {call('Найти|Find')}]"),
     ("BSL067", "VarDeclarationAfterCode", "W", True, f"scope > 0 AND m[c, {starts(VAR)}] AND p1 <> '' AND NOT m[p1, {starts(VAR + '|' + PROC + '|' + FUNC)}]"),
-    ("BSL069", "InfiniteLoop", "W", True, f"m[c, ^(?:Пока|While)\\s+(?:{TRUE})\\s+(?:{DO})] AND NOT m[n1, {starts(BREAK)}]"),
+    ("BSL069", "InfiniteLoop", "W", True, f"m[c, ^(?:Пока|While)\\s+(?:{TRUE})\\s+(?:{DO})] AND loop_break = 0"),
     ("BSL070", "EmptyLoopBody", "W", True, f"m[c, {starts(LOOP)}] AND m[c, {STOP}(?:{DO})$] AND m[n1, {starts(END_LOOP)}]"),
     ("BSL071", "MagicNumber", "I", False, f"scope > 0 AND m[code, {NUMBER % '3-9'}]"),
-    ("BSL072", "StringConcatenationInLoop", "W", False, f"loops > 0 AND lhs <> '' AND lower(lhs) = lower(first_rhs) AND m[code, {STRING_SUM}]"),
+    ("BSL072", "StringConcatenationInLoop", "W", False, f"loops > 0 AND first_lhs <> '' AND lower(first_lhs) = lower(first_rhs) AND m[code, {STRING_SUM}]"),
+    ("BSL073", "MissingElseBranch", "I", False, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
     ("BSL074", "TodoComment", "I", False, f"m[note, {bounded('TODO|FIXME')}]"),
     ("BSL076", "NegativeConditionFirst", "I", False, f"m[c, {NEGATED_IF}]"),
     ("BSL077", "SelectTopWithoutOrderBy", "W", True, r"m[text, (?:ВЫБРАТЬ|SELECT)\s+\*]"),
     ("BSL078", "RaiseWithoutMessage", "W", False, f"m[c, ^(?:{RAISE})\\s*;?$]"),
     ("BSL079", "UsingGoto", "W", False, f"m[c, {starts('Перейти|Goto')}]"),
-    ("BSL080", "EmptyCodeBlock", "W", False, f"m[c, {starts(EXCEPT)}] AND NOT m[n1, ИнформацияОбОшибке|ErrorInfo|ОписаниеОшибки|ErrorDescription|{RAISE}]"),
+    ("BSL080", "EmptyCodeBlock", "W", False, f"m[c, {starts(EXCEPT)}] AND handled = 0"),
     ("BSL081", "LongMethodChain", "I", False, rf"m[code, (?:\.{ID}\([^()]*\)){{5,}}]"),
     ("BSL085", "IdenticalExpressions", "W", False, f"m[c, {LITERAL_IF}]"),
     ("BSL086", "HttpRequestInLoop", "W", False, f"loops > 0 AND m[code, HTTPСоединение|HTTPConnection|HTTPЗапрос|HTTPRequest]"),
@@ -123,6 +126,7 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL097", "DeprecatedCurrentDate", "I", True, f"m[code, {call('ТекущаяДата|CurrentDate')}]"),
     ("BSL098", "UseOfExecute", "W", False, f"m[code, {call('Выполнить|Execute')}]"),
     ("BSL100", "UsingHardcodePath", "W", False, f"m[text, {HARD_PATH}]"),
+    ("BSL101", "NestedStatements", "W", False, f"depth > 6 AND m[c, {starts(IF + '|' + LOOP)}]"),
     ("BSL103", "UseOfEval", "W", False, f"m[code, {call('Вычислить|Eval')}]"),
     ("BSL105", "UseOfSleep", "W", False, f"m[code, {call('Приостановить|Sleep')}]"),
     ("BSL106", "CreateQueryInCycle", "W", False, f"loops > 0 AND m[code, (?:Новый|New)\\s+(?:Запрос|Query)]"),
@@ -139,29 +143,33 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL123", "CommentedCode", "I", False, f"m[note, {CODE_COMMENT}]"),
     ("BSL125", "UseOfAbortOutsideLoop", "E", True, f"loops = 0 AND m[c, {starts(BREAK)}]"),
     ("BSL126", "UseOfContinueOutsideLoop", "E", True, f"loops = 0 AND m[c, {starts(CONTINUE)}]"),
+    ("BSL128", "UnreachableCode", "W", False, f"scope > 0 AND depth = 0 AND try_depth = 0 AND m[p1, {starts(RETURN + '|' + RAISE)}] AND m[p1, ;$] AND c <> '' AND NOT m[c, {DELIMITER}]"),
     ("BSL130", "LineLength", "I", False, "length(note) > 120"),
     ("BSL131", "EmptyRegion", "I", False, f"m[c, {starts(REGION)}] AND m[n1, {starts(END_REGION)}]"),
     ("BSL135", "NestedFunctionCalls", "I", False, rf"m[code, {ID}\s*\([^()]*{ID}\s*\(]"),
     ("BSL136", "MissingSpaceBeforeComment", "I", False, r"m[masked, [^\s/]//]"),
     ("BSL137", "UseOfFindByDescription", "W", False, f"m[code, {member('НайтиПоНаименованию|FindByDescription')}]"),
     ("BSL138", "UseOfDebugOutput", "W", False, f"m[code, {call('Сообщить|Message')}]"),
-    ("BSL140", "UnreachableElseIf", "W", True, f"m[c, {starts(ELSIF)}] AND m[p1, {starts(ELSE)}]"),
+    ("BSL140", "UnreachableElseIf", "W", True, f"m[c, {starts(ELSIF)}] AND else_before = 1"),
+    ("BSL143", "DuplicateElseIfCondition", "W", True, f"m[c, {starts(ELSIF)}] AND asked_before > 0"),
     ("BSL144", "UnnecessaryParentheses", "I", False, f"m[c, ^(?:{RETURN})\\s*\\(.*\\)\\s*;?$] AND NOT m[c, \\(\\s*(?:Новый|New)\\s]"),
     ("BSL145", "StringFormatInsteadOfConcat", "I", False, r'm[code, ""\s*\+[^+]*\+\s*""|\+\s*""\s*\+]'),
     ("BSL146", "ModuleInitializationCode", "I", False, f"scope = 0 AND c <> '' AND NOT m[c, ^[#&]|{starts(VAR)}]"),
     ("BSL147", "UseOfUICall", "W", True, f"m[code, {call('ОткрытьФорму|OpenForm')}]"),
     ("BSL151", "BeginTransactionBeforeTryCatch", "E", False, f"m[code, {call(BEGIN)}] AND NOT m[n1, {starts(TRY)}]"),
     ("BSL153", "CanonicalSpellingKeywords", "I", False, f"m[c, {starts('|'.join([IF, ELSIF, ELSE, END_IF, LOOP, END_LOOP, RETURN, TRY, EXCEPT, END_TRY]))}] AND NOT M[c, {starts('|'.join([IF, ELSIF, ELSE, END_IF, LOOP, END_LOOP, RETURN, TRY, EXCEPT, END_TRY]))}]"),
+    ("BSL157", "CommitTransactionOutsideTryCatch", "E", False, f"try_depth = 0 AND m[code, {call(COMMIT)}]"),
     ("BSL173", "DeletingCollectionItem", "E", False, f"loops > 0 AND m[code, {member('Удалить|Delete')}]"),
     ("BSL183", "ExecuteExternalCode", "W", False, f"m[code, {call('Выполнить|Execute')}]"),
     ("BSL186", "ExtraCommas", "W", False, r"m[code, ,\s*\)]"),
     ("BSL190", "FormDataToValue", "W", False, f"m[code, {bounded('ДанныеФормыВЗначение|FormDataToValue')}]"),
-    ("BSL199", "IfElseIfEndsWithElse", "I", False, f"m[c, {starts(END_IF)}] AND m[p1, {starts(ELSIF)}]"),
+    ("BSL198", "IfElseDuplicatedCondition", "W", False, f"m[c, {starts(ELSIF)}] AND asked_before > 0"),
+    ("BSL199", "IfElseIfEndsWithElse", "I", False, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
     ("BSL208", "LatinAndCyrillicSymbolInWord", "W", False, f"m[code, {MIXED}]"),
     ("BSL216", "MissingSpace", "I", False, r"m[code, [\p{L}\p{N}_)]=|=[\p{L}\p{N}_(]]"),
     ("BSL219", "MissingVariablesDescription", "I", True, f"m[c, ^(?:{VAR})\\s.*[\\s](?:{EXPORT})\\s*;?$] AND NOT m[t1, ^//]"),
     ("BSL227", "OneStatementPerLine", "I", False, r"m[c, ;\s*[^\s;]]"),
-    ("BSL255", "TryNumber", "W", False, f"m[p1, {starts(TRY)}] AND m[code, {call('Число|Number')}]"),
+    ("BSL255", "TryNumber", "W", False, f"try_depth > 0 AND except_before = 0 AND m[code, {call('Число|Number')}]"),
     ("BSL257", "UnaryPlusInConcatenation", "W", False, r"m[code, \+\s*\+]"),
     ("BSL258", "UnionAll", "W", False, r"m[text, (?:ОБЪЕДИНИТЬ|UNION)(?:\s|$)] AND NOT m[text, (?:ОБЪЕДИНИТЬ ВСЕ|UNION ALL)]"),
     ("BSL265", "UselessTernaryOperator", "W", False, f"m[code, \\?\\s*\\(.*,\\s*(?:{TRUE}|{FALSE})\\s*,\\s*(?:{TRUE}|{FALSE})\\s*\\)]"),
@@ -178,6 +186,8 @@ SCOPE_FACTS = {
     "n_begins": f"sum(CASE WHEN m[code, {call(BEGIN)}] THEN 1 ELSE 0 END)",
     "n_ends": f"sum(CASE WHEN m[code, {call(COMMIT + '|' + ROLLBACK)}] THEN 1 ELSE 0 END)",
     "n_elsif": f"sum(CASE WHEN m[c, {starts(ELSIF)}] THEN 1 ELSE 0 END)",
+    "n_true": f"sum(CASE WHEN m[c, ^(?:{RETURN})\\s+(?:{TRUE})\\s*;] THEN 1 ELSE 0 END)",
+    "n_false": f"sum(CASE WHEN m[c, ^(?:{RETURN})\\s+(?:{FALSE})\\s*;] THEN 1 ELSE 0 END)",
     "n_vars": f"sum(CASE WHEN m[c, {starts(VAR)}] THEN 1 ELSE 0 END)",
     "n_tries": f"sum(CASE WHEN m[c, {starts(TRY)}] THEN 1 ELSE 0 END)",
     "n_body": f"sum(CASE WHEN c <> '' AND head = 0 AND NOT m[c, {starts(END_PROC + '|' + END_FUNC)}] THEN 1 ELSE 0 END)",
@@ -208,6 +218,7 @@ SCOPE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL124", "ShortProcedureName", "I", False, "length(name) < 3"),
     ("BSL127", "MultipleReturnValues", "I", False, "n_returns > 1"),
     ("BSL134", "CyclomaticComplexity", "W", False, "n_branches + 1 > 10"),
+    ("BSL141", "MagicBooleanReturn", "I", False, "n_true > 0 AND n_false > 0"),
     ("BSL230", "PairingBrokenTransaction", "E", False, "n_begins <> n_ends"),
 ]
 #: Rules over parameters: aggregates of one header's parameters.
@@ -252,37 +263,60 @@ def compiled(condition: str, engine: str = "spark") -> str:
     return "".join([*out, condition[at:]])
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
-    """What line conditions see of each line (file_path, line, text)."""
-    masked = F.regexp_replace("text", STRING, '""')
-    base = lines.select("file_path", "line", "text", masked.alias("masked")).select("*", F.regexp_replace("masked", "//.*$", "").alias("code"), F.regexp_extract("masked", "//.*$", 0).alias("note"))
+#: Kinds of blocks with the words that open and close them.
+KINDS = {"if": (IF, END_IF), "loop": (LOOP, END_LOOP), "try": (TRY, END_TRY)}
+ERROR_TEXT = f"ИнформацияОбОшибке|ErrorInfo|ОписаниеОшибки|ErrorDescription|{RAISE}"
+#: Names of the region of public methods.
+API_REGION = rf"^(?:{REGION})\s+(?:ПрограммныйИнтерфейс|Public)$"
+CONDITION = rf"^(?:{IF}|{ELSIF})\s+(.*)\s(?:{THEN})$"
+
+
+def facts_sql(lines: str, engine: str = "duckdb") -> str:
+    """What line conditions see of each line of relation ``lines`` (file_path, line, text), as SQL for ``engine``.
+
+    p1 and n1 are the code of the nearest lines before and after that have any; t1 is the
+    line above as it stands.  scope numbers the method a line belongs to (0: none, its end
+    included).  A block of a kind has a number within its depth, so what it holds at its
+    own level comes from windows over (file, depth, number): an If chain's ElsIf and Else,
+    a loop's Break, a handler's use of the error.
+    """
+    m = lambda column, pattern: compiled(f"m[{column}, {pattern}]", engine)
+    flag = lambda column, pattern: f"CASE WHEN {m(column, pattern)} THEN 1 ELSE 0 END"
+    raw = (lambda pattern: f"r'{pattern}'") if engine == "spark" else (lambda pattern: f"'{pattern}'")
+    every = "" if engine == "spark" else ", 'g'"
+    first = lambda column, pattern, group=1: f"regexp_extract({column}, {raw(pattern)}, {group})"
+    blind = "(?iu)" if engine == "spark" else "(?i)"
+    trim = lambda column: f"trim(BOTH ' \t' FROM {column})" if engine == "spark" else f"trim({column}, ' ' || chr(9))"
+    last = lambda value: f"last_value({value}) IGNORE NULLS" if engine == "spark" else f"last_value({value} IGNORE NULLS)"
     sides = rf"^({ID})\s*=\s*({ID})\s*;?$"
-    base = base.select("*", F.btrim("code", F.lit(" \t")).alias("c"), F.btrim("text", F.lit(" \t")).alias("t"), F.btrim("masked", F.lit(" \t")).alias("m0"))
-    flag = lambda words: F.col("c").rlike("(?iu)" + starts(words)).cast("int")
-    base = base.select(
-        "*", F.regexp_extract("c", "(?iu)" + sides, 1).alias("lhs"), F.regexp_extract("c", "(?iu)" + sides, 2).alias("rhs"), F.regexp_extract("c", rf"^{ID}\s*=\s*({ID})", 1).alias("first_rhs"),
-        flag(PROC + "|" + FUNC).alias("head"), flag(IF + "|" + LOOP).alias("opens"), flag(END_IF + "|" + END_LOOP).alias("closes"), flag(LOOP).alias("loop_opens"), flag(END_LOOP).alias("loop_closes"),
-    )
-    w = Window.partitionBy("file_path").orderBy("line")
-    return base.select(
-        "file_path", "line", "text", "masked", "code", "note", "c", "t", "m0", "lhs", "rhs", "first_rhs", "head",
-        F.coalesce(F.lag("c").over(w), F.lit("")).alias("p1"), F.coalesce(F.lead("c").over(w), F.lit("")).alias("n1"), F.coalesce(F.lag("t").over(w), F.lit("-")).alias("t1"),
-        F.sum("head").over(w).alias("scope"), (F.sum("opens").over(w) - F.sum("closes").over(w)).alias("depth"),
-        (F.sum("loop_opens").over(w) - F.sum("loop_closes").over(w) - F.col("loop_opens")).alias("loops"),
-    )
+    opens = ", ".join(f"{flag('c', starts(o))} AS {k}_opens, {flag('c', starts(x))} AS {k}_closes" for k, (o, x) in KINDS.items())
+    depths = ", ".join(f"sum({k}_opens) OVER (w) - sum({k}_closes) OVER (w) + {k}_closes AS {k}_depth" for k in KINDS)
+    numbers = ", ".join(f"sum({k}_opens) OVER (PARTITION BY file_path, {k}_depth ORDER BY line) AS {k}_id" for k in KINDS)
+    sql = rf"""SELECT *, max(CASE WHEN except_before = 1 THEN says_error ELSE 0 END) OVER (PARTITION BY file_path, try_depth, try_id) AS handled FROM (
+      SELECT *, max(elsif) OVER (chain) AS if_elsif, max(other) OVER (chain) AS if_else, coalesce(max(other) OVER (PARTITION BY file_path, if_depth, if_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS else_before,
+        count(*) OVER (PARTITION BY file_path, if_depth, if_id, asked ORDER BY line) - 1 AS asked_before, max(breaks) OVER (PARTITION BY file_path, loop_depth, loop_id) AS loop_break,
+        coalesce(max(excepts) OVER (PARTITION BY file_path, try_depth, try_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS except_before FROM (
+      SELECT *, {numbers} FROM (
+      SELECT file_path, line, text, masked, code, note, c, t, m0, lhs, rhs, first_lhs, first_rhs, head, elsif, other, breaks, excepts, says_error, asked,
+        coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (prior), '') AS p1, coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (later), '') AS n1, coalesce(lag(t) OVER (w), '-') AS t1,
+        CASE WHEN head = 1 OR {last("CASE WHEN head = 1 THEN 1 WHEN tail = 1 THEN 0 END")} OVER (prior) = 1 THEN sum(head) OVER (w) ELSE 0 END AS scope,
+        coalesce({last(f"CASE WHEN {m('c', API_REGION)} THEN 1 WHEN {m('c', starts(END_REGION + '|' + REGION))} THEN 0 END")} OVER (prior), 0) AS api,
+        sum(if_opens + loop_opens) OVER (w) - sum(if_closes + loop_closes) OVER (w) AS depth, sum(loop_opens) OVER (w) - sum(loop_closes) OVER (w) - loop_opens AS loops, {depths}, if_opens, loop_opens, try_opens
+        FROM (SELECT *, {first('c', blind + sides)} AS lhs, {first('c', blind + sides, 2)} AS rhs, {first('c', rf'^({ID})\s*=')} AS first_lhs, {first('c', rf'^{ID}\s*=\s*({ID})')} AS first_rhs, lower({first('c', blind + CONDITION)}) AS asked,
+          {flag('c', starts(PROC + '|' + FUNC))} AS head, {flag('c', starts(END_PROC + '|' + END_FUNC))} AS tail, {flag('c', starts(ELSIF))} AS elsif, {flag('c', starts(ELSE))} AS other,
+          {flag('c', starts(BREAK))} AS breaks, {flag('c', starts(EXCEPT))} AS excepts, {flag('code', ERROR_TEXT)} AS says_error, {opens}
+          FROM (SELECT *, {trim('code')} AS c, {trim('text')} AS t, {trim('masked')} AS m0 FROM (SELECT *, regexp_replace(masked, '//.*$', '') AS code, {first('masked', '//.*$', 0)} AS note
+            FROM (SELECT file_path, line, text, regexp_replace(text, '{STRING}', '""'{every}) AS masked FROM {lines}) a) b) c) d
+        WINDOW w AS (PARTITION BY file_path ORDER BY line), prior AS (PARTITION BY file_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+          later AS (PARTITION BY file_path ORDER BY line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) e) f
+      WINDOW chain AS (PARTITION BY file_path, if_depth, if_id)) g"""
+    # A named window with a frame stands bare in DuckDB; Spark wants brackets before an operator.
+    return sql if engine == "spark" else re.sub(r"OVER \((w|prior|later|chain)\)", r"OVER \1", sql)
 
 
-def facts_sql(lines: str) -> str:
-    """``line_facts`` of the relation ``lines`` as DuckDB SQL."""
-    flag = lambda words: "CAST(" + compiled(f"m[c, {starts(words)}]", "duckdb") + " AS INT)"
-    sides = rf"^({ID})\s*=\s*({ID})\s*;?$"
-    return rf"""SELECT file_path, line, text, masked, code, note, c, t, m0, lhs, rhs, first_rhs, head, coalesce(lag(c) OVER w, '') AS p1, coalesce(lead(c) OVER w, '') AS n1, coalesce(lag(t) OVER w, '-') AS t1,
-      sum(head) OVER w AS scope, sum(opens) OVER w - sum(closes) OVER w AS depth, sum(loop_opens) OVER w - sum(loop_closes) OVER w - loop_opens AS loops
-      FROM (SELECT *, regexp_extract(c, '(?i){sides}', 1) AS lhs, regexp_extract(c, '(?i){sides}', 2) AS rhs, regexp_extract(c, '^{ID}\s*=\s*({ID})', 1) AS first_rhs,
-        {flag(PROC + '|' + FUNC)} AS head, {flag(IF + '|' + LOOP)} AS opens, {flag(END_IF + '|' + END_LOOP)} AS closes, {flag(LOOP)} AS loop_opens, {flag(END_LOOP)} AS loop_closes
-        FROM (SELECT *, trim(code, ' ' || chr(9)) AS c, trim(text, ' ' || chr(9)) AS t, trim(masked, ' ' || chr(9)) AS m0 FROM (SELECT *, regexp_replace(masked, '//.*$', '') AS code, regexp_extract(masked, '//.*$') AS note
-          FROM (SELECT file_path, line, text, regexp_replace(text, '{STRING}', '""', 'g') AS masked FROM {lines}) a) b) c) d
-      WINDOW w AS (PARTITION BY file_path ORDER BY line)"""
+def line_facts(lines: DataFrame) -> DataFrame:
+    """What line conditions see of each line (file_path, line, text); see ``facts_sql``."""
+    return lines.sparkSession.sql(facts_sql("{lines}", "spark").replace("{lines}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{lines}"), lines=lines)
 
 
 def _codes(rules: Iterable[tuple[str, str, str, bool, str]], chosen: set[str] | None):
@@ -374,7 +408,7 @@ def duplicate_literals(facts: DataFrame, per_scope: int = 3, per_file: int = 4)
 def diagnostics(lines: DataFrame, chosen: set[str] | None = None) -> DataFrame:
     """file_path, line, code, severity of the chosen rules (default: those on) over file_path, line, text."""
     chosen = default_rules() if chosen is None else chosen
-    facts = line_facts(lines)
+    facts = line_facts(lines).persist()  # four passes below read it; a lost block is computed again
     out = line_diagnostics(facts, chosen)
     for rules, found in ((SCOPE_RULES, scope_diagnostics), (FILE_RULES, file_diagnostics)):
         if any(r[0] in chosen for r in rules):

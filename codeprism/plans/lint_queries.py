@@ -13,7 +13,7 @@ from codeprism.streaming import changes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FACTS = f"facts AS ({facts_sql('source_lines')})"
+FACTS = f"facts AS MATERIALIZED ({facts_sql('source_lines')})"
 
 
 def query(name: str, sql: str | None = None, tables: bool = True):
@@ -72,7 +72,7 @@ query("lint_duplicate_literals", f"""WITH {FACTS}, {LITERALS} SELECT file_path,
 query("lint_default", f"WITH {DEFAULT} SELECT * FROM diag")(lambda r: rules.diagnostics(r("source_lines")))
 NOQA = f"""SELECT file_path, line FROM facts WHERE {duck('m[note, noqa|bsl-disable]')} AND (NOT {duck(r'm[note, (?:noqa|bsl-disable)\s*:]')} OR {duck(r'm[note, BSL138]')})"""
 query("lint_noqa", f"""WITH {FACTS}, found AS ({_found([r for r in rules.LINE_RULES if r[0] == 'BSL138'], 'facts')})
-  SELECT * FROM found WHERE (file_path, line) NOT IN ({NOQA})""")(lambda r: reporting.inline_suppressed(rules.line_diagnostics(_facts(r), {"BSL138"}), r("source_lines")))
+  SELECT found.* FROM found ANTI JOIN ({NOQA}) n ON n.file_path = found.file_path AND n.line = found.line""")(lambda r: reporting.inline_suppressed(rules.line_diagnostics(_facts(r), {"BSL138"}), r("source_lines")))
 query("lint_block_suppress", f"""WITH {FACTS}, found AS ({_found([r for r in rules.LINE_RULES if r[0] == 'BSL138'], 'facts')}),
   mark AS (SELECT file_path, line, CASE WHEN note LIKE '%BSLLS:UseOfDebugOutput-off%' THEN 1 WHEN note LIKE '%BSLLS:UseOfDebugOutput-on%' THEN 0 END AS off FROM facts),
   state AS (SELECT file_path, line, last_value(off IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line) AS off FROM mark)
