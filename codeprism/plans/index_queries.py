@@ -59,9 +59,9 @@ query("idx_upsert_merge", f"""SELECT {SYM} FROM symbols WHERE file_path <> '{FIL
     lambda r: index.upsert(_sym(r("symbols")), _sym(r("symbols").where((F.col("file_path") == FILE) & (F.col("id") % 2 == 0)).withColumn("line", F.col("line") + 1)))
 )
 query("idx_remove_file", f"SELECT {SYM} FROM symbols WHERE file_path <> '{FILE}'")(lambda r: index.remove_files(_sym(r("symbols")), r("symbols").where(F.col("file_path") == FILE)))
-query("graph_caller_closure", """WITH RECURSIVE e AS (SELECT DISTINCT lower(caller_name) AS caller, callee_name_lower AS callee FROM calls WHERE caller_name IS NOT NULL),
-  w(root, node, depth) AS (SELECT name_lower, name_lower, 0 FROM symbols WHERE id < 20 UNION SELECT root, caller, depth + 1 FROM w JOIN e ON e.callee = w.node WHERE depth < 3)
-  SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""")(lambda r: graph.caller_closure(r("calls"), r("symbols").where("id < 20").select(F.col("name_lower").alias("root"))))
+query("graph_caller_closure", f"""WITH RECURSIVE e AS (SELECT DISTINCT lower(caller_name) AS caller, callee_name_lower AS callee FROM calls WHERE caller_name IS NOT NULL),
+  w(root, node, depth) AS (SELECT DISTINCT name_lower, name_lower, 0 FROM symbols WHERE name_lower = {NAME} UNION SELECT root, caller, depth + 1 FROM w JOIN e ON e.callee = w.node WHERE depth < 3)
+  SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0""")(lambda r: graph.caller_closure(r("calls"), r("symbols").where(F.col("name_lower") == _seven(r)).select(F.col("name_lower").alias("root"))))
 query("graph_callees_in_range", f"SELECT {CALL}, s.name AS definition FROM calls JOIN symbols s ON s.file_path = caller_file AND caller_line BETWEEN s.line AND s.line + 20")(
     lambda r: graph.callees_in_definitions(r("symbols").withColumn("end_line", F.col("line") + 20), r("calls")).select("caller_file", "caller_line", "caller_name", "callee_name", "callee_args_count", "definition")
 )

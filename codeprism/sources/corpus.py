@@ -11,16 +11,17 @@ SYMBOLS = """SELECT p_partkey AS id,
    CASE WHEN p_type IN ('ECONOMY', 'PROMO', 'SMALL') THEN 'procedure' WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 'function' ELSE 'variable' END AS kind,
    CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS is_export FROM {part}"""
 
+#: Every line item is a call; those of every tenth part name a method outside the index, so some symbols have no caller.
 CALLS = """SELECT s.file_path AS caller_file, CAST(l_orderkey AS INT) AS caller_line,
-   CASE WHEN l_linenumber = 7 THEN NULL ELSE s.name END AS caller_name, t.name AS callee_name, t.name_lower AS callee_name_lower, l_linenumber AS callee_args_count
-   FROM {lineitem} JOIN ({symbols}) s ON s.id = l_orderkey % {n} JOIN ({symbols}) t ON t.id = l_partkey
-   WHERE l_returnflag = 'R' AND l_quantity >= 45"""
+   CASE WHEN l_linenumber = 7 THEN NULL ELSE s.name END AS caller_name, CASE WHEN t.id % 10 = 3 THEN 'External_' ELSE '' END || t.name AS callee_name,
+   CASE WHEN t.id % 10 = 3 THEN 'external_' ELSE '' END || t.name_lower AS callee_name_lower, l_linenumber AS callee_args_count
+   FROM {lineitem} JOIN ({symbols}) s ON s.id = l_orderkey % {n} JOIN ({symbols}) t ON t.id = l_partkey"""
 
 #: Body lines by l_orderkey % 20 and, for blocks, the line within the block.
 TEMPLATES: dict[int, tuple[str, ...]] = {
     0: ("'    Password = \"secret' || CAST(l_partkey AS STRING) || '\";'",), 1: ("'    Total = Total;'",),
     2: ("'    // TODO: check ' || CAST(l_linenumber AS STRING)",), 3: ("'    Message(\"debug\");  // noqa: BSL138'",),
-    4: ("'    Addr = \"192.168.1.' || CAST(l_linenumber AS STRING) || '\";'",), 5: ("'//no space'",), 6: ("'    A = 1; B = 2;'",), 7: ("''",),
+    4: ("'    Addr = \"192.168.1.' || CAST(l_linenumber AS STRING) || '\";'",), 5: ("'//no space'",), 6: ("'    A = 1; B = 2;'",), 7: ("''", "'    Sum = ' || t.name || '(1);'"),
     8: ("'    Text = \"' || repeat('x', 130) || '\";'",), 9: ("chr(9) || 'Message(\"x\");   '",), 10: ("'    Return ' || CAST(l_linenumber AS STRING) || ';'",),
     11: ("'    ' || t.name || '(' || CAST(l_linenumber AS STRING) || ', P1);'",),
     12: ("'    If P1 = True Then'", "'        A = 17;'", "'    EndIf;'"), 13: ("'    While True Do'", "'        B = B + \"x\";'", "'    EndDo;'"),
@@ -32,10 +33,10 @@ _TEXT = "CASE l_orderkey % 20 * 4 + k4 " + " ".join(f"WHEN {case * 4 + k} THEN {
 
 SOURCE_LINES = f"""SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY pid, sec, k1, k2, k3, k4) AS INT) AS line, text FROM (
   SELECT file_path, id AS pid, 0 AS sec, 0 AS k1, 0 AS k2, 0 AS k3, 0 AS k4, '// Does the work of ' || name || '.' AS text FROM ({{symbols}}) d WHERE kind <> 'variable' AND id % 3 = 0
-  UNION ALL SELECT file_path, id, 1, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'Function ' ELSE 'Procedure ' END || name || '(P1, Val P2 = "a,b")' || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END FROM ({{symbols}}) h WHERE kind <> 'variable'
-  UNION ALL SELECT * FROM (SELECT s.file_path, s.id, 2, CAST(l_orderkey AS INT), l_linenumber, CAST(l_partkey AS INT), k4, {_TEXT} AS text
-    FROM {{lineitem}} JOIN ({{symbols}}) s ON s.id = l_orderkey % {{n}} JOIN ({{symbols}}) t ON t.id = l_partkey JOIN (VALUES (0), (1), (2), (3)) AS j(k4) ON k4 >= 0 - l_linenumber
-    WHERE s.kind <> 'variable' AND l_quantity >= 45) b WHERE text IS NOT NULL
+  UNION ALL SELECT file_path, id, 1, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'Function ' ELSE 'Procedure ' END || name || CASE WHEN id % 7 = 0 THEN '(P1, P2 = 1, P3, Val P4)' ELSE '(P1, Val P2 = "a,b")' END || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END FROM ({{symbols}}) h WHERE kind <> 'variable'
+  UNION ALL SELECT * FROM (SELECT file_path, id, 2, CAST(l_orderkey AS INT), l_linenumber, CAST(l_partkey AS INT), k4, {_TEXT} AS text
+    FROM (SELECT s.file_path, s.id, t.name, l_orderkey, l_linenumber, l_partkey, {{each}} AS k4 FROM {{lineitem}} JOIN ({{symbols}}) s ON s.id = l_orderkey % {{n}} JOIN ({{symbols}}) t ON t.id = l_partkey
+      WHERE s.kind <> 'variable') t) b WHERE text IS NOT NULL
   UNION ALL SELECT file_path, id, 3, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'EndFunction' ELSE 'EndProcedure' END FROM ({{symbols}}) f WHERE kind <> 'variable') body"""
 
 META_OBJECTS = "SELECT n_name AS name, lower(n_name) AS name_lower, r_name AS kind, n_nationkey AS seq FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
@@ -48,7 +49,7 @@ VIEWS = {"symbols": SYMBOLS, "calls": CALLS, "source_lines": SOURCE_LINES, "meta
 
 def oracle(query: str) -> str:
     """``query`` over the projected relations as DuckDB SQL over the plain tables."""
-    names = {t: t for t in TABLES} | {"symbols": "SELECT * FROM symbols", "n": "(SELECT count(*) FROM part)"}
+    names = {t: t for t in TABLES} | {"symbols": "SELECT * FROM symbols", "n": "(SELECT count(*) FROM part)", "each": "unnest([0, 1, 2, 3])"}
     views = ", ".join(f"{v} AS ({sql.format(**names)})" for v, sql in VIEWS.items())
     rest = query.lstrip()
     if rest.upper().startswith("WITH RECURSIVE"):
@@ -66,4 +67,5 @@ def relation(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
         sql = sql.replace("{symbols}", SYMBOLS)
     if "{n}" in sql:
         sql = sql.replace("{n}", str(max(1, tables["part"].count())))
+    sql = sql.replace("{each}", "explode(array(0, 1, 2, 3))")
     return spark.sql(sql, **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
