@@ -13,7 +13,8 @@ A place where fingerprints meet holds equal bits in two segments, so it has at m
 2**22 members and those differ only in the third.  Small ones are compared pairwise;
 larger ones through shared neighbours in the third segment, in time linear in their
 size; either way a place returns a spanning forest of its links, not all pairs.
-Components come from alternating large-star and small-star steps over checkpoints.
+Components come from tasks that settle a bounded number of links each and, where one
+task does not hold them all, alternating large-star and small-star steps over checkpoints.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other;
 repeated rows are members like any other; a null doc_id counts as larger than all
@@ -36,6 +37,8 @@ SHINGLE, MAX_BITS = 3, 2
 PAIRWISE = 256
 #: Segments of the ring as (lowest bit, bits); segment i is followed by i + 1.
 RING = ((0, 22), (22, 21), (43, 21))
+#: Links that one task settles by itself (16 bytes each).
+TASK_LINKS = 1_000_000
 
 
 def shingles(docs: DataFrame, *keys: Column, shingle: int = SHINGLE) -> DataFrame:
@@ -158,24 +161,46 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node that has an edge (columns a, b); root is the smallest node of its component.
-
-    Alternating large-star and small-star steps until a round changes nothing; labels only fall, so this ends.
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links a, b of every node of a part's links to the smallest node of its component there."""
+    parts = [(np.asarray(x["a"]), np.asarray(x["b"])) for x in batches if x.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(apart := np.flatnonzero(root[a] != root[b])):
+        low, high = np.minimum(root[a[apart]], root[b[apart]]), np.maximum(root[a[apart]], root[b[apart]])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    more = np.flatnonzero(root != np.arange(len(root)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[root[more]])], ["a", "b"])
+
+
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """node, root of every node (long) that is not the smallest of its component, which is root; links are a, b.
+
+    Tasks of about ``task_links`` links first settle theirs, each by itself.  Where one task holds all
+    that is left this ends; otherwise large-star and small-star steps follow until a round changes
+    nothing; labels only fall, so this ends.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
     before = None
     while True:
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == before:
+            break
+        before, parts = state, max(1, -(-state["n"] // task_links))
+        edges = materialize(edges.coalesce(parts).mapInArrow(_settled, "a long, b long"))
+        if parts == 1:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = materialize(small.where(F.col("a") != F.col("b")).distinct())
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -85,3 +85,20 @@ def test_null_ids_come_last(spark):
     frame = spark.createDataFrame([(None, "one text"), (7, "one text"), (5, "one text")], "doc_id long, text string")
     assert [r["doc_id"] for r in near.keep_one(frame).collect()] == [5]
     assert [r["doc_id"] for r in simhash.keep_one(frame).collect()] == [5]
+
+
+@pytest.mark.parametrize("task_links", [7, 60, 1_000])
+def test_components_of_links_over_many_tasks(spark, task_links):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(500, 501), (500, 501), (7, 7), (-3, 2**62)]
+    root = {k: k for k in {x for pair in links for x in pair}}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {k: new if r == old else r for k, r in root.items()}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = sorted(map(tuple, simhash.components(frame, task_links).collect()))
+    assert got == sorted((k, r) for k, r in root.items() if k != r)
+
+
+def test_components_of_no_links(spark):
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
