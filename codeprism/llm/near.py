@@ -300,8 +300,8 @@ def dissolved(members: DataFrame) -> DataFrame:
     return links
 
 
-def component_keys(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> DataFrame:
-    """key and first, the smallest key of the row's component, of every row."""
+def labelled(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """key and node of every row; node, root (of its component) and first (smallest key) of every node."""
     bits, segments = layout(docs.count())
     prints = stored(signed(shingles(docs, key, shingle=shingle), -(-segments * bits // 64)))
     nodes = stored(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")))
@@ -320,15 +320,13 @@ def component_keys(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> Data
         members = stored(sets.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).dropDuplicates(["node"]))
         links = links.unionByName(dissolved(members))
     named = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named.select("node", "root", "first"))
-    least = named.groupBy("root").agg(F.min("first").alias("first"))
-    return prints.select("key", "node").join(named.select("node", "root"), "node").join(least, "root").select("key", "first")
+    return prints.select("key", "node"), stored(named.select("node", "root", "first"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The row of the smallest doc_id (nulls last, then text hash) of each component, with all columns of ``docs``."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
-    firsts = component_keys(docs, key, shingle).select("first").distinct()
+    firsts = labelled(docs, key, shingle)[1].groupBy("root").agg(F.min("first").alias("first"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
     kept = rows.join(firsts, rows["key"].eqNullSafe(firsts["first"]), "left_semi")
     once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
