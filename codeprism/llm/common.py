@@ -50,9 +50,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; counts no further."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """``broadcast(df)`` if it has at most ``limit`` rows, else ``df`` for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def split_join(rows: DataFrame, facts: DataFrame, on: list[str], hot: int) -> DataFrame:
+    """``rows`` joined with ``facts`` (unique by ``on``; n is the number of rows that match).
+
+    Facts of ``hot`` rows or more are broadcast, so no key gathers more rows in a task;
+    there are at most as many of them as ``hot`` goes into the number of rows.
+    """
+    heavy = F.broadcast(facts.where(F.col("n") >= hot))
+    light = rows.join(F.broadcast(facts.where(F.col("n") >= hot).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(light.join(facts.where(F.col("n") < hot), on))
 
 
 def lower_ascii(text: Column) -> Column:

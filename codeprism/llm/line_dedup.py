@@ -8,8 +8,10 @@ sites is boilerplate: all its occurrences go but the first (smallest doc_id, the
 place), so that the corpus loses no wording.
 
 Only hashes travel; a text is shuffled once, and only in tables where a line goes.
-Hot lines meet as partial sketches and hot documents don't exist: places of removed
-lines are per document.
+Hot lines meet as partial sketches and, where sites are counted, as distinct sites.
+Joins of lines by hash broadcast at most ``BROADCAST_ROWS`` hashes; where there are
+more, those with a share of ``HOT_SHARE`` of the removable lines or more are broadcast
+(at most 1 / ``HOT_SHARE`` of them) and the others are joined by a shuffle.
 
 Edge cases: null texts stay null and have no lines; blank lines always stay; a null
 source is a site of its own; repeated rows are treated alike (both hold the first
@@ -21,35 +23,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprism.llm.common import BLANKS, materialize
+from codeprism.llm.common import BLANKS, is_small, materialize, split_join
 
 MIN_SITES, LG_K = 8, 12
+BROADCAST_ROWS, HOT_SHARE, HOT_ROWS = 200_000, 1 / 2_000, 1_000
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """h1, h2 and first (the occurrence that stays) of the lines on ``min_sites`` sites or more.
+def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """h1, h2, n (occurrences) and first (the one that stays) of the lines on ``min_sites`` sites or more.
 
     ``lines`` has h1, h2, site, doc_id, place.  The band for exact counts is five
     standard errors (1.04 / sqrt(2**lg_k)) of the estimate on either side.
     """
     band = 5 * 1.04 / 2 ** (lg_k / 2)
     first = F.min(F.struct("doc_id", "place")).alias("first")
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), first)
-    spread = sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("n"), first)
+    spread = sketched.select("h1", "h2", "n", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     low, high = int(min_sites * (1 - band)) if min_sites * (1 - band) >= 1 else 1, min_sites * (1 + band)
     likely = materialize(spread.where(F.col("sites") >= low))
     near = likely.where(F.col("sites") <= high)
-    exact = (
-        lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
-        .groupBy("h1", "h2", "site").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_sites)
-    )
-    clear = likely.where(F.col("sites") > high)
-    return clear.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
+    sites, wanted = lines.select("h1", "h2", "site"), near.select("h1", "h2")
+    if is_small(wanted, broadcast_rows):
+        sites = sites.join(F.broadcast(wanted), ["h1", "h2"], "left_semi").distinct()
+    else:  # a line's rows are no more than its sites before they meet by hash
+        sites = sites.distinct().join(wanted, ["h1", "h2"], "left_semi")
+    exact = sites.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") >= min_sites)
+    kept = [F.col(c) for c in ("h1", "h2", "n", "first")]
+    return likely.where(F.col("sites") > high).select(*kept).unionByName(near.join(exact, ["h1", "h2"]).select(*kept))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with the lines removed: columns row (the original), text, n_lines, n_removed."""
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key")
     lines = (
@@ -59,9 +62,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
         .where(F.col("line") != "")
         .select("key", F.col("key.doc_id").alias("doc_id"), "site", "place", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
     )
-    bad = materialize(boilerplate_lines(lines, min_sites, lg_k))
+    bad = materialize(boilerplate_lines(lines, min_sites, lg_k, broadcast_rows))
+    if is_small(bad, broadcast_rows):
+        met = lines.join(F.broadcast(bad), ["h1", "h2"])
+    else:
+        hot = max(HOT_ROWS, int(bad.agg(F.sum("n")).first()[0] * HOT_SHARE))
+        met = split_join(lines, bad, ["h1", "h2"], hot)
     places = (
-        lines.join(bad, ["h1", "h2"])
+        met
         .where(F.struct("doc_id", "place") != F.col("first"))
         .groupBy("key").agg(F.collect_set("place").alias("places"))
     )

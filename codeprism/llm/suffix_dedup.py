@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprism.llm.common import materialize, stored
+from codeprism.llm.common import materialize, split_join, stored
 
 LENGTH = 400
 GRAM = 16
@@ -289,36 +289,25 @@ def _judge(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, ctx long, ctx2 long, ranges array<struct<a:long,b:long>>, todo array<struct<h1:long,h2:long,w:long,open:boolean>>")
 
 
-def _split_join(rows: DataFrame, facts: DataFrame, on: list[str], hot: int) -> DataFrame:
-    """``rows`` joined with ``facts`` (unique by ``on``; n is the number of rows that match).
-
-    Facts of ``hot`` rows or more are broadcast, so no key gathers more rows in a task;
-    there are at most as many of them as ``hot`` goes into the number of rows.
-    """
-    heavy = F.broadcast(facts.where(F.col("n") >= hot))
-    light = rows.join(F.broadcast(facts.where(F.col("n") >= hot).select(*on)), on, "left_anti")
-    return rows.join(heavy, on).unionByName(light.join(facts.where(F.col("n") < hot), on))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, h (hash of the text) and spans (byte from, to; unmerged) of the documents with repeats."""
     rows = stored(_context_rows(docs, length))
     hot = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
     digest = F.struct("ctx", "ctx2")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("c0"), F.max(digest).alias("c1")).where(F.col("n") > 1)
-    shared = stored(_split_join(rows, stored(keys.select("key", "n", (F.col("c0") == F.col("c1")).alias("alike"))), ["key"], hot).drop("n"))
+    shared = stored(split_join(rows, stored(keys.select("key", "n", (F.col("c0") == F.col("c1")).alias("alike"))), ["key"], hot).drop("n"))
     differing = shared.where(~F.col("alike"))
     distinct = differing.groupBy("key", "ctx", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("first"))
     distinct = materialize(distinct)
     blocks = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("of")).select("key", "of", F.ceil(F.col("of") / F.lit(BLOCK_CONTEXTS)).alias("blocks"))
-    wanted = _split_join(distinct.withColumnRenamed("n", "times"), materialize(blocks.withColumnRenamed("of", "n")), ["key"], hot).drop("n").withColumnRenamed("times", "n")
+    wanted = split_join(distinct.withColumnRenamed("n", "times"), materialize(blocks.withColumnRenamed("of", "n")), ["key"], hot).drop("n").withColumnRenamed("times", "n")
     judged = stored(_judge(_extract(docs, wanted, length), length))
     todo = judged.select("key", "ctx", "ctx2", F.inline("todo"))
     twice = todo.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1", "h2")
     across = todo.where("open").join(twice, ["h1", "h2"]).select("key", "ctx", "ctx2", F.col("w").alias("a"), (F.col("w") + 1).alias("b"))
     ranges = judged.select("key", "ctx", "ctx2", F.inline("ranges")).unionByName(across).groupBy("key", "ctx", "ctx2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = stored(ranges.join(distinct.select("key", "ctx", "ctx2", "n"), ["key", "ctx", "ctx2"]))
-    met = _split_join(differing, ranges, ["key", "ctx", "ctx2"], hot).select("doc_id", "h", "lo", F.inline("ranges"))
+    met = split_join(differing, ranges, ["key", "ctx", "ctx2"], hot).select("doc_id", "h", "lo", F.inline("ranges"))
     hits = met.select("doc_id", "h", (F.col("lo") + F.col("a")).alias("from"), (F.col("lo") + F.col("b") - 1 + length).alias("to"))
     whole = shared.where("alike").select("doc_id", "h", F.col("lo").alias("from"), (F.col("hi") + length).alias("to"))
     return whole.unionByName(hits).groupBy("doc_id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))

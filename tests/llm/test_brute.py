@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from codeprism.llm import bpe, fingerprints, lm, packing, simhash, suffix_dedup
+from codeprism.llm import bpe, fingerprints, line_dedup, lm, packing, simhash, suffix_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -195,3 +195,20 @@ def test_lm(docs, texts):
 def test_code_is_a_distribution():
     code = lm.Code([5.0, 3.0, 1.0, 1.0, 0.5])
     assert sum(2.0 ** -s for s in code.size) == 1
+
+
+@pytest.mark.parametrize("broadcast_rows", [line_dedup.BROADCAST_ROWS, 0])
+def test_line_dedup_joins(spark, monkeypatch, broadcast_rows):
+    """Broadcast and split joins give the plain result, with a hot line, lines about the threshold and a null source."""
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 0)
+    rows = [(i, "\n".join(["hot line"] * (1 + i % 3) + [f"on {n} sites" for n in range(5, 12) if i % 12 < n] + [" ", f"own {i}"]), f"s{i % 12}" if i % 12 else None) for i in range(120)]
+    sites, first = {}, {}
+    for doc, text, source in rows:
+        for place, line in enumerate(text.split("\n")):
+            sites.setdefault(line.strip(), set()).add(source)
+            first.setdefault(line.strip(), (doc, place))
+    expected = {doc: "\n".join(x for p, x in enumerate(text.split("\n")) if not x.strip() or len(sites[x.strip()]) < 8 or first[x.strip()] == (doc, p)) for doc, text, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = {r["row"]["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(docs, broadcast_rows=broadcast_rows).collect()}
+    assert out == expected and "hot line" not in out[5] and "on 7 sites" in out[13]
