@@ -83,3 +83,13 @@ def words_of(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``stored`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark).rstrip('/')}/tables/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tables/" in folder and place.split("://")[-1].strip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, fingerprints, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter
+from codeprism.llm import bpe, fingerprints, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter, vector_codes
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -58,8 +58,17 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op8_lm_score, op9_bpe, op10_host_quality, op11_vector_codes,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op8_lm_score, op9_bpe, op10_host_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def _terms(terms: tuple[str, ...]) -> str:
@@ -114,5 +123,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source"""
 
 
+
+
+def _assigned(k: int) -> str:
+    """Each part's nearest entry of codebooks ``book{k}``: (vec_id, part, x, d, entry)."""
+    return f"""near{k} AS (SELECT vec_id, part, any_value(x) AS x, min((d, entry)) AS best FROM (
+  SELECT p.*, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM piece p JOIN book{k} USING (part)) GROUP BY vec_id, part)"""
+
+
+def _moved(k: int) -> str:
+    """Codebooks ``book{k + 1}``: the floor of the parts' mean by component, or the entry as it was."""
+    return f"""book{k + 1} AS (SELECT part, entry, list(coalesce(m, v) ORDER BY i) AS c FROM (SELECT part, entry, i, c[i] AS v FROM book{k}, unnest(range(1, len(c) + 1)) AS u(i))
+  LEFT JOIN (SELECT part, best[2] AS entry, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM near{k}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL) USING (part, entry, i) GROUP BY part, entry)"""
+
+
+SQL_VECTORS = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+piece AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM kept, unnest(range({vector_codes.PARTS})) AS u(part)),
+book0 AS (SELECT part, entry, x AS c FROM piece JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < {vector_codes.ENTRIES}),
+{', '.join(f'{_assigned(k)}, {_moved(k)}' for k in range(vector_codes.ROUNDS))}, {_assigned(vector_codes.ROUNDS)},
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{vector_codes.ROUNDS}),
+code AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), sha"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY}
+    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY, "op11_vector_codes": SQL_VECTORS}
