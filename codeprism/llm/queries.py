@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, fingerprints, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter, vector_codes
+from codeprism.llm import bpe, fingerprints, lexical_search, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter, vector_codes
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -62,8 +62,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 OPERATORS = (
     op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op8_lm_score, op9_bpe, op10_host_quality, op11_vector_codes,
+    op13_lexical_search,
 )
 
 
@@ -147,6 +152,18 @@ sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, ent
 code AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY vec_id)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), sha"""
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL_SEARCH = f"""
+WITH held AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS c, CAST(sum(len(terms)) AS BIGINT) AS l FROM held WHERE len(terms) > 0),
+doc AS (SELECT doc_id, terms, 100 - 75 + (75 * len(terms) * c) // l AS m FROM held, corpus WHERE len(terms) > 0),
+posting AS MATERIALIZED (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(terms) AS term FROM doc) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * c + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, corpus GROUP BY term, c),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN weight USING (term) JOIN posting USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= {lexical_search.TOP}"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY, "op11_vector_codes": SQL_VECTORS}
+    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY, "op11_vector_codes": SQL_VECTORS, "op13_lexical_search": SQL_SEARCH}
