@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeprism.llm import bpe, fingerprints, lexical_search, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter, vector_codes
+from codeprism.llm import bpe, fingerprints, lexical_search, licenses, line_dedup, lm, packing, pii, quality, simhash, suffix_dedup, url_filter, vector_codes
 from codeprism.llm.common import LOWER, UPPER, read
 
 
@@ -62,13 +62,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 OPERATORS = (
     op1_line_dedup, op2_fingerprints, op3_suffix_dedup, op4_url_filter, op5_simhash, op6_packing, op7_pii, op8_lm_score, op9_bpe, op10_host_quality, op11_vector_codes,
-    op13_lexical_search,
+    op12_license_scan, op13_lexical_search,
 )
 
 
@@ -152,6 +156,21 @@ sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, ent
 code AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY vec_id)
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM code JOIN kept USING (vec_id), sha"""
 
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_LICENSES = ", ".join(f"('{label}', {g}, [{', '.join(repr(w) for w in words)}], {a})" for label, g, words, a in licenses.prepared(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES)
+SQL_LICENSES = f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS words FROM documents),
+phrase(p, label) AS (VALUES {_PHRASES}), template(label, g, t, a) AS (VALUES {_LICENSES}),
+place AS (SELECT rid, label, i - 1 AS spot FROM w, phrase, unnest(range(1, len(words) - len(p) + 2)) AS u(i) WHERE len(words) >= len(p) AND list_has_all(words, p) AND words[i : i + len(p) - 1] = p),
+base AS (SELECT rid, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY rid),
+block AS MATERIALIZED (SELECT rid, g, list_distinct(words[k * g + 1 : (k + 2) * g]) AS b FROM w, (SELECT DISTINCT g FROM template), unnest(range(0, CAST(greatest(1, ceil(len(words) / g) - 1) AS BIGINT))) AS u(k)),
+hit AS (SELECT rid, label, len(list_intersect(t, b)) / len(t) AS share FROM block JOIN template USING (g) WHERE len(list_intersect(t, b)) >= a),
+met AS (SELECT rid, max(share) AS share, list(DISTINCT label) AS labels FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS score
+FROM w LEFT JOIN base USING (rid) LEFT JOIN met USING (rid)"""
+
 _TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 SQL_SEARCH = f"""
 WITH held AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
@@ -166,4 +185,4 @@ SELECT * FROM ranked WHERE rank <= {lexical_search.TOP}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY, "op11_vector_codes": SQL_VECTORS, "op13_lexical_search": SQL_SEARCH}
+    return {"op1_line_dedup": SQL_LINES, "op4_url_filter": SQL_URLS, "op10_host_quality": SQL_QUALITY, "op11_vector_codes": SQL_VECTORS, "op12_license_scan": SQL_LICENSES, "op13_lexical_search": SQL_SEARCH}
