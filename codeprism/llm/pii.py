@@ -45,7 +45,6 @@ TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++|(?<=[:=]\s)\S++"
 SECRET = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_/+=-]{20,}$"
 #: Punctuation that does not belong to a token at its ends.
 AROUND = "\"'()[]{}<>,;:!?."
-BLANKS = "\n\t\r\x0b\x0c"
 SMOOTHING, MIN_SUPPORT, MIN_SCORE = 1.0, 3, 0.9
 #: What the best pattern of one side counts at most: less than ``MIN_SCORE``, so that two sides must agree.
 MAX_SIDE = 0.85
@@ -88,14 +87,14 @@ LUHN = """aggregate(sequence(1, char_length({d})), 0, (a, i) -> a + CASE WHEN (c
 
 
 def _patterns(token: str, left: str, right: str) -> str:
-    """SQL for the patterns (side, pattern) of ``token`` between the texts ``left`` and ``right``."""
-    plain = lambda t: f"trim(regexp_replace(regexp_replace(lower({t}), '\\\\s+', ' '), '[0-9]', '9'))"
+    """SQL for the patterns (side, pattern) of ``token`` between the texts ``left`` and ``right``, whose runs of blanks are single blanks."""
+    plain = lambda t: f"trim(regexp_replace(lower({t}), '[0-9]', '9'))"
     shape = f"regexp_replace(regexp_replace({token}, '\\\\p{{L}}+', 'a'), '[0-9]', '9')"
     body = f"""concat(
         transform(sequence(1, greatest(1, least(3, size(split(l, ' '))))), k -> struct('L' AS side, concat(k, '<', substring_index(l, ' ', -k)) AS pattern)),
         transform(sequence(1, greatest(1, least(2, size(split(r, ' '))))), k -> struct('R' AS side, concat(k, '>', substring_index(r, ' ', k)) AS pattern)),
         array(struct('S' AS side, concat(substring_index(l, ' ', -1), '=', {shape}) AS pattern)))"""
-    return _let("l", plain(f"substring_index(rtrim(translate({left}, '{BLANKS}', '     ')), ' ', -8)"), _let("r", plain(f"substring_index(ltrim(translate({right}, '{BLANKS}', '     ')), ' ', 8)"), body))
+    return _let("l", plain(f"substring_index(rtrim({left}), ' ', -3)"), _let("r", plain(f"substring_index(ltrim({right}), ' ', 2)"), body))
 
 
 def base_spans(docs: DataFrame, *keys: Column) -> DataFrame:
@@ -119,6 +118,8 @@ def base_spans(docs: DataFrame, *keys: Column) -> DataFrame:
             *found(F.col("t").rlike(r"[0-9@]|[:=]\s"), TOKEN, "token"),
         )).alias("cut"),
     )
+    folded = F.transform("cut", lambda c: c.withField("token_f", F.transform(c["token_g"], lambda g: F.regexp_replace(g, r"\s+", " "))))
+    cut = cut.select(*names, folded.alias("cut"))
     # Runs of digits stand before the gaps between them: as matches, each gap is the one before.
     runs = f"zip_with(c.card_m, {_starts('c.card_m', 'gaps')}, (m, s) -> struct(m AS m, s AS s, translate(m, ' -', '') AS d))"
     runs = f"filter({runs}, x -> char_length(x.d) BETWEEN 12 AND 19 AND {LUHN.format(d='x.d')})"
@@ -129,7 +130,7 @@ def base_spans(docs: DataFrame, *keys: Column) -> DataFrame:
         {_spans(3, 'c.phone_m', _starts('c.phone_m', 'c.phone_g'), f"char_length({_digits('x.m')}) BETWEEN 9 AND 15")})"""
     around = AROUND.replace("'", "\\'")
     bare = f"trim(BOTH '{around}' FROM x.m)"
-    patterns = _patterns("v.token", "concat(coalesce(get(c.token_m, v.i - 1), ''), c.token_g[v.i])", "concat(c.token_g[v.i + 1], coalesce(get(c.token_m, v.i + 1), ''))")
+    patterns = _patterns("v.token", "concat(coalesce(get(c.token_m, v.i - 1), ''), c.token_f[v.i])", "concat(c.token_f[v.i + 1], coalesce(get(c.token_m, v.i + 1), ''))")
     places = f"zip_with(c.token_m, {_starts('c.token_m', 'c.token_g')}, (m, s) -> struct(m AS m, s AS s))"
     places = f"transform({places}, (x, i) -> struct(x.s + char_length(x.m) - char_length(trim(LEADING '{around}' FROM x.m)) AS start, {bare} AS token, i AS i))"
     tokens = f"transform(filter({places}, v -> v.token <> ''), v -> struct(v.start AS start, v.start + char_length(v.token) AS end, v.token AS token, {patterns} AS patterns))"

@@ -98,3 +98,10 @@ def test_bootstrapping_finds_unseen(spark):
     rows = [(i, f"call phone: +49 30 {1000000 + i} now") for i in range(30)] + [(i, f"call mail: u{i}@example.com now") for i in range(100, 140)] + [(500, "call mail: someone42(at)example now"), (501, "call other: 42foo now")]
     out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[500] == "email:11:31" and out[501] == ""
+
+
+def test_contexts_fold_blanks(spark):
+    rows = [(0, "Please call your" + " " * 9 + "number: +49 30 1234567 \n\n\t right away now"), (1, "Please call your number: +49 30 1234567 right away now")]
+    found = pii.base_spans(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id")).collect()
+    patterns = [[(p["side"], p["pattern"]) for t in r["tokens"] for p in t["patterns"]] for r in found]
+    assert patterns[0] == patterns[1] and ("L", "3<call your number:") in patterns[0]
