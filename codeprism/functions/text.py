@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRING = '"(?:[^"]|"")*"'
+#: A string literal of one line, and one that may run on; loops are over classes, so long literals need no deep stack.
+STRING = '"[^"]*(?:""[^"]*)*"'
+OPEN_STRING = '"[^"]*(?:""[^"]*)*(?:"|$)'
 
 
 def fold(c: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprism.functions.text import STRING, bounded
+from codeprism.functions.text import OPEN_STRING, STRING, bounded
 
 #: Block keywords in both languages of the analysed code.
 PROC, FUNC = "Процедура|Procedure", "Функция|Function"
@@ -271,6 +271,34 @@ API_REGION = rf"^(?:{REGION})\s+(?:ПрограммныйИнтерфейс|Publ
 CONDITION = rf"^(?:{IF}|{ELSIF})\s+(.*)\s(?:{THEN})$"
 
 
+def strings_sql(lines: str, engine: str = "duckdb") -> str:
+    """Lines with inside (1: the line begins within a string literal), lead, code, note and masked, as SQL for ``engine``.
+
+    A line takes the state "within a string" to that of the next line: it keeps it, turns
+    it, or sets it whatever it was (a quote behind ``//``).  The state a line begins in is
+    that of the last line that set it, turned as often as lines since then turn it, so one
+    window over the file finds it.  lead is the line with a quote in front if it begins
+    inside; code is lead with literals emptied and without its comment, note the comment.
+    """
+    spark = engine == "spark"
+    both = f"{OPEN_STRING}|//.*"
+    every = (lambda c: f"regexp_extract_all({c}, r'{both}', 0)") if spark else (lambda c: f"regexp_extract_all({c}, '{both}')")
+    final = (lambda a: f"coalesce(try_element_at({a}, -1), '')") if spark else (lambda a: f"coalesce({a}[-1], '')")
+    odd = lambda x: f"CASE WHEN {x} LIKE '\"%' THEN (length({x}) - length(replace({x}, '\"', ''))) % 2 ELSE 0 END"
+    emptied = f"regexp_replace(body, r'{OPEN_STRING}', '\"\"')" if spark else f"regexp_replace(body, '{OPEN_STRING}', '\"\"', 'g')"
+    last = lambda v: f"last_value({v}) IGNORE NULLS" if spark else f"last_value({v} IGNORE NULLS)"
+    w, before = "PARTITION BY file_path ORDER BY line", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""SELECT file_path, line, text, inside, lead, code, note, code || note AS masked FROM (SELECT *, CASE WHEN contains(body, '"') THEN {emptied} ELSE body END AS code FROM (
+      SELECT *, left(lead, CAST(length(lead) - length(note) AS INT)) AS body FROM (SELECT *, CASE WHEN tail LIKE '//%' THEN tail ELSE '' END AS note FROM (
+      SELECT *, CASE WHEN contains(lead, '"') OR contains(lead, '//') THEN {final(every('lead'))} ELSE '' END AS tail FROM (
+      SELECT file_path, line, text, inside, CASE WHEN inside = 1 THEN '"' || text ELSE text END AS lead FROM (
+      SELECT *, CAST((coalesce({last("CASE WHEN from_out = from_in THEN (from_out + turned) % 2 END")} OVER ({w} {before}), 0) + turned - turns) % 2 AS INT) AS inside FROM (
+      SELECT *, sum(turns) OVER ({w}) AS turned FROM (SELECT *, CASE WHEN from_out = 1 AND from_in = 0 THEN 1 ELSE 0 END AS turns FROM (
+      SELECT file_path, line, text, {odd('out_tail')} AS from_out, {odd('in_tail')} AS from_in FROM (
+      SELECT file_path, line, text, CASE WHEN contains(text, '"') THEN {final(every('text'))} ELSE '' END AS out_tail, CASE WHEN contains(text, '"') THEN {final(every("'\"' || text"))} ELSE '"' END AS in_tail FROM {lines}
+      ) s1) s2) s3) s4) s5) s6) s7) s8) s9) s10"""
+
+
 def facts_sql(lines: str, engine: str = "duckdb") -> str:
     """What line conditions see of each line of relation ``lines`` (file_path, line, text), as SQL for ``engine``.
 
@@ -283,7 +311,6 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
     m = lambda column, pattern: compiled(f"m[{column}, {pattern}]", engine)
     flag = lambda column, pattern: f"CASE WHEN {m(column, pattern)} THEN 1 ELSE 0 END"
     raw = (lambda pattern: f"r'{pattern}'") if engine == "spark" else (lambda pattern: f"'{pattern}'")
-    every = "" if engine == "spark" else ", 'g'"
     first = lambda column, pattern, group=1: f"regexp_extract({column}, {raw(pattern)}, {group})"
     blind = "(?iu)" if engine == "spark" else "(?i)"
     trim = lambda column: f"trim(BOTH ' \t' FROM {column})" if engine == "spark" else f"trim({column}, ' ' || chr(9))"
@@ -297,7 +324,7 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
         count(*) OVER (PARTITION BY file_path, if_depth, if_id, asked ORDER BY line) - 1 AS asked_before, max(breaks) OVER (PARTITION BY file_path, loop_depth, loop_id) AS loop_break,
         coalesce(max(excepts) OVER (PARTITION BY file_path, try_depth, try_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS except_before FROM (
       SELECT *, {numbers} FROM (
-      SELECT file_path, line, text, masked, code, note, c, t, m0, lhs, rhs, first_lhs, first_rhs, head, elsif, other, breaks, excepts, says_error, asked,
+      SELECT file_path, line, text, inside, lead, masked, code, note, c, t, m0, lhs, rhs, first_lhs, first_rhs, head, elsif, other, breaks, excepts, says_error, asked,
         coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (prior), '') AS p1, coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (later), '') AS n1, coalesce(lag(t) OVER (w), '-') AS t1,
         CASE WHEN head = 1 OR {last("CASE WHEN head = 1 THEN 1 WHEN tail = 1 THEN 0 END")} OVER (prior) = 1 THEN sum(head) OVER (w) ELSE 0 END AS scope,
         coalesce({last(f"CASE WHEN {m('c', API_REGION)} THEN 1 WHEN {m('c', starts(END_REGION + '|' + REGION))} THEN 0 END")} OVER (prior), 0) AS api,
@@ -305,8 +332,7 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
         FROM (SELECT *, {first('c', blind + sides)} AS lhs, {first('c', blind + sides, 2)} AS rhs, {first('c', rf'^({ID})\s*=')} AS first_lhs, {first('c', rf'^{ID}\s*=\s*({ID})')} AS first_rhs, lower({first('c', blind + CONDITION)}) AS asked,
           {flag('c', starts(PROC + '|' + FUNC))} AS head, {flag('c', starts(END_PROC + '|' + END_FUNC))} AS tail, {flag('c', starts(ELSIF))} AS elsif, {flag('c', starts(ELSE))} AS other,
           {flag('c', starts(BREAK))} AS breaks, {flag('c', starts(EXCEPT))} AS excepts, {flag('code', ERROR_TEXT)} AS says_error, {opens}
-          FROM (SELECT *, {trim('code')} AS c, {trim('text')} AS t, {trim('masked')} AS m0 FROM (SELECT *, regexp_replace(masked, '//.*$', '') AS code, {first('masked', '//.*$', 0)} AS note
-            FROM (SELECT file_path, line, text, regexp_replace(text, '{STRING}', '""'{every}) AS masked FROM {lines}) a) b) c) d
+          FROM (SELECT *, {trim('code')} AS c, {trim('text')} AS t, {trim('masked')} AS m0 FROM ({strings_sql(lines, engine)}) b) c) d
         WINDOW w AS (PARTITION BY file_path ORDER BY line), prior AS (PARTITION BY file_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
           later AS (PARTITION BY file_path ORDER BY line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) e) f
       WINDOW chain AS (PARTITION BY file_path, if_depth, if_id)) g"""
