@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -93,3 +94,13 @@ def discard(df: DataFrame) -> None:
         if "/tables/" in folder and place.split("://")[-1].strip("/") in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a long run of large jobs
+    on a roomy driver may not come to before the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

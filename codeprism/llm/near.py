@@ -13,8 +13,9 @@ As ``SEGMENTS`` are as many as it takes for one of them to be equal with probabi
 2. Pairs that pass fall into proposed components.  Within one, nodes at ``JACCARD`` or
    more by their sets are linked; these components are the result.
 
-A place where more than ``CROWD`` nodes meet is not searched: all of them are proposed
-together, found by an aggregate.  A proposed component of more than ``CROWD`` nodes or
+A place where some ``CROWD`` nodes or more meet is not searched: all of them are proposed
+together.  Such places show in one node of ``CROWD_SAMPLE``; whichever way a place goes, the
+sets decide.  A proposed component of more than ``CROWD`` nodes or
 ``CROWD_HASHES`` hashes is dealt to blocks.  A few of its nodes are compared with all
 blocks, then some of those outside the largest component so far, then all of these; so
 every link that could still join two components is seen, and none within the largest.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeprism.llm.common import broadcast_if_small, materialize, stored
+from codeprism.llm.common import broadcast_if_small, discard, materialize, release, stored
 from codeprism.llm.simhash import components, shingles
 
 SHINGLE, JACCARD, RECALL, BUDGET = 5, 0.8, 0.98, 0.25
@@ -47,6 +48,8 @@ LEAST_BITS, CHAIN = 12, 128
 #: Nodes of a place that are compared pair by pair at once; larger places by a spanning forest.
 PAIRWISE = 8
 CROWD, CROWD_HASHES = 2_000, 2_000_000
+#: One node of so many tells which places are crowded, by half the nodes expected of a crowd.
+CROWD_SAMPLE = 64
 #: Nodes of a crowded component that are compared with all its blocks in the first two rounds.
 PIVOTS = (8, 64)
 BROADCAST_ROWS = 100_000
@@ -169,7 +172,8 @@ def _forest(node: np.ndarray, chain: np.ndarray, bits: int) -> list[tuple[int, i
 def proposed(nodes: DataFrame, bits: int) -> DataFrame:
     """Links a, b between nodes that share a segment, keep within the chain's budgets and pass the full check."""
     met = places(nodes, bits)
-    crowds = met.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(F.col("n") > CROWD)
+    some = places(nodes.where(F.pmod(F.xxhash64("node"), F.lit(CROWD_SAMPLE)) == 0), bits)
+    crowds = some.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where(2 * CROWD_SAMPLE * F.col("n") > CROWD)
     crowds = broadcast_if_small(materialize(crowds.select("place", "hub")), BROADCAST_ROWS)
     together = met.join(crowds, "place").where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     dealt = met.join(crowds, "place", "left_anti").repartition("place").sortWithinPartitions("place")
@@ -307,6 +311,7 @@ def labelled(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> tuple[Data
     nodes = stored(prints.groupBy("node").agg(F.min("key").alias("first"), F.first("size").alias("size"), F.first("print").alias("print")))
     loose = materialize(components(proposed(nodes, bits)).select(F.col("node"), F.col("root").alias("proposed")))
     loose = loose.unionByName(loose.select(F.col("proposed").alias("node"), "proposed").distinct()).distinct()
+    release(docs.sparkSession)
     wanted = materialize(nodes.join(loose, "node").select("first", "node", "proposed", "size"))
     crowds = wanted.groupBy("proposed").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
     blocks = F.when((F.col("n") > CROWD) | (F.col("hashes") > CROWD_HASHES), F.ceil(F.greatest(F.col("n") / CROWD, F.col("hashes") / CROWD_HASHES))).otherwise(0)
@@ -320,7 +325,10 @@ def labelled(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> tuple[Data
         members = stored(sets.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).dropDuplicates(["node"]))
         links = links.unionByName(dissolved(members))
     named = nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return prints.select("key", "node"), stored(named.select("node", "root", "first"))
+    named = stored(named.select("node", "root", "first"))
+    discard(nodes)
+    release(docs.sparkSession)
+    return prints.select("key", "node"), named
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
