@@ -17,7 +17,7 @@ CALLS = """SELECT s.file_path AS caller_file, CAST(l_orderkey AS INT) AS caller_
    CASE WHEN t.id % 10 = 3 THEN 'external_' ELSE '' END || t.name_lower AS callee_name_lower, l_linenumber AS callee_args_count
    FROM {lineitem} JOIN ({symbols}) s ON s.id = l_orderkey % {n} JOIN ({symbols}) t ON t.id = l_partkey"""
 
-#: Body lines by l_orderkey % 20 and, for blocks, the line within the block.
+#: Body lines by l_orderkey modulo their number; statements of several lines, calls and literals that run over lines among them.
 TEMPLATES: dict[int, tuple[str, ...]] = {
     0: ("'    Password = \"secret' || CAST(l_partkey AS STRING) || '\";'",), 1: ("'    Total = Total;'",),
     2: ("'    // TODO: check ' || CAST(l_linenumber AS STRING)",), 3: ("'    Message(\"debug\");  // noqa: BSL138'",),
@@ -28,8 +28,14 @@ TEMPLATES: dict[int, tuple[str, ...]] = {
     14: ("'    Try'", "'        C = Query.Execute();'", "'    Except'", "'    EndTry;'"), 15: ("'    For Each Item In Items Do'", "'        Obj = New Query;'", "'    EndDo;'"),
     16: ("'    If Not Ready Then'", "'        Return;'", "'    Else'", "'    EndIf;'"), 17: ("'#Region Private'", "'#EndRegion'"),
     18: ("'    Goto ~Label;'", "'    // BSLLS:UseOfDebugOutput-off'", "'    Message(\"off\");'", "'    // BSLLS:UseOfDebugOutput-on'"), 19: ("'    Result = ?(P1, True, False);'",),
+    20: ("'    Query.Text = \"SELECT A, Message(B)'", "'    |FROM Goods AS G // rows'", "'    |WHERE A = \"\"x\"\"\";'"), 21: ("'    ' || t.name || '(Name(1, \"a,b\"),'", "'        2, , 3);'"),
+    22: ("'    For Each Row In Rows Do'", "'        Query.Text = \"SELECT TOP 5 A FROM T\";'", "'    EndDo;'"), 23: ("'    Draft = 1;'", "'    Draft = Draft2;'", "'    Draft = 3;'"), 24: ("'    Var Temp, Spare;'",),
+    25: ("'    If P1 Then'", "'        Done();'", "'    Else'", "'        Done();'", "'    EndIf;'"), 26: ("'    List = New Array;'", "'    Other = List;'", "'    For Each Row In Other Do'", "'        Row = 0;'", "'    EndDo;'"),
+    27: ("'    Try'", "'        Name(1);'", "'    Except'", "'        Info = ErrorInfo();'", "'    EndTry;'"),
 }
-_TEXT = "CASE l_orderkey % 20 * 4 + k4 " + " ".join(f"WHEN {case * 4 + k} THEN {text}" for case, lines in TEMPLATES.items() for k, text in enumerate(lines)) + " END"
+CASES, LONGEST = len(TEMPLATES), max(map(len, TEMPLATES.values()))
+_TEXT = f"CASE l_orderkey % {CASES} * {LONGEST} + k4 " + " ".join(f"WHEN {case * LONGEST + k} THEN {text}" for case, lines in TEMPLATES.items() for k, text in enumerate(lines)) + " END"
+_SIZES = ", ".join(str(len(TEMPLATES[case])) for case in range(CASES))
 
 #: Methods with the lines of their items; variables are declared first, and their items' lines are the module's own, behind the last method.
 SOURCE_LINES = f"""SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY pid, sec, k1, k2, k3, k4) AS INT) AS line, text FROM (
@@ -50,7 +56,7 @@ VIEWS = {"symbols": SYMBOLS, "calls": CALLS, "source_lines": SOURCE_LINES, "meta
 
 def oracle(query: str) -> str:
     """``query`` over the projected relations as DuckDB SQL over the plain tables."""
-    names = {t: t for t in TABLES} | {"symbols": "SELECT * FROM symbols", "n": "(SELECT count(*) FROM part)", "each": "unnest([0, 1, 2, 3])"}
+    names = {t: t for t in TABLES} | {"symbols": "SELECT * FROM symbols", "n": "(SELECT count(*) FROM part)", "each": f"unnest(range([{_SIZES}][l_orderkey % {CASES} + 1]))"}
     views = ", ".join(f"{v} AS ({sql.format(**names)})" for v, sql in VIEWS.items())
     rest = query.lstrip()
     if rest.upper().startswith("WITH RECURSIVE"):
@@ -68,5 +74,5 @@ def relation(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
         sql = sql.replace("{symbols}", SYMBOLS)
     if "{n}" in sql:
         sql = sql.replace("{n}", str(max(1, tables["part"].count())))
-    sql = sql.replace("{each}", "explode(array(0, 1, 2, 3))")
+    sql = sql.replace("{each}", f"explode(sequence(0, array({_SIZES})[CAST(l_orderkey % {CASES} AS INT)] - 1))")
     return spark.sql(sql, **{k: v for k, v in tables.items() if "{" + k + "}" in sql})
