@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprism.functions.text import OPEN_STRING, STRING, bounded
@@ -52,9 +52,27 @@ CODE_COMMENT = rf"^//.*(?:;\s*$|{ID}\s*=\s*{ID}|{ID}\(.*\))"
 LITERAL_IF = rf"^(?:{IF}|{ELSIF})\s+(?:{TRUE}|{FALSE})\s+(?:{THEN}){STOP}"
 NEGATED_IF = rf"^(?:{IF}|{ELSIF})\s+(?:{NOT})\s"
 HARD_PATH = r"\"(?:[A-Za-z]:\\|/(?:home|usr|var|etc|opt|tmp|mnt)(?:/|\"))"
+#: Cyrillic letters that look like Latin ones, and Latin acronyms of platform names.
+ALIKE = "АВЕКМНОРСТУХаеорсух"
+ACRONYMS = "HTTPS?|JSON|XML|HTML|XDTO|XSLT?|ZIP|COM|SQL|FTP|URL|URI|PDF|SOAP|WSDL|OData|MD5|SHA|UUID|GUID|CSV|DBF|DOM|OLE|API|SMTP|IMAP|IP|ID"
+LATIN, OTHER = "[A-Za-z]", "[Б-ДЖ-ЙЛПФЦ-Яб-джз-йк-нптфц-яЁё]"
+_TOKEN = rf"[A-Za-z0-9_{ALIKE}]*"
+LOOKS = rf"(?:^|[^\p{{L}}\p{{N}}_]){_TOKEN}(?:{LATIN}[0-9_]*[{ALIKE}]|[{ALIKE}][0-9_]*{LATIN}){_TOKEN}(?:$|[^\p{{L}}\p{{N}}_])"
+_WORD, _TURN = r"[\p{L}\p{N}_]*", r"(?:[A-Za-z][\p{N}_]*[А-Яа-яЁё]|[А-Яа-яЁё][\p{N}_]*[A-Za-z])"
+TWO_SCRIPTS = rf"{LATIN}[0-9_]*{OTHER}|{OTHER}[0-9_]*{LATIN}|{OTHER}{_WORD}{_TURN}|{_TURN}{_WORD}{OTHER}"
+#: Directives, and handlers whose parameters are given.
+AT_CLIENT, AT_SERVER = "^&(?:НаКлиенте|AtClient)", "^&(?:НаСервере|AtServer)"
+COMMAND_HANDLER = r"^(?:Процедура|Procedure)\s+(?:ОбработкаКоманды|CommandProcessing)\s*\("
+COMPLETION_HANDLER = r"^(?:Процедура|Procedure)\s+[\p{L}\p{N}_]*(?:Завершение|Completion)\s*\("
+WRITE_HANDLER = r"^(?:Процедура|Procedure)\s+(?:ПередЗаписью|BeforeWrite|ПриЗаписи|OnWrite|ПередУдалением|BeforeDelete)\s*\("
+FORM_MODULE = r"/Forms/.*/Ext/(?:Form/)?Module\.bsl$"
 MIXED = r"[A-Za-z][\p{N}_]*[А-Яа-яЁё]|[А-Яа-яЁё][\p{N}_]*[A-Za-z]"
 NUMBER = r"(?:^|[^\p{L}\p{N}_.])(?:[%s]|[0-9]{2,})(?:$|[^\p{L}\p{N}_.])"
 
+#: Lines that begin a statement of their own, whatever the one before lacks; and a parameter: all up to a comma that stands neither in a literal nor in brackets.
+BEGINS = starts("|".join([PROC, FUNC, END_PROC, END_FUNC, IF, ELSIF, ELSE, END_IF, LOOP, END_LOOP, TRY, EXCEPT, END_TRY, RETURN, RAISE, BREAK, CONTINUE, VAR]))
+PARAMETER = r'(?:[^,"()]+|"[^"]*(?:""[^"]*)*"|\([^()]*\))+'
+
 #: code, name, severity (E, W, I), on by default, condition.
 LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL003", "NonExportMethodsInApiRegion", "W", True, f"head = 1 AND api = 1 AND NOT m[c, {bounded(EXPORT)}]"),
@@ -63,7 +81,7 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL006", "UsingHardcodePath", "W", True, f"m[text, {HARD_PATH}]"),
     ("BSL009", "SelfAssign", "W", True, "lhs <> '' AND lower(lhs) = lower(rhs)"),
     ("BSL010", "UselessReturn", "I", True, f"m[c, ^(?:{RETURN})\\s*;?$] AND m[n1, {starts(END_PROC)}]"),
-    ("BSL012", "UsingHardcodeSecretInformation", "E", True, r'm[text, (?:пароль|password|pwd|secret|секрет|token|токен)[\p{L}\p{N}_]*\s*=\s*"[^"]+"]'),
+    ("BSL012", "UsingHardcodeSecretInformation", "E", True, r'm[body, (?:пароль|password|pwd|secret|секрет|token|токен)[\p{L}\p{N}_]*\s*=\s*"[^"]+"]'),
     ("BSL013", "CommentedCode", "I", False, f"m[note, {CODE_COMMENT}] AND m[t1, {CODE_COMMENT}]"),
     ("BSL014", "LineLength", "I", True, "length(text) > 120"),
     ("BSL016", "NonStandardRegion", "I", True, f"m[c, {starts(REGION)}] AND NOT m[c, ^(?:{REGION})\\s+(?:{STANDARD_REGIONS})$]"),
@@ -84,7 +102,7 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL038", "StringConcatenationInLoop", "W", True, f"loops > 0 AND m[code, {STRING_SUM}]"),
     ("BSL039", "NestedTernaryOperator", "I", True, r"m[code, \?\s*\(.*\?\s*\(]"),
     ("BSL040", "UsingThisForm", "I", True, f"m[code, {bounded('ЭтаФорма|ThisForm')}] AND NOT m[file_path, /Forms/.*/Ext/Module\\.bsl$]"),
-    ("BSL041", "NotifyDescriptionToModalWindow", "I", True, f"m[code, {bounded('ОписаниеОповещения|NotifyDescription')}]"),
+    ("BSL041", "NotifyDescriptionToModalWindow", "I", True, f"m[code, {bounded('ОписаниеОповещения|NotifyDescription')}] AND NOT (scope > 0 AND m[heading, {COMMAND_HANDLER}] AND m[directive, {AT_CLIENT}])"),
     ("BSL045", "MultilineStringLiteral", "I", True, r'm[c, ""$] AND m[n1, ^\+]'),
     ("BSL046", "MissingElseBranch", "I", True, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
     ("BSL047", "MagicDate", "I", True, f"m[code, {call('ТекущаяДата|CurrentDate')}]"),
@@ -95,7 +113,6 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL054", "ExportVariables", "I", True, f"m[c, ^(?:{VAR})\\s.*[\\s](?:{EXPORT})\\s*;?$]"),
     ("BSL055", "ConsecutiveEmptyLines", "I", True, "t = '' AND t1 = ''"),
     ("BSL057", "DeprecatedInputDialog", "W", True, f"m[code, {call('Ввести(?:Строку|Число|Дату|Значение)|Input(?:String|Number|Date|Value)')}]"),
-    ("BSL058", "QueryWithoutWhere", "W", True, r'm[text, "\s*(?:ВЫБРАТЬ|SELECT)\s] AND m[text, \s(?:ИЗ|FROM)\s] AND NOT m[text, \s(?:ГДЕ|WHERE|ПЕРВЫЕ|TOP)\s]'),
     ("BSL059", "BooleanLiteralComparison", "I", True, f"m[c, ^(?:{IF}|{ELSIF})\\s.*=\\s*(?:{TRUE}|{FALSE}){STOP}] AND NOT m[n1, {starts(END_IF)}]"),
     ("BSL060", "DoubleNegatives", "I", True, f"m[code, {bounded(f'(?:{NOT})' + chr(92) + 's+(?:' + NOT + ')')}]"),
     ("BSL061", "AbruptLoopExit", "I", True, f"m[c, {starts(BREAK)}] AND m[n1, {starts(END_LOOP)}]"),
@@ -108,7 +125,6 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL073", "MissingElseBranch", "I", False, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
     ("BSL074", "TodoComment", "I", False, f"m[note, {bounded('TODO|FIXME')}]"),
     ("BSL076", "NegativeConditionFirst", "I", False, f"m[c, {NEGATED_IF}]"),
-    ("BSL077", "SelectTopWithoutOrderBy", "W", True, r"m[text, (?:ВЫБРАТЬ|SELECT)\s+\*]"),
     ("BSL078", "RaiseWithoutMessage", "W", False, f"m[c, ^(?:{RAISE})\\s*;?$]"),
     ("BSL079", "UsingGoto", "W", False, f"m[c, {starts('Перейти|Goto')}]"),
     ("BSL080", "EmptyCodeBlock", "W", False, f"m[c, {starts(EXCEPT)}] AND handled = 0"),
@@ -165,13 +181,14 @@ LINE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL190", "FormDataToValue", "W", False, f"m[code, {bounded('ДанныеФормыВЗначение|FormDataToValue')}]"),
     ("BSL198", "IfElseDuplicatedCondition", "W", False, f"m[c, {starts(ELSIF)}] AND asked_before > 0"),
     ("BSL199", "IfElseIfEndsWithElse", "I", False, f"m[c, {starts(END_IF)}] AND if_elsif = 1 AND if_else = 0"),
-    ("BSL208", "LatinAndCyrillicSymbolInWord", "W", False, f"m[code, {MIXED}]"),
+    ("BSL208", "LatinAndCyrillicSymbolInWord", "W", False, f"M[bare, {TWO_SCRIPTS}]"),
     ("BSL216", "MissingSpace", "I", False, r"m[code, [\p{L}\p{N}_)]=|=[\p{L}\p{N}_(]]"),
     ("BSL219", "MissingVariablesDescription", "I", True, f"m[c, ^(?:{VAR})\\s.*[\\s](?:{EXPORT})\\s*;?$] AND NOT m[t1, ^//]"),
     ("BSL227", "OneStatementPerLine", "I", False, r"m[c, ;\s*[^\s;]]"),
+    ("BSL254", "TransferringParametersBetweenClientAndServer", "W", False, f"head = 1 AND m[p1, {AT_SERVER}] AND m[c, \\(\\s*[^\\s)]] AND NOT m[c, ^[^(]*\\((?:\\s*(?:{VAL})\\s[^,]*(?:,|\\)))*[^,)]*$]"),
     ("BSL255", "TryNumber", "W", False, f"try_depth > 0 AND except_before = 0 AND m[code, {call('Число|Number')}]"),
+    ("BSL256", "Typo", "I", True, f"M[bare, {LOOKS}]"),
     ("BSL257", "UnaryPlusInConcatenation", "W", False, r"m[code, \+\s*\+]"),
-    ("BSL258", "UnionAll", "W", False, r"m[text, (?:ОБЪЕДИНИТЬ|UNION)(?:\s|$)] AND NOT m[text, (?:ОБЪЕДИНИТЬ ВСЕ|UNION ALL)]"),
     ("BSL265", "UselessTernaryOperator", "W", False, f"m[code, \\?\\s*\\(.*,\\s*(?:{TRUE}|{FALSE})\\s*,\\s*(?:{TRUE}|{FALSE})\\s*\\)]"),
     ("BSL279", "YoLetterUsage", "I", False, r"m[text, ё]"),
 ]
@@ -192,7 +209,10 @@ SCOPE_FACTS = {
     "n_tries": f"sum(CASE WHEN m[c, {starts(TRY)}] THEN 1 ELSE 0 END)",
     "n_body": f"sum(CASE WHEN c <> '' AND head = 0 AND NOT m[c, {starts(END_PROC + '|' + END_FUNC)}] THEN 1 ELSE 0 END)",
     "header": "max(CASE WHEN head = 1 THEN m0 ELSE '' END)",
-    "above": "max(CASE WHEN head = 1 THEN t1 ELSE '' END)",
+    "above": "max(CASE WHEN head = 1 THEN CASE WHEN t1 LIKE '&%' THEN t2 ELSE t1 END ELSE '' END)",
+    "under": "max(CASE WHEN head = 1 THEN p1 ELSE '' END)",
+    "n_own_returns": f"sum(CASE WHEN depth = 0 AND try_depth = 0 AND m[c, {starts(RETURN)}] THEN 1 ELSE 0 END)",
+    "asks_load": "max(CASE WHEN m[code, (?:ОбменДанными|DataExchange)\\s*\\.\\s*(?:Загрузка|Load)] THEN 1 ELSE 0 END)",
     "line": "min(line)",
 }
 NAME_OF = f"^(?:{PROC}|{FUNC})\\s+({ID})"
@@ -209,16 +229,17 @@ SCOPE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL050", "LargeTransaction", "W", True, "n_begins > 0 AND n_ends = 0"),
     ("BSL056", "ShortMethodName", "I", True, "length(name) < 3"),
     ("BSL064", "ProcedureReturnsValue", "E", True, f"m[header, ^(?:{PROC})\\s] AND n_values > 0"),
-    ("BSL065", "MissingReturnedValueDescription", "I", True, f"m[header, {bounded(EXPORT)}] AND NOT m[above, ^//]"),
+    ("BSL065", "MissingReturnedValueDescription", "I", True, f"m[header, {bounded(EXPORT)}] AND NOT m[above, ^//] AND NOT m[file_path, {FORM_MODULE}] AND NOT (m[header, {COMPLETION_HANDLER}] AND m[under, {AT_CLIENT}])"),
     ("BSL068", "TooManyElseIf", "I", True, "n_elsif > 5"),
     ("BSL084", "FunctionShouldHaveReturn", "W", False, f"m[header, ^(?:{FUNC})\\s] AND n_values = 0"),
     ("BSL096", "MissingReturnedValueDescription", "I", False, f"m[header, {bounded(EXPORT)}] AND NOT m[above, ^//]"),
     ("BSL112", "UnterminatedTransaction", "E", False, "n_begins > 0 AND n_ends = 0"),
     ("BSL118", "FunctionShouldHaveReturn", "W", False, f"m[header, ^(?:{FUNC})\\s] AND n_returns = 0"),
     ("BSL124", "ShortProcedureName", "I", False, "length(name) < 3"),
-    ("BSL127", "MultipleReturnValues", "I", False, "n_returns > 1"),
+    ("BSL127", "MultipleReturnValues", "I", False, "n_own_returns > 1"),
     ("BSL134", "CyclomaticComplexity", "W", False, "n_branches + 1 > 10"),
     ("BSL141", "MagicBooleanReturn", "I", False, "n_true > 0 AND n_false > 0"),
+    ("BSL172", "DataExchangeLoading", "W", False, f"m[header, {WRITE_HANDLER}] AND asks_load = 0"),
     ("BSL230", "PairingBrokenTransaction", "E", False, "n_begins <> n_ends"),
 ]
 #: Rules over parameters: aggregates of one header's parameters.
@@ -241,7 +262,19 @@ FILE_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL104", "MissingModuleComment", "I", False, "NOT m[opening, ^//]"),
     ("BSL114", "EmptyModule", "I", False, "n_code = 0"),
 ]
-ALL_RULES = [*LINE_RULES, *SCOPE_RULES, *PARAM_RULES, *FILE_RULES]
+#: Rules over the text q of string literals that are queries, loops deep in loops; unaliased is a list of fields without alias.
+QUERY_TEXT = r"^\s*(?:ВЫБРАТЬ|SELECT|ОБЪЕДИНИТЬ|UNION)(?:\s|$)"
+FIELDS = r"(?iu)^\s*(?:ВЫБРАТЬ|SELECT)\s+(?:(?:РАЗЛИЧНЫЕ|DISTINCT|РАЗРЕШЕННЫЕ|ALLOWED)\s+|(?:ПЕРВЫЕ|TOP)\s+[0-9]+\s+)*(.*?)\s(?:ИЗ|FROM)\s"
+ALIASED = r"(?iu)\s(?:КАК|AS)\s|\*\s*$"
+UNION_ALL = r"(?iu)(?:ОБЪЕДИНИТЬ|UNION)\s+(?:ВСЕ|ALL)"
+QUERY_RULES: list[tuple[str, str, str, bool, str]] = [
+    ("BSL058", "QueryWithoutWhere", "W", True, r"m[q, ^\s*(?:ВЫБРАТЬ|SELECT)\s] AND m[q, \s(?:ИЗ|FROM)\s] AND NOT m[q, \s(?:ГДЕ|WHERE|ПЕРВЫЕ|TOP)\s]"),
+    ("BSL077", "SelectTopWithoutOrderBy", "W", True, r"m[q, (?:ВЫБРАТЬ|SELECT)\s+\*]"),
+    ("BSL106", "CreateQueryInCycle", "W", False, r"loops > 0 AND m[q, ^\s*(?:ВЫБРАТЬ|SELECT)\s]"),
+    ("BSL149", "AssignAliasFieldsInQuery", "I", True, "unaliased > 0"),
+    ("BSL258", "UnionAll", "W", False, r"m[rest, (?:^|\s)(?:ОБЪЕДИНИТЬ|UNION)(?:\s|$)]"),
+]
+ALL_RULES = [*LINE_RULES, *SCOPE_RULES, *PARAM_RULES, *FILE_RULES, *QUERY_RULES]
 SEVERITY = {"E": "ERROR", "W": "WARNING", "I": "INFORMATION"}
 
 
@@ -278,7 +311,7 @@ def strings_sql(lines: str, engine: str = "duckdb") -> str:
     it, or sets it whatever it was (a quote behind ``//``).  The state a line begins in is
     that of the last line that set it, turned as often as lines since then turn it, so one
     window over the file finds it.  lead is the line with a quote in front if it begins
-    inside; code is lead with literals emptied and without its comment, note the comment.
+    inside, body the line without its comment; code is body with literals emptied, note the comment.
     """
     spark = engine == "spark"
     both = f"{OPEN_STRING}|//.*"
@@ -288,7 +321,7 @@ def strings_sql(lines: str, engine: str = "duckdb") -> str:
     emptied = f"regexp_replace(body, r'{OPEN_STRING}', '\"\"')" if spark else f"regexp_replace(body, '{OPEN_STRING}', '\"\"', 'g')"
     last = lambda v: f"last_value({v}) IGNORE NULLS" if spark else f"last_value({v} IGNORE NULLS)"
     w, before = "PARTITION BY file_path ORDER BY line", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    return f"""SELECT file_path, line, text, inside, lead, code, note, code || note AS masked FROM (SELECT *, CASE WHEN contains(body, '"') THEN {emptied} ELSE body END AS code FROM (
+    return f"""SELECT file_path, line, text, inside, lead, CASE WHEN inside = 1 THEN substr(body, 2) ELSE body END AS body, code, note, code || note AS masked FROM (SELECT *, CASE WHEN contains(body, '"') THEN {emptied} ELSE body END AS code FROM (
       SELECT *, left(lead, CAST(length(lead) - length(note) AS INT)) AS body FROM (SELECT *, CASE WHEN tail LIKE '//%' THEN tail ELSE '' END AS note FROM (
       SELECT *, CASE WHEN contains(lead, '"') OR contains(lead, '//') THEN {final(every('lead'))} ELSE '' END AS tail FROM (
       SELECT file_path, line, text, inside, CASE WHEN inside = 1 THEN '"' || text ELSE text END AS lead FROM (
@@ -303,7 +336,9 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
     """What line conditions see of each line of relation ``lines`` (file_path, line, text), as SQL for ``engine``.
 
     p1 and n1 are the code of the nearest lines before and after that have any; t1 is the
-    line above as it stands.  scope numbers the method a line belongs to (0: none, its end
+    line above as it stands, t2 the one above it.  heading and directive are the header of the
+    method that began last and the code line above it.  bare is code with two scripts less its
+    acronyms.  scope numbers the method a line belongs to (0: none, its end
     included).  A block of a kind has a number within its depth, so what it holds at its
     own level comes from windows over (file, depth, number): an If chain's ElsIf and Else,
     a loop's Break, a handler's use of the error.
@@ -311,6 +346,7 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
     m = lambda column, pattern: compiled(f"m[{column}, {pattern}]", engine)
     flag = lambda column, pattern: f"CASE WHEN {m(column, pattern)} THEN 1 ELSE 0 END"
     raw = (lambda pattern: f"r'{pattern}'") if engine == "spark" else (lambda pattern: f"'{pattern}'")
+    every = "" if engine == "spark" else ", 'g'"
     first = lambda column, pattern, group=1: f"regexp_extract({column}, {raw(pattern)}, {group})"
     blind = "(?iu)" if engine == "spark" else "(?i)"
     trim = lambda column: f"trim(BOTH ' \t' FROM {column})" if engine == "spark" else f"trim({column}, ' ' || chr(9))"
@@ -323,16 +359,16 @@ def facts_sql(lines: str, engine: str = "duckdb") -> str:
       SELECT *, max(elsif) OVER (chain) AS if_elsif, max(other) OVER (chain) AS if_else, coalesce(max(other) OVER (PARTITION BY file_path, if_depth, if_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS else_before,
         count(*) OVER (PARTITION BY file_path, if_depth, if_id, asked ORDER BY line) - 1 AS asked_before, max(breaks) OVER (PARTITION BY file_path, loop_depth, loop_id) AS loop_break,
         coalesce(max(excepts) OVER (PARTITION BY file_path, try_depth, try_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS except_before FROM (
-      SELECT *, {numbers} FROM (
-      SELECT file_path, line, text, inside, lead, masked, code, note, c, t, m0, lhs, rhs, first_lhs, first_rhs, head, elsif, other, breaks, excepts, says_error, asked,
-        coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (prior), '') AS p1, coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (later), '') AS n1, coalesce(lag(t) OVER (w), '-') AS t1,
+      SELECT *, {numbers}, {last("CASE WHEN head = 1 THEN c END")} OVER (PARTITION BY file_path ORDER BY line) AS heading, {last("CASE WHEN head = 1 THEN p1 END")} OVER (PARTITION BY file_path ORDER BY line) AS directive FROM (
+      SELECT file_path, line, text, inside, body, masked, code, note, bare, c, t, m0, lhs, rhs, first_lhs, first_rhs, head, elsif, other, breaks, excepts, says_error, asked,
+        coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (prior), '') AS p1, coalesce({last("CASE WHEN c <> '' THEN c END")} OVER (later), '') AS n1, coalesce(lag(t) OVER (w), '-') AS t1, coalesce(lag(t, 2) OVER (w), '-') AS t2,
         CASE WHEN head = 1 OR {last("CASE WHEN head = 1 THEN 1 WHEN tail = 1 THEN 0 END")} OVER (prior) = 1 THEN sum(head) OVER (w) ELSE 0 END AS scope,
         coalesce({last(f"CASE WHEN {m('c', API_REGION)} THEN 1 WHEN {m('c', starts(END_REGION + '|' + REGION))} THEN 0 END")} OVER (prior), 0) AS api,
         sum(if_opens + loop_opens) OVER (w) - sum(if_closes + loop_closes) OVER (w) AS depth, sum(loop_opens) OVER (w) - sum(loop_closes) OVER (w) - loop_opens AS loops, {depths}, if_opens, loop_opens, try_opens
         FROM (SELECT *, {first('c', blind + sides)} AS lhs, {first('c', blind + sides, 2)} AS rhs, {first('c', rf'^({ID})\s*=')} AS first_lhs, {first('c', rf'^{ID}\s*=\s*({ID})')} AS first_rhs, lower({first('c', blind + CONDITION)}) AS asked,
           {flag('c', starts(PROC + '|' + FUNC))} AS head, {flag('c', starts(END_PROC + '|' + END_FUNC))} AS tail, {flag('c', starts(ELSIF))} AS elsif, {flag('c', starts(ELSE))} AS other,
           {flag('c', starts(BREAK))} AS breaks, {flag('c', starts(EXCEPT))} AS excepts, {flag('code', ERROR_TEXT)} AS says_error, {opens}
-          FROM (SELECT *, {trim('code')} AS c, {trim('text')} AS t, {trim('masked')} AS m0 FROM ({strings_sql(lines, engine)}) b) c) d
+          FROM (SELECT *, {trim('code')} AS c, {trim('text')} AS t, {trim('masked')} AS m0, CASE WHEN {compiled(f"M[code, {MIXED}]", engine)} THEN regexp_replace(code, '{ACRONYMS}', ''{every}) ELSE '' END AS bare FROM ({strings_sql(lines, engine)}) b) c) d
         WINDOW w AS (PARTITION BY file_path ORDER BY line), prior AS (PARTITION BY file_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
           later AS (PARTITION BY file_path ORDER BY line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) e) f
       WINDOW chain AS (PARTITION BY file_path, if_depth, if_id)) g"""
@@ -377,12 +413,31 @@ def file_diagnostics(facts: DataFrame, chosen: set[str] | None = None) -> DataFr
     return _fused(facts.groupBy("file_path").agg(*sums).withColumn("line", F.lit(1)), FILE_RULES, chosen, "file_path", "line")
 
 
+def headers(facts: DataFrame) -> DataFrame:
+    """file_path, scope, line, last_line, code and raw (literals emptied, and whole) of every method header, over as many lines as it has."""
+    net = F.char_length(F.replace("code", F.lit(")"), F.lit(""))) - F.char_length(F.replace("code", F.lit("("), F.lit("")))
+    by = Window.partitionBy("file_path", "scope").orderBy("line")
+    inside = facts.where("scope > 0").select("file_path", "scope", "line", "c", "code", "head", F.col("body").alias("raw"), F.sum(net).over(by).alias("depth"))
+    ended = F.max(((F.col("depth") <= 0) & (F.col("c") != "")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    broken = F.max(((F.col("head") == 0) & F.col("c").rlike("(?iu)" + BEGINS)).cast("int")).over(by)
+    part = inside.withColumn("over", F.greatest(F.coalesce(ended, F.lit(0)), broken)).where(F.col("over") == 0)
+    told = lambda c: F.array_join(F.transform("parts", lambda p: F.btrim(p[c], F.lit(" \t"))), " ")
+    return part.groupBy("file_path", "scope").agg(F.min("line").alias("line"), F.max("line").alias("last_line"), F.sort_array(F.collect_list(F.struct("line", "code", "raw"))).alias("parts")).select(
+        "file_path", "scope", "line", "last_line", told("code").alias("code"), told("raw").alias("raw")
+    )
+
+
+def listed_parameters(raw: Column) -> Column:
+    """The parameters of a whole header, as they are written."""
+    listed = F.regexp_extract_all(F.regexp_extract(raw, r"(?s)^[^(]*\((.*)\)[^)]*$", 1), F.lit(PARAMETER), F.lit(0))
+    return F.filter(F.transform(listed, lambda p: F.btrim(p, F.lit(" \t"))), lambda p: p != "")
+
+
 def parameters(facts: DataFrame) -> DataFrame:
-    """file_path, proc, proc_line, ord, name, by_val, default_value of the parameters of one-line headers."""
-    listed = facts.where("head = 1").select("file_path", "line", F.regexp_extract("m0", "(?iu)" + NAME_OF, 1).alias("proc"), F.regexp_extract("m0", r"\((.*)\)", 1).alias("inside"))
-    each = listed.where(F.btrim("inside") != "").select("file_path", "proc", F.col("line").alias("proc_line"), F.posexplode(F.split("inside", ",", -1)).alias("ord", "p"))
-    bare = F.regexp_replace(F.btrim("p"), rf"^(?iu)(?:(?:{VAL})\s+)+", "")
-    return each.select("file_path", "proc", "proc_line", "ord", F.btrim(F.regexp_replace(bare, "=.*$", "")).alias("name"), F.btrim("p").rlike(rf"^(?iu)(?:{VAL})\s").alias("by_val"), F.when(F.contains(bare, F.lit("=")), F.btrim(F.regexp_replace(bare, "^[^=]*=", ""))).alias("default_value"))
+    """file_path, proc, proc_line, ord, name, by_val, default_value (as written) of the parameters of every header."""
+    listed = headers(facts).select("file_path", F.regexp_extract("code", "(?iu)" + NAME_OF, 1).alias("proc"), F.col("line").alias("proc_line"), F.posexplode(listed_parameters(F.col("raw"))).alias("ord", "p"))
+    bare = F.regexp_replace("p", rf"^(?iu)(?:(?:{VAL})\s+)+", "")
+    return listed.select("file_path", "proc", "proc_line", "ord", F.btrim(F.regexp_replace(bare, "(?s)=.*$", "")).alias("name"), F.col("p").rlike(rf"^(?iu)(?:{VAL})\s").alias("by_val"), F.when(F.contains(bare, F.lit("=")), F.btrim(F.regexp_replace(bare, "^[^=]*=", ""))).alias("default_value"))
 
 
 def parameter_diagnostics(params: DataFrame, chosen: set[str] | None = None) -> DataFrame:
@@ -394,28 +449,6 @@ def parameter_diagnostics(params: DataFrame, chosen: set[str] | None = None) ->
     return _fused(sums, PARAM_RULES, chosen, "file_path", "line")
 
 
-def unused_parameters(facts: DataFrame, params: DataFrame) -> DataFrame:
-    """Parameters that no later line of their method names (BSL021 by value, BSL062 else)."""
-    used = facts.where("scope > 0 AND head = 0").select("file_path", "scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("code", F.lit(rf"({ID})")), lambda x: F.lower(x)))).alias("word")).distinct()
-    scoped = params.join(facts.where("head = 1").select("file_path", F.col("line").alias("proc_line"), "scope"), ["file_path", "proc_line"]).withColumn("word", F.lower("name"))
-    return scoped.join(used, ["file_path", "scope", "word"], "left_anti").where(~F.startswith("name", F.lit("_")) & (F.col("by_val") | F.col("default_value").isNull())).select(
-        "file_path", F.col("proc_line").alias("line"), F.when(F.col("by_val"), "BSL021").otherwise("BSL062").alias("code"), F.lit("WARNING").alias("severity"), "name"
-    )
-
-
-def _reads(facts: DataFrame) -> DataFrame:
-    """file_path, scope, word: lower-case identifiers of each method that stand anywhere but left of its line's ``=`` or in a declaration."""
-    rest = F.when(F.col("c").rlike("(?iu)" + starts(VAR)), F.lit("")).otherwise(F.regexp_replace("c", rf"^{ID}\s*=", ""))
-    return facts.where("scope > 0 AND head = 0").select("file_path", "scope", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(rf"({ID})")), lambda x: F.lower(x)))).alias("word")).distinct()
-
-
-def unused_locals(facts: DataFrame) -> DataFrame:
-    """Variables that a method assigns and never reads (BSL007): first line and lower-case name."""
-    given = facts.where("scope > 0").select("file_path", "scope", "line", F.lower(F.regexp_extract("c", rf"^({ID})\s*=", 1)).alias("word")).where("word <> ''")
-    first = given.groupBy("file_path", "scope", "word").agg(F.min("line").alias("line"))
-    return first.join(_reads(facts), ["file_path", "scope", "word"], "left_anti").select("file_path", "line", F.lit("BSL007").alias("code"), F.lit("WARNING").alias("severity"), F.col("word").alias("name"))
-
-
 def procedures_as_functions(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Assignments from a call of a procedure (BSL117), by the symbols' kinds."""
     called = facts.select("file_path", "line", F.lower(F.regexp_extract("c", rf"^{ID}\s*=\s*({ID})\s*\(", 1)).alias("word")).where("word <> ''")
@@ -431,6 +464,17 @@ def duplicate_literals(facts: DataFrame, per_scope: int = 3, per_file: int = 4)
     return scoped.where((F.col("scope") > 0) & (F.col("n") >= per_scope)).select("file_path", "line", F.lit("BSL035").alias("code"), "literal", "n").unionByName(whole.select("file_path", "line", F.lit("BSL132").alias("code"), "literal", "n"))
 
 
+def query_diagnostics(facts: DataFrame, lines: DataFrame, chosen: set[str] | None = None) -> DataFrame:
+    """Rules over the queries in string literals, at the line where each begins."""
+    from codeprism.operators.syntax import literals
+
+    q = literals(lines).where(F.col("text").rlike("(?iu)" + QUERY_TEXT)).select("file_path", F.col("start_line").alias("line"), F.regexp_replace("text", r"\s+", " ").alias("q"))
+    fields = F.regexp_extract_all(F.regexp_extract("q", FIELDS, 1), F.lit(PARAMETER), F.lit(0))
+    bare = F.filter(fields, lambda f: (F.btrim(f) != "") & ~f.rlike(ALIASED))
+    told = q.join(facts.select("file_path", "line", "loops"), ["file_path", "line"]).withColumn("unaliased", F.size(bare)).withColumn("rest", F.regexp_replace("q", UNION_ALL, " "))
+    return _fused(told, QUERY_RULES, chosen, "file_path", "line")
+
+
 def diagnostics(lines: DataFrame, chosen: set[str] | None = None) -> DataFrame:
     """file_path, line, code, severity of the chosen rules (default: those on) over file_path, line, text."""
     chosen = default_rules() if chosen is None else chosen
@@ -439,6 +483,8 @@ def diagnostics(lines: DataFrame, chosen: set[str] | None = None) -> DataFrame:
     for rules, found in ((SCOPE_RULES, scope_diagnostics), (FILE_RULES, file_diagnostics)):
         if any(r[0] in chosen for r in rules):
             out = out.unionByName(found(facts, chosen))
+    if any(r[0] in chosen for r in QUERY_RULES):
+        out = out.unionByName(query_diagnostics(facts, lines, chosen))
     if any(r[0] in chosen for r in PARAM_RULES):
         out = out.unionByName(parameter_diagnostics(parameters(facts), chosen))
     return out

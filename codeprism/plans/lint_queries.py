@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeprism.functions.text import STRING
-from codeprism.operators import formatting, reporting, rules, structure
+from codeprism.operators import flow, formatting, reporting, rules, structure
 from codeprism.operators.rules import ID, compiled, facts_sql
+from codeprism.plans.syntax_queries import DECLARED, LITERALS
 from codeprism.sources import corpus, files
 from codeprism.sources.corpus import relation
 from codeprism.streaming import changes
@@ -44,30 +45,30 @@ def _facts(r):
 
 SCOPES = "scopes AS (SELECT *, regexp_extract(header, '(?i)" + rules.NAME_OF + "', 1) AS name FROM (SELECT file_path, scope, " + ", ".join(f"{duck(v)} AS {k}" for k, v in rules.SCOPE_FACTS.items()) + " FROM facts WHERE scope > 0 GROUP BY file_path, scope) q)"
 MODULES = "modules AS (SELECT file_path, 1 AS line, " + ", ".join(f"{duck(v)} AS {k}" for k, v in rules.FILE_FACTS.items()) + " FROM facts GROUP BY file_path)"
+#: Headers stand on one line in the projected modules; parameters are taken as they are written.
 PARAMS = rf"""params AS (SELECT file_path, proc, proc_line, ord, trim(regexp_replace(bare, '=.*$', '')) AS name, regexp_matches(p, '^(?i)(?:{rules.VAL})\s') AS by_val,
   CASE WHEN contains(bare, '=') THEN trim(regexp_replace(bare, '^[^=]*=', '')) END AS default_value
   FROM (SELECT *, regexp_replace(p, '^(?i)(?:(?:{rules.VAL})\s+)+', '') AS bare FROM (SELECT file_path, proc, proc_line, CAST(i - 1 AS INT) AS ord, trim(ps[i]) AS p
-    FROM (SELECT file_path, line AS proc_line, regexp_extract(m0, '(?i){rules.NAME_OF}', 1) AS proc, string_split(regexp_extract(m0, '\((.*)\)', 1), ',') AS ps FROM facts WHERE head = 1 AND trim(regexp_extract(m0, '\((.*)\)', 1)) <> '') a, unnest(range(1, len(ps) + 1)) AS u(i)) b) c)"""
+    FROM (SELECT file_path, line AS proc_line, regexp_extract(m0, '(?i){rules.NAME_OF}', 1) AS proc, regexp_extract_all(regexp_extract(body, '\((.*)\)', 1), '{rules.PARAMETER}') AS ps FROM facts WHERE head = 1) a, unnest(range(1, len(ps) + 1)) AS u(i)) b) c)"""
 PARAM_SUMS = """sums AS (SELECT file_path, proc_line AS line, count(*) AS n_params, count(default_value) AS n_optional, max(CASE WHEN default_value IS NULL THEN ord END) AS last_required,
   min(CASE WHEN default_value IS NOT NULL THEN ord END) AS first_optional, max(length(name)) AS longest, max(length(default_value)) AS longest_default FROM params GROUP BY 1, 2)"""
+#: Literals that are queries, by the pattern over whole modules; their fields are cut at commas that stand outside brackets.
+QUERY = rf"""{LITERALS}, worded AS (SELECT l.file_path, start_line AS line, loops, regexp_replace(l.text, '\s+', ' ', 'g') AS q FROM literal l JOIN facts f ON f.file_path = l.file_path AND f.line = start_line WHERE regexp_matches(l.text, '(?i){rules.QUERY_TEXT}')),
+  asked AS (SELECT *, len(list_filter(regexp_extract_all(regexp_extract(q, '{rules.FIELDS.replace("(?iu)", "(?i)")}', 1), '{rules.PARAMETER}'), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{rules.ALIASED.replace("(?iu)", "(?i)")}'))) AS unaliased,
+    regexp_replace(q, '{rules.UNION_ALL.replace("(?iu)", "(?i)")}', ' ', 'g') AS rest FROM worded)"""
 ON = rules.default_rules()
-DEFAULT = f"{FACTS}, {SCOPES}, {MODULES}, {PARAMS}, {PARAM_SUMS}, diag AS (" + " UNION ALL ".join(
-    _found([r for r in listed if r[0] in ON], source) for listed, source in ((rules.LINE_RULES, "facts"), (rules.SCOPE_RULES, "scopes"), (rules.FILE_RULES, "modules"), (rules.PARAM_RULES, "sums"))
+DEFAULT = f"{FACTS}, {SCOPES}, {MODULES}, {PARAMS}, {PARAM_SUMS}, {QUERY}, diag AS (" + " UNION ALL ".join(
+    _found([r for r in listed if r[0] in ON], source) for listed, source in ((rules.LINE_RULES, "facts"), (rules.SCOPE_RULES, "scopes"), (rules.FILE_RULES, "modules"), (rules.PARAM_RULES, "sums"), (rules.QUERY_RULES, "asked"))
 ) + ")"
+query("lint_query_rules", f"WITH {FACTS}, {QUERY} {_found(rules.QUERY_RULES, 'asked')}")(lambda r: rules.query_diagnostics(_facts(r), r("source_lines")))
 
 query("lint_line_rules", f"WITH {FACTS} {_found(rules.LINE_RULES, 'facts')}")(lambda r: rules.line_diagnostics(_facts(r)))
 query("lint_scope_rules", f"WITH {FACTS}, {SCOPES} {_found(rules.SCOPE_RULES, 'scopes')}")(lambda r: rules.scope_diagnostics(_facts(r)))
 query("lint_file_rules", f"WITH {FACTS}, {MODULES} {_found(rules.FILE_RULES, 'modules')}")(lambda r: rules.file_diagnostics(_facts(r)))
 query("lint_param_rules", f"WITH {FACTS}, {PARAMS}, {PARAM_SUMS} {_found(rules.PARAM_RULES, 'sums')}")(lambda r: rules.parameter_diagnostics(rules.parameters(_facts(r))))
-query("lint_unused_params", rf"""WITH {FACTS}, {PARAMS}, used AS (SELECT DISTINCT file_path, scope, lower(unnest(regexp_extract_all(code, '{ID}'))) AS word FROM facts WHERE scope > 0 AND head = 0)
-  SELECT p.file_path, proc_line AS line, CASE WHEN by_val THEN 'BSL021' ELSE 'BSL062' END AS code, 'WARNING' AS severity, p.name FROM params p JOIN facts f ON f.file_path = p.file_path AND f.line = proc_line AND f.head = 1
-  WHERE NOT starts_with(p.name, '_') AND (by_val OR default_value IS NULL) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.file_path = p.file_path AND u.scope = f.scope AND u.word = lower(p.name))""")(lambda r: rules.unused_parameters(_facts(r), rules.parameters(_facts(r))))
-query("lint_unused_locals", rf"""WITH {FACTS}, given AS (SELECT file_path, scope, lower(regexp_extract(c, '^({ID})\s*=', 1)) AS name, min(line) AS line FROM facts WHERE scope > 0 AND regexp_extract(c, '^({ID})\s*=', 1) <> '' GROUP BY 1, 2, 3),
-  used AS (SELECT DISTINCT file_path, scope, lower(unnest(regexp_extract_all(CASE WHEN {duck(f"m[c, {rules.starts(rules.VAR)}]")} THEN '' ELSE regexp_replace(c, '^{ID}\s*=', '') END, '{ID}'))) AS name FROM facts WHERE scope > 0 AND head = 0)
-  SELECT file_path, line, 'BSL007' AS code, 'WARNING' AS severity, name FROM given WHERE NOT EXISTS (SELECT 1 FROM used WHERE used.file_path = given.file_path AND used.scope = given.scope AND used.name = given.name)""")(lambda r: rules.unused_locals(_facts(r)))
 query("lint_procedure_as_function", rf"""WITH {FACTS} SELECT file_path, line, 'BSL117' AS code, 'ERROR' AS severity FROM facts WHERE lower(regexp_extract(c, '^{ID}\s*=\s*({ID})\s*\(', 1)) IN (SELECT name_lower FROM symbols WHERE kind = 'procedure')""")(lambda r: rules.procedures_as_functions(_facts(r), r("symbols")))
-LITERALS = f"""lit AS (SELECT * FROM (SELECT file_path, scope, line, unnest(regexp_extract_all(text, '{STRING}')) AS literal FROM facts WHERE NOT {duck(f"m[c, {rules.starts(rules.RAISE)}]")}) q WHERE length(literal) > 2)"""
-query("lint_duplicate_literals", f"""WITH {FACTS}, {LITERALS} SELECT file_path, min(line) AS line, 'BSL035' AS code, literal, count(*) AS n FROM lit WHERE scope > 0 GROUP BY file_path, scope, literal HAVING count(*) >= 3
+LIT = f"""lit AS (SELECT * FROM (SELECT file_path, scope, line, unnest(regexp_extract_all(text, '{STRING}')) AS literal FROM facts WHERE NOT {duck(f"m[c, {rules.starts(rules.RAISE)}]")}) q WHERE length(literal) > 2)"""
+query("lint_duplicate_literals", f"""WITH {FACTS}, {LIT} SELECT file_path, min(line) AS line, 'BSL035' AS code, literal, count(*) AS n FROM lit WHERE scope > 0 GROUP BY file_path, scope, literal HAVING count(*) >= 3
   UNION ALL SELECT file_path, min(line), 'BSL132', literal, count(*) FROM lit GROUP BY file_path, literal HAVING count(*) >= 4""")(lambda r: rules.duplicate_literals(_facts(r)))
 query("lint_default", f"WITH {DEFAULT} SELECT * FROM diag")(lambda r: rules.diagnostics(r("source_lines")))
 NOQA = f"""SELECT file_path, line FROM facts WHERE {duck('m[note, noqa|bsl-disable]')} AND (NOT {duck(r'm[note, (?:noqa|bsl-disable)\s*:]')} OR {duck(r'm[note, BSL138]')})"""
@@ -116,6 +117,44 @@ _F = lambda p: f"CAST({duck(f'm[c, {p}]')} AS INT)"
 query("fmt_indent_heuristic", f"""WITH {FACTS}, flag AS (SELECT file_path, line, {_F(formatting.OPENS)} AS o, {_F(formatting.CLOSES)} AS x, {_F(formatting.MIDDLE)} AS m FROM facts)
   SELECT file_path, line, CAST(greatest(sum(o) OVER w - sum(x) OVER w - o - m, 0) AS BIGINT) AS indent FROM flag WINDOW w AS (PARTITION BY file_path ORDER BY line)""")(lambda r: formatting.indents(r("source_lines")))
 
+#: Reads and writes by the forms of the projected modules: an assignment, a for-each loop or a declaration stands first on its line, one or two on a line.
+EVENTS = rf"""part AS (SELECT file_path, scope, line, k, trim(s[k]) AS s FROM (SELECT file_path, scope, line, string_split(c, ';') AS s FROM facts WHERE head = 0 AND c <> '' AND NOT regexp_matches(c, '^(?:[#&]|Var )')) q, unnest(range(1, len(s) + 1)) AS u(k) WHERE trim(s[k]) <> ''),
+  act AS (SELECT *, CASE WHEN regexp_matches(s, '^For Each ') THEN 'loop' WHEN regexp_matches(s, '^{ID}\s*=') THEN 'write' END AS kind, CASE WHEN regexp_matches(s, '^For Each ') THEN regexp_extract(s, '^For Each ({ID})', 1) ELSE regexp_extract(s, '^({ID})\s*=', 1) END AS target,
+    CASE WHEN regexp_matches(s, '^For Each ') THEN regexp_replace(s, '^For Each {ID}', '') ELSE regexp_replace(s, '^{ID}\s*=', '') END AS rest FROM part),
+  seen AS (SELECT file_path, scope, line, k, 1 AS role, target AS name, kind, CAST(regexp_matches(rest, '^\s*ErrorInfo\(\)') AS INT) AS error FROM act WHERE kind IS NOT NULL
+    UNION ALL SELECT file_path, scope, line, k, 0, n, 'read', 0 FROM (SELECT DISTINCT file_path, scope, line, k, ltrim(unnest(regexp_extract_all(rest, '(?:^|[^\p{{L}}\p{{N}}_.]){ID}')), ' (,+-*/=<>') AS n FROM act)
+    UNION ALL SELECT p.file_path, scope, proc_line, 0, 1, name, 'param', 0 FROM params p JOIN facts f ON f.file_path = p.file_path AND f.line = proc_line AND head = 1
+    UNION ALL SELECT d.file_path, scope, d.line, 0, 1, name, CASE is_export WHEN 1 THEN 'exported' ELSE 'decl' END, 0 FROM declared d JOIN facts f ON f.file_path = d.file_path AND f.line = d.line),
+  event AS MATERIALIZED (SELECT *, lower(name) AS word FROM seen)"""
+FLOW = f"{FACTS}, {PARAMS}, {DECLARED}, {EVENTS}"
+_flow = lambda f: lambda r: (lambda facts: f(facts, flow.events(facts), rules.parameters(facts)))(_facts(r))
+_W = ", 'WARNING' AS severity, "
+query("lint_unused_params", f"""WITH {FLOW}, idle AS (SELECT p.file_path, proc_line AS line, by_val, p.name FROM params p JOIN facts f ON f.file_path = p.file_path AND f.line = proc_line AND head = 1
+    WHERE NOT starts_with(p.name, '_') AND (by_val OR default_value IS NULL) AND NOT EXISTS (SELECT 1 FROM event e WHERE e.file_path = p.file_path AND e.scope = f.scope AND e.word = lower(p.name) AND e.kind <> 'param'))
+  SELECT file_path, line, CASE WHEN by_val THEN 'BSL021' ELSE 'BSL062' END AS code{_W}name FROM idle UNION ALL SELECT file_path, line, 'BSL122', 'WARNING', name FROM idle""")(_flow(flow.unused_parameters))
+query("lint_unused_locals", f"""WITH {FLOW}, made AS (SELECT file_path, scope, word, min((line, name)) AS f FROM event WHERE kind IN ('decl', 'write') GROUP BY ALL)
+  SELECT file_path, f[1] AS line, 'BSL007' AS code{_W}f[2] AS name FROM made m WHERE NOT EXISTS (SELECT 1 FROM event e WHERE e.file_path = m.file_path AND e.word = m.word AND (e.scope = m.scope AND e.kind IN ('read', 'param', 'exported')
+    OR m.scope > 0 AND e.scope = 0 AND e.kind IN ('decl', 'write', 'param', 'exported') OR m.scope = 0 AND e.kind = 'read'))""")(_flow(lambda facts, found, params: flow.unused_variables(found)))
+query("lint_unused_errors", f"""WITH {FLOW} SELECT file_path, line, 'BSL034' AS code{_W}name FROM event w WHERE error = 1 AND NOT EXISTS (SELECT 1 FROM event r WHERE r.file_path = w.file_path AND r.scope = w.scope AND r.word = w.word AND r.kind = 'read' AND (r.line, r.k) > (w.line, w.k))""")(
+    _flow(lambda facts, found, params: flow.unused_errors(found))
+)
+query("lint_module_variables", f"""WITH {FLOW} SELECT file_path, line, 'BSL075' AS code, 'INFORMATION' AS severity, name FROM event w WHERE scope > 0 AND kind = 'write' AND EXISTS (SELECT 1 FROM event d WHERE d.file_path = w.file_path AND d.word = w.word AND d.scope = 0 AND d.kind IN ('decl', 'exported'))
+  AND NOT EXISTS (SELECT 1 FROM event d WHERE d.file_path = w.file_path AND d.word = w.word AND d.scope = w.scope AND d.kind IN ('decl', 'param'))""")(_flow(lambda facts, found, params: flow.changed_module_variables(found)))
+query("lint_rewritten_params", f"""WITH {FLOW}, use AS (SELECT *, row_number() OVER (PARTITION BY file_path, scope, word ORDER BY line, k, role) AS nth FROM event WHERE kind <> 'param')
+  SELECT u.file_path, u.line, 'BSL240' AS code{_W}u.name FROM use u WHERE nth = 1 AND kind IN ('write', 'loop') AND EXISTS (SELECT 1 FROM params p JOIN facts f ON f.file_path = p.file_path AND f.line = proc_line AND head = 1 WHERE p.file_path = u.file_path AND f.scope = u.scope AND lower(p.name) = u.word AND by_val)""")(
+    _flow(lambda facts, found, params: flow.rewritten_parameters(found, params))
+)
+query("lint_unused_iterators", f"""WITH {FLOW}, done AS (SELECT file_path, line FROM facts WHERE c = 'EndDo;'), loop AS (SELECT e.*, (SELECT min(done.line) FROM done WHERE done.file_path = e.file_path AND done.line > e.line) AS end_line FROM event e WHERE kind = 'loop')
+  SELECT file_path, line, 'BSL263' AS code{_W}name FROM loop l WHERE NOT EXISTS (SELECT 1 FROM event r WHERE r.file_path = l.file_path AND r.scope = l.scope AND r.word = l.word AND r.kind = 'read' AND r.line > l.line AND r.line <= l.end_line)""")(
+    _flow(lambda facts, found, params: flow.unused_iterators(facts, found))
+)
+query("lint_undescribed_params", rf"""WITH {DECLARED} SELECT file_path, line, 'BSL088' AS code, 'INFORMATION' AS severity, name FROM method WHERE is_export = 1 AND NOT contains(signature, '()') AND NOT regexp_matches(doc, '(?i)Parameters\s*:')""")(lambda r: flow.undescribed_parameters(_facts(r)))
+query("lint_repeated_branches", f"""WITH chain AS (SELECT file_path, line, list(trim(text, ' ' || chr(9))) OVER (PARTITION BY file_path ORDER BY line ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS b FROM source_lines)
+  SELECT file_path, line + 2 AS line, 'BSL197' AS code, 'WARNING' AS severity FROM chain WHERE b[1] LIKE 'If %' AND b[3] = 'Else' AND b[5] = 'EndIf;' AND b[2] = b[4] AND b[2] <> ''""")(lambda r: flow.repeated_branches(_facts(r)))
+query("lint_final_newline", """SELECT doc_id AS path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS line, 'BSL082' AS code, 'INFORMATION' AS severity FROM documents WHERE text <> '' AND NOT ends_with(text, chr(10))""", tables=False)(
+    lambda spark, sf_dir: flow.missing_final_newline(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text"))
+)
+
 
 def _modules(r):
     return r("source_lines").groupBy(F.col("file_path").alias("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))

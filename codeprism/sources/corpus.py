@@ -29,7 +29,7 @@ TEMPLATES: dict[int, tuple[str, ...]] = {
     16: ("'    If Not Ready Then'", "'        Return;'", "'    Else'", "'    EndIf;'"), 17: ("'#Region Private'", "'#EndRegion'"),
     18: ("'    Goto ~Label;'", "'    // BSLLS:UseOfDebugOutput-off'", "'    Message(\"off\");'", "'    // BSLLS:UseOfDebugOutput-on'"), 19: ("'    Result = ?(P1, True, False);'",),
     20: ("'    Query.Text = \"SELECT A, Message(B)'", "'    |FROM Goods AS G // rows'", "'    |WHERE A = \"\"x\"\"\";'"), 21: ("'    ' || t.name || '(Name(1, \"a,b\"),'", "'        2, , 3);'"),
-    22: ("'    For Each Row In Rows Do'", "'        Query.Text = \"SELECT TOP 5 A FROM T\";'", "'    EndDo;'"), 23: ("'    Draft = 1;'", "'    Draft = Draft2;'", "'    Draft = 3;'"), 24: ("'    Var Temp, Spare;'",),
+    22: ("'    For Each Row In Rows Do'", "'        Query.Text = \"SELECT TOP 5 A FROM T\";'", "'    EndDo;'"), 23: ("'    Draft = 1;'", "'    Draft = Draft2;'", "'    Draft = 3;'"), 24: ("'    Var Temp, Spare;'", "'    P2 = 1;'"),
     25: ("'    If P1 Then'", "'        Done();'", "'    Else'", "'        Done();'", "'    EndIf;'"), 26: ("'    List = New Array;'", "'    Other = List;'", "'    For Each Row In Other Do'", "'        Row = 0;'", "'    EndDo;'"),
     27: ("'    Try'", "'        Name(1);'", "'    Except'", "'        Info = ErrorInfo();'", "'    EndTry;'"),
 }
@@ -41,6 +41,7 @@ _SIZES = ", ".join(str(len(TEMPLATES[case])) for case in range(CASES))
 SOURCE_LINES = f"""SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY pid, sec, k1, k2, k3, k4) AS INT) AS line, text FROM (
   SELECT file_path, id AS pid, 0 AS sec, 0 AS k1, 0 AS k2, 0 AS k3, 0 AS k4, '// Does the work of ' || name || '.' AS text FROM ({{symbols}}) d WHERE kind <> 'variable' AND id % 3 = 0
   UNION ALL SELECT file_path, id, 1, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'Function ' ELSE 'Procedure ' END || name || CASE WHEN id % 7 = 0 THEN '(P1, P2 = 1, P3, Val P4)' ELSE '(P1, Val P2 = "a,b")' END || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END FROM ({{symbols}}) h WHERE kind <> 'variable'
+  UNION ALL SELECT DISTINCT file_path, -2000000000, 0, 0, 0, 0, 0, 'Var Total, Sum Export;' FROM ({{symbols}}) o
   UNION ALL SELECT file_path, id - 1000000000, 1, 0, 0, 0, 0, 'Var ' || name || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END || ';' FROM ({{symbols}}) v WHERE kind = 'variable'
   UNION ALL SELECT * FROM (SELECT file_path, pid, 2, CAST(l_orderkey AS INT), l_linenumber, CAST(l_partkey AS INT), k4, {_TEXT} AS text
     FROM (SELECT s.file_path, CASE WHEN s.kind = 'variable' THEN s.id + 1000000000 ELSE s.id END AS pid, t.name, l_orderkey, l_linenumber, l_partkey, {{each}} AS k4 FROM {{lineitem}} JOIN ({{symbols}}) s ON s.id = l_orderkey % {{n}} JOIN ({{symbols}}) t ON t.id = l_partkey) t) b WHERE text IS NOT NULL
