@@ -318,7 +318,7 @@ def labelled(docs: DataFrame, key: Column, shingle: int = SHINGLE) -> tuple[Data
     crowds = materialize(crowds.select("proposed", blocks.cast("long").alias("blocks")).where(F.col("blocks") > 0))
     placed = wanted.join(broadcast_if_small(crowds, BROADCAST_ROWS), "proposed", "left").select("first", F.struct("proposed", "node", F.coalesce("blocks", F.lit(0)).alias("blocks")).alias("at"))
     texts = docs.select("text", key.alias("key"))
-    texts = texts.join(placed, texts["key"].eqNullSafe(placed["first"])).select("text", "at")
+    texts = texts.join(placed, texts["key"] == placed["first"]).select("text", "at")
     sets = shingles(texts, F.col("at"), shingle=shingle).select("k0.*", "hashes")
     links = decided(sets.where("blocks = 0"))
     if crowds.limit(1).count():
@@ -336,6 +336,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     firsts = labelled(docs, key, shingle)[1].groupBy("root").agg(F.min("first").alias("first"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
-    kept = rows.join(firsts, rows["key"].eqNullSafe(firsts["first"]), "left_semi")
+    # Keys are never null (their fields may be), so a plain join deals the rows as the window wants them.
+    kept = rows.join(firsts, rows["key"] == firsts["first"], "left_semi")
     once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
     return kept.withColumn("n", once).where(F.col("n") == 1).select("row.*")
