@@ -25,8 +25,8 @@ ERROR_CALL = r"(?iu)^\s*(?:ИнформацияОбОшибке|ErrorInfo|Опи
 GIVEN = ("команда", "command", "дополнительныепараметры", "additionalparameters")
 
 
-def events(facts: DataFrame) -> DataFrame:
-    """file_path, scope, word (lower case), name, line, k, role (0 read, 1 write), kind (param, decl, write, loop, read), error (1: assigned the error information)."""
+def statements(facts: DataFrame) -> DataFrame:
+    """file_path, scope, line, k, target, kind (write, loop, count) and rest (what is read) of every statement in code but declarations."""
     heads = R.headers(facts).select("file_path", F.explode(F.sequence("line", "last_line")).alias("line"))
     plain = facts.join(heads, ["file_path", "line"], "left_anti").where((F.col("c") != "") & ~F.startswith("c", F.lit("#")) & ~F.startswith("c", F.lit("&")) & ~F.col("c").rlike("(?iu)" + R.starts(R.VAR)))
     begins = F.col("c").rlike("(?iu)" + R.BEGINS) | F.col("p1").rlike("(?iu)" + ENDS) | F.col("p1").rlike(r"^[#&]|\)$") | (F.col("p1") == "")
@@ -36,7 +36,12 @@ def events(facts: DataFrame) -> DataFrame:
     target = F.when(each != "", each).when(to != "", to).when(first & (given != ""), given)
     rest = F.when(each != "", F.regexp_extract("s", FOR_EACH, 2)).when(to != "", F.regexp_extract("s", FOR_TO, 2)).when(first & (given != ""), F.regexp_extract("s", ASSIGNED, 2)).otherwise(F.col("s"))
     kind = F.when(each != "", "loop").when(to != "", "count").otherwise("write")
-    said = said.select("file_path", "scope", "line", "k", target.alias("target"), kind.alias("kind"), rest.alias("rest"))
+    return said.select("file_path", "scope", "line", "k", target.alias("target"), kind.alias("kind"), rest.alias("rest"))
+
+
+def events(facts: DataFrame) -> DataFrame:
+    """file_path, scope, word (lower case), name, line, k, role (0 read, 1 write), kind (param, decl, exported, write, loop, count, read), error (1: assigned the error information)."""
+    said = statements(facts)
     write = F.when(F.col("target").isNotNull(), F.array(F.struct(F.col("target").alias("name"), F.lit(1).alias("role"), F.col("kind"), F.col("rest").rlike(ERROR_CALL).cast("int").alias("error"))))
     none = F.array().cast("array<struct<name:string,role:int,kind:string,error:int>>")
     reads = F.transform(F.array_distinct(F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))), lambda n: F.struct(n.alias("name"), F.lit(0).alias("role"), F.lit("read").alias("kind"), F.lit(0).alias("error")))

@@ -89,24 +89,3 @@ def locals_of(facts: DataFrame) -> DataFrame:
         out = out.unionByName(p)
     first = F.min(F.struct("decl_line", "origin", "name")).alias("f")
     return out.groupBy("file_path", "scope", F.lower("name").alias("key")).agg(first).select("file_path", "scope", "f.name", "f.decl_line", "f.origin")
-
-
-def inferred_types(facts: DataFrame, returns: DataFrame | None = None) -> DataFrame:
-    """file_path, scope, name, type: the last assignment of a method decides.
-
-    ``Новый T`` gives T, literals their kind, a variable the type it was given; method
-    results come from ``returns`` (method, type).
-    """
-    value = F.regexp_extract("c", rf"^{R.ID}\s*=\s*(.*?)\s*;?$", 1)
-    given = facts.where("scope > 0").select("file_path", "scope", "line", F.lower(F.regexp_extract("c", rf"^({R.ID})\s*=", 1)).alias("name"), value.alias("value")).where("name <> ''")
-    kind = (
-        F.when(F.col("value").rlike(rf"(?iu)^(?:Новый|New)\s+{R.ID}"), F.regexp_extract("value", rf"(?iu)^(?:Новый|New)\s+({R.ID})", 1))
-        .when(F.startswith("value", F.lit('"')), "String").when(F.col("value").rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "Number").when(F.col("value").rlike(rf"(?iu)^(?:{R.TRUE}|{R.FALSE})$"), "Boolean")
-    )
-    typed = given.withColumn("type", kind)
-    if returns is not None:
-        called = F.lower(F.regexp_extract("value", rf"({R.ID})\s*\(", 1))
-        typed = typed.withColumn("called", called).join(F.broadcast(returns.select(F.lower("method").alias("called"), F.col("type").alias("given"))), "called", "left").withColumn("type", F.coalesce("type", "given"))
-    last = typed.groupBy("file_path", "scope", "name").agg(F.max(F.struct("line", "type", "value")).alias("l")).select("file_path", "scope", "name", "l.type", F.lower("l.value").alias("source"))
-    known = last.select("file_path", "scope", F.col("name").alias("source"), F.col("type").alias("from"))
-    return last.join(known, ["file_path", "scope", "source"], "left").select("file_path", "scope", "name", F.coalesce("type", "from").alias("type")).where("type IS NOT NULL")

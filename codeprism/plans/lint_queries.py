@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeprism.functions.text import STRING
-from codeprism.operators import flow, formatting, reporting, rules, structure
+from codeprism.operators import flow, formatting, layout, reporting, rules, structure, types
 from codeprism.operators.rules import ID, compiled, facts_sql
 from codeprism.plans.syntax_queries import DECLARED, LITERALS
 from codeprism.sources import corpus, files
 from codeprism.sources.corpus import relation
-from codeprism.streaming import changes
+from codeprism.streaming import adaptive, changes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -170,6 +170,15 @@ query("stream_debounce", """SELECT user_id, count(*) AS n, min(ts) AS first, max
     lambda spark, sf_dir: changes.debounced_batch(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", 7200)
 )
 
+#: Events of a user are changes of one file; those of the first type report a check that took a fortieth of their value; units are of six hours.
+query("stream_adaptive", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN value / 40 END AS took FROM events),
+  k AS (SELECT user_id, ts, took, event_id, last_value(took IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, took IS NULL, event_id) AS told FROM e),
+  q AS (SELECT user_id, ts, CASE WHEN told IS NULL THEN 0.6 ELSE least(3.0, greatest(0.3, told * 2)) END AS quiet FROM k WHERE took IS NULL),
+  m AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= lag(quiet) OVER w * 21600000000 THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+  SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS batch FROM m) b GROUP BY user_id, batch""", tables=False)(
+    lambda spark, sf_dir: (lambda e: adaptive.batches(e.select("user_id", "ts", F.when(F.col("event_type") == e.agg(F.min("event_type")).first()[0], F.col("value") / 40).alias("took")), "user_id", "ts", 21600).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")}))(spark.read.parquet(f"{sf_dir}/events.parquet"))
+)
+
 
 def _blocks(kind: str, opens: str, closes: str) -> str:
     return f"""SELECT file_path, '{kind}' AS kind, line, 1 AS step FROM facts WHERE {duck(f"m[c, {rules.starts(opens)}]")} UNION ALL SELECT file_path, '{kind}', line, -1 FROM facts WHERE {duck(f"m[c, {rules.starts(closes)}]")}"""
@@ -186,4 +195,16 @@ query("src_enclosing_blocks", f"""WITH {FACTS}, {BLOCKS} SELECT file_path, line,
 query("src_highlight", """SELECT file_path, line, count(*) AS n FROM (SELECT file_path, line, unnest(regexp_extract_all(' ' || regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') || ' ', '(?i)[^\\p{L}\\p{N}_]message[^\\p{L}\\p{N}_]')) FROM source_lines) q GROUP BY 1, 2""")(lambda r: structure.highlights(r("source_lines"), "Message").groupBy("file_path", "line").agg(F.count(F.lit(1)).alias("n")))
 query("src_semantic_tokens")(lambda r: structure.semantic_tokens(r("source_lines")))
 query("src_locals")(lambda r: structure.locals_of(_facts(r)))
-query("type_inference")(lambda r: structure.inferred_types(_facts(r)))
+#: Types by recursion over the event that each assignment depends on, in the forms of the projected modules.
+TYPES = rf"""given AS (SELECT file_path, scope, line, k, lower(target) AS word, trim(CASE kind WHEN 'loop' THEN regexp_extract(rest, '^ In (.*) Do$', 1) ELSE rest END) AS e, kind FROM act WHERE kind IS NOT NULL),
+  formed AS (SELECT *, CASE WHEN regexp_matches(e, '^New ') THEN regexp_extract(e, '^New ({ID})', 1) WHEN regexp_matches(e, '^[0-9]+$') THEN 'Число' WHEN e = '""' THEN 'Строка' WHEN e IN ('True', 'False') THEN 'Булево' END AS known,
+    CASE WHEN regexp_matches(e, '^{ID}$') AND e NOT IN ('True', 'False') THEN e ELSE regexp_extract(e, '^({ID})\.{ID}\(.*\)$', 1) END AS source, lower(regexp_extract(e, '^{ID}\.({ID})\(.*\)$', 1)) AS method FROM given),
+  linked AS (SELECT *, CASE WHEN known IS NULL AND source <> '' THEN coalesce((SELECT max((b.line, b.k)) FROM formed b WHERE b.file_path = f.file_path AND b.scope = f.scope AND b.word = lower(f.source) AND (b.line, b.k) < (f.line, f.k)),
+    (SELECT max((b.line, b.k)) FROM formed b WHERE b.file_path = f.file_path AND b.scope = 0 AND b.word = lower(f.source) AND (b.line, b.k) < (f.line, f.k))) END AS dep FROM formed f),
+  typed AS (SELECT file_path, scope, line, k, word, coalesce(known, '') AS type FROM linked WHERE dep IS NULL AND (known IS NOT NULL OR method = '' OR kind = 'loop')
+    UNION ALL SELECT file_path, scope, line, k, word, CASE lower(source) || '.' || method WHEN 'query.execute' THEN 'QueryResult' ELSE '' END FROM linked WHERE dep IS NULL AND known IS NULL AND method <> '' AND kind <> 'loop'
+    UNION ALL SELECT l.file_path, l.scope, l.line, l.k, l.word, CASE WHEN l.kind = 'loop' THEN '' WHEN method = '' THEN t.type WHEN lower(CASE t.type WHEN '' THEN source ELSE t.type END) || '.' || method = 'query.execute' THEN 'QueryResult' ELSE '' END
+      FROM linked l JOIN typed t ON t.file_path = l.file_path AND (t.line, t.k) = l.dep)"""
+query("type_inference", f"""WITH RECURSIVE {FLOW}, {TYPES}, last AS (SELECT file_path, scope, word, max((line, k)) AS at FROM typed GROUP BY ALL)
+  SELECT t.file_path, CAST(t.scope AS BIGINT) AS scope, t.word AS name, type FROM typed t JOIN last ON last.file_path = t.file_path AND last.scope = t.scope AND last.word = t.word AND last.at = (t.line, t.k) WHERE type <> ''""")(lambda r: types.inferred(_facts(r)))
+query("fmt_lines")(lambda r: layout.formatted(r("source_lines")))

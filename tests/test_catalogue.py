@@ -1,6 +1,7 @@
 import json
 
 from codeprism.operators import catalogue, rules, structure
+from codeprism.operators import types as inference
 
 
 def types(spark, tmp_path):
@@ -33,7 +34,7 @@ def test_structure(spark):
     around = structure.enclosing(structure.blocks(facts), spark.createDataFrame([("m", 5)], "file_path string, line int")).orderBy("nesting")
     assert [r["kind"] for r in around.collect()] == ["if", "method", "region"]
     assert {r["name"]: r["origin"] for r in structure.locals_of(facts).collect()} == {"Б": "param", "В": "param", "Г": "var", "Д": "var", "Е": "assignment", "Ж": "assignment"}
-    assert {r["name"]: r["type"] for r in structure.inferred_types(facts).collect()} == {"е": "Массив", "ж": "Массив"}
+    assert {r["name"]: r["type"] for r in inference.inferred(facts).collect()} == {"е": "Массив", "ж": "Массив"}
     assert [(r["start"]) for r in structure.highlights(lines, "Е").orderBy("line", "start").collect()] == [0, 4]
     tokens = structure.semantic_tokens(lines).where("line = 5").orderBy("start").collect()
     assert [(r["start"], r["type"], r["delta"]) for r in tokens] == [(0, "variable", 0), (4, "variable", 4), (10, "variable", 6)]
