@@ -109,6 +109,42 @@ def sonar_rows(found: DataFrame) -> DataFrame:
     return found.select(F.lit("codeprism").alias("engine_id"), F.col("code").alias("rule_id"), severity.alias("severity"), F.col("file_path").alias("path"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
 
 
+def with_unused(found: DataFrame, unused: DataFrame) -> DataFrame:
+    """Diagnostics (file_path, line, code, severity) with a BSL-DEAD one for each symbol of ``unused``."""
+    return found.select("file_path", "line", "code", "severity").unionByName(unused.select("file_path", "line", F.lit("BSL-DEAD").alias("code"), F.lit("INFORMATION").alias("severity")))
+
+
+def sarif_documents(found: DataFrame, tool: str = "codeprism", version: str = "1.0.0") -> DataFrame:
+    """file_path and document: a whole SARIF 2.1.0 log as JSON for each module.
+
+    Rules stand in order of first appearance, columns count from 1; a module's log is of a module's size, so
+    none gathers the corpus.
+    """
+    rows = sarif_rows(found)
+    names = F.create_map(*(F.lit(x) for r in {r[0]: r[1] for r in ALL_RULES}.items() for x in r))
+    name = F.coalesce(F.try_element_at(names, "rule_id"), F.col("rule_id"))
+    region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("start_line").alias("endLine"))
+    place = F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(name.alias("text")).alias("message"), F.array(place).alias("locations"))
+    one = rows.select("uri", "start_line", "rule_id", "level", name.alias("name"), result.alias("result"))
+    rules = one.groupBy("uri", "rule_id").agg(F.min("start_line").alias("at"), F.min("level").alias("level"), F.min("name").alias("name"))
+    rule = F.struct(F.col("rule_id").alias("id"), "name", F.struct("level").alias("defaultConfiguration"))
+    listed = rules.groupBy("uri").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "rule_id", rule.alias("rule")))), lambda x: x["rule"]).alias("rules"))
+    results = one.groupBy("uri").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "rule_id", "result"))), lambda x: x["result"]).alias("results"))
+    driver = F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules").alias("rules")).alias("driver"))
+    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results").alias("results"))).alias("runs"))
+    return listed.join(results, "uri").select(F.col("uri").alias("file_path"), F.to_json(log).alias("document"))
+
+
+def sonar_documents(found: DataFrame) -> DataFrame:
+    """file_path and document: the generic issues of each module as JSON, nested as the importer wants them; columns from 0."""
+    rows = sonar_rows(found)
+    place = F.struct(F.col("rule_id").alias("message"), F.col("path").alias("filePath"), F.struct(F.col("start_line").alias("startLine"), F.greatest("start_line", "end_line").alias("endLine")).alias("textRange"))
+    issue = F.struct(F.col("engine_id").alias("engineId"), F.col("rule_id").alias("ruleId"), "severity", F.lit("CODE_SMELL").alias("type"), place.alias("primaryLocation"))
+    each = rows.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "rule_id", issue.alias("issue")))), lambda x: x["issue"]).alias("issues"))
+    return each.select(F.col("path").alias("file_path"), F.to_json(F.struct("issues")).alias("document"))
+
+
 def compact(found: DataFrame) -> DataFrame:
     return found.select(F.format_string("%s:%d: %s %s", "file_path", "line", "severity", "code").alias("value"))
 
