@@ -335,8 +335,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The row of the smallest doc_id (nulls last, then text hash) of each component, with all columns of ``docs``."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     firsts = labelled(docs, key, shingle)[1].groupBy("root").agg(F.min("first").alias("first"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
-    # Keys are never null (their fields may be), so a plain join deals the rows as the window wants them.
+    release(docs.sparkSession)
+    # Keys are never null (their fields may be) and of one type, so a plain join deals the rows as the window wants them.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.cast(firsts.schema["first"].dataType).alias("key"))
     kept = rows.join(firsts, rows["key"] == firsts["first"], "left_semi")
     once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
     return kept.withColumn("n", once).where(F.col("n") == 1).select("row.*")
