@@ -145,6 +145,31 @@ def sonar_documents(found: DataFrame) -> DataFrame:
     return each.select(F.col("path").alias("file_path"), F.to_json(F.struct("issues")).alias("document"))
 
 
+def localised(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """``found`` (code, message, ...) with message_local: the template of its code in ``messages`` (code, pattern, template) with what the pattern finds.
+
+    A pattern's first group takes the place of ``{0}``; without a row or a match the message stays.
+    """
+    known = F.broadcast(messages.select("code", "pattern", "template"))  # a row for each rule
+    told = found.join(known, "code", "left")
+    value = F.expr("regexp_extract(message, coalesce(pattern, '^()'), 1)")
+    plain = F.col("pattern").isNull() & F.col("template").isNotNull()
+    local = F.when(plain, F.col("template")).when(F.expr("message RLIKE pattern"), F.replace("template", F.lit("{0}"), value)).otherwise(F.col("message"))
+    return told.withColumn("message_local", local).drop("pattern", "template")
+
+
+def write_changed(formatted: DataFrame, folder: str) -> None:
+    """The texts of formatted modules (path, text, changed) that changed, as a table below ``folder``; others are left alone."""
+    formatted.where("changed").select("path", "text").write.mode("overwrite").parquet(folder)
+
+
+def json_array(found: DataFrame) -> DataFrame:
+    """file_path and document: the diagnostics of each module as one JSON array, in order of line and code."""
+    names = [c for c in found.columns if c != "file_path"]
+    rows = F.sort_array(F.collect_list(F.struct("line", "code", F.struct("file_path", *names).alias("d"))))
+    return found.groupBy("file_path").agg(rows.alias("r")).select("file_path", F.to_json(F.transform("r", lambda x: x["d"])).alias("document"))
+
+
 def compact(found: DataFrame) -> DataFrame:
     return found.select(F.format_string("%s:%d: %s %s", "file_path", "line", "severity", "code").alias("value"))
 
