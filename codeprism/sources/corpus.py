@@ -43,8 +43,8 @@ SOURCE_LINES = f"""SELECT file_path, CAST(row_number() OVER (PARTITION BY file_p
   UNION ALL SELECT file_path, id, 1, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'Function ' ELSE 'Procedure ' END || name || CASE WHEN id % 7 = 0 THEN '(P1, P2 = 1, P3, Val P4)' ELSE '(P1, Val P2 = "a,b")' END || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END FROM ({{symbols}}) h WHERE kind <> 'variable'
   UNION ALL SELECT DISTINCT file_path, -2000000000, 0, 0, 0, 0, 0, 'Var Total, Sum Export;' FROM ({{symbols}}) o
   UNION ALL SELECT file_path, id - 1000000000, 1, 0, 0, 0, 0, 'Var ' || name || CASE WHEN is_export = 1 THEN ' Export' ELSE '' END || ';' FROM ({{symbols}}) v WHERE kind = 'variable'
-  UNION ALL SELECT * FROM (SELECT file_path, pid, 2, CAST(l_orderkey AS INT), l_linenumber, CAST(l_partkey AS INT), k4, {_TEXT} AS text
-    FROM (SELECT s.file_path, CASE WHEN s.kind = 'variable' THEN s.id + 1000000000 ELSE s.id END AS pid, t.name, l_orderkey, l_linenumber, l_partkey, {{each}} AS k4 FROM {{lineitem}} JOIN ({{symbols}}) s ON s.id = l_orderkey % {{n}} JOIN ({{symbols}}) t ON t.id = l_partkey) t) b WHERE text IS NOT NULL
+  UNION ALL SELECT * FROM (SELECT file_path, pid, 2, CAST(l_orderkey AS INT), l_linenumber, CAST(l_partkey * 10000000 + l_suppkey * 100 + l_quantity AS BIGINT), k4, {_TEXT} AS text
+    FROM (SELECT s.file_path, CASE WHEN s.kind = 'variable' THEN s.id + 1000000000 ELSE s.id END AS pid, t.name, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {{each}} AS k4 FROM {{lineitem}} JOIN ({{symbols}}) s ON s.id = l_orderkey % {{n}} JOIN ({{symbols}}) t ON t.id = l_partkey) t) b WHERE text IS NOT NULL
   UNION ALL SELECT file_path, id, 3, 0, 0, 0, 0, CASE kind WHEN 'function' THEN 'EndFunction' ELSE 'EndProcedure' END FROM ({{symbols}}) f WHERE kind <> 'variable') body"""
 
 META_OBJECTS = "SELECT n_name AS name, lower(n_name) AS name_lower, r_name AS kind, n_nationkey AS seq FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
