@@ -51,7 +51,8 @@ query("idx_callers", f"""SELECT {CALL}, s.line AS symbol_line FROM calls LEFT JO
 DEF = f"SELECT {CALL}, s.file_path AS callee_file, s.line AS callee_line FROM calls LEFT JOIN symbols s ON s.name_lower = callee_name_lower WHERE caller_file = '{FILE}'"
 _defs = ("caller_file", "caller_line", "caller_name", "callee_name", "callee_args_count", "callee_file", "callee_line")
 query("idx_callees_file", DEF)(lambda r: index.callees(r("calls"), r("symbols"), FILE).select(*_defs))
-query("idx_callees_window", f"{DEF} AND caller_line BETWEEN 485 AND 515")(lambda r: index.callees(r("calls"), r("symbols"), FILE, line=500).select(*_defs))
+LEAST = f"(SELECT min(caller_line) FROM calls WHERE caller_file = '{FILE}')"
+query("idx_callees_window", f"{DEF} AND caller_line BETWEEN {LEAST} - 15 AND {LEAST} + 15")(lambda r: index.callees(r("calls"), r("symbols"), FILE, line=r("calls").where(F.col("caller_file") == FILE).agg(F.min("caller_line")).first()[0] or 0).select(*_defs))
 FIRST_CALLER = f"(SELECT min(caller_name) FROM calls WHERE caller_file = '{FILE}')"
 query("idx_callees_by_name", f"{DEF} AND caller_name = {FIRST_CALLER}")(lambda r: index.callees(r("calls"), r("symbols"), FILE, caller=r("calls").where(F.col("caller_file") == FILE).agg(F.min("caller_name")).first()[0] or "").select(*_defs))
 query("idx_module_exports", f"SELECT {SYM} FROM symbols WHERE is_export = 1 AND ends_with(file_path, '/PROMO.bsl') ORDER BY name_lower, file_path, line LIMIT 100")(lambda r: _sym(index.module_exports(r("symbols"), "PROMO")))
