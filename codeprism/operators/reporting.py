@@ -53,9 +53,13 @@ def block_suppressed(found: DataFrame, lines: DataFrame) -> DataFrame:
     part = marks.select("file_path", "at", F.regexp_extract("note", r"BSLLS(?::(\w+))?-(?:off|on|выкл|вкл)", 1).alias("rule"), F.col("note").rlike("-(?:off|выкл)").alias("off"), (F.btrim("text") != F.btrim("note")).alias("inline"))
     names = found.sparkSession.createDataFrame(sorted({(r[1], r[0]) for r in ALL_RULES} | {("", r[0]) for r in ALL_RULES}), "rule string, code string")
     events = part.join(F.broadcast(names), "rule")  # the rule table has a few hundred rows
-    state = found.join(events, ["file_path", "code"]).where((F.col("at") <= F.col("line")) & (~F.col("inline") | (F.col("at") == F.col("line"))))
-    last = state.groupBy("file_path", "line", "code").agg(F.max(F.struct("at", "off")).alias("s")).where("s.off").select("file_path", "line", "code")
-    return found.join(last, ["file_path", "line", "code"], "left_anti")
+    own = F.struct(*[found[c] for c in found.columns])
+    asked = found.select("file_path", "code", "line", F.lit(1).alias("role"), F.lit(None).cast("boolean").alias("off"), own.alias("row"))
+    marks = events.where("NOT inline").select("file_path", "code", F.col("at").alias("line"), F.lit(0).alias("role"), "off", F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    state = F.last("off", ignorenulls=True).over(Window.partitionBy("file_path", "code").orderBy("line", "role", "off"))
+    known = asked.unionByName(marks).withColumn("state", state).where("role = 1")
+    here = events.where("inline").groupBy("file_path", "code", F.col("at").alias("line")).agg(F.max("off").alias("here"))
+    return known.join(here, ["file_path", "code", "line"], "left").where(~F.coalesce("here", "state", F.lit(False))).select("row.*")
 
 
 def prioritized(found: DataFrame, pairs: Sequence[tuple[str, str]] = PRIORITIES) -> DataFrame:

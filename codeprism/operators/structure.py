@@ -42,9 +42,14 @@ def regions(facts: DataFrame) -> DataFrame:
     return blocks(facts).where("kind = 'region'").join(facts.select("file_path", F.col("line").alias("start_line"), name.alias("name")), ["file_path", "start_line"]).select("file_path", "name", "start_line", "end_line")
 
 
-def enclosing(found: DataFrame, positions: DataFrame) -> DataFrame:
-    """Blocks around each position (file_path, line), innermost first by ``nesting``."""
-    joined = positions.join(found, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+def enclosing(found: DataFrame, positions: DataFrame, width: int = 64) -> DataFrame:
+    """Blocks around each position (file_path, line), innermost first by ``nesting``.
+
+    Blocks go to each bucket of ``width`` lines that they touch, so a line meets the blocks near it and not all of its file.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    near = found.withColumn("b", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
+    joined = positions.withColumn("b", bucket("line")).join(near, ["file_path", "b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("b")
     return joined.withColumn("nesting", F.row_number().over(Window.partitionBy("file_path", "line").orderBy(F.col("start_line").desc(), F.col("end_line"), "kind")))
 
 
