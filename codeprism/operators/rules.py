@@ -252,9 +252,10 @@ PARAM_RULES: list[tuple[str, str, str, bool, str]] = [
     ("BSL142", "LargeParameterDefaultValue", "I", False, "longest_default > 50"),
 ]
 #: Rules over whole modules.
-FILE_FACTS = {"n_lines": "count(*)", "n_code": "sum(CASE WHEN c <> '' THEN 1 ELSE 0 END)", "n_module_vars": f"sum(CASE WHEN scope = 0 AND m[c, {starts(VAR)}] THEN 1 ELSE 0 END)", "opening": "max(CASE WHEN line = 1 THEN t ELSE '' END)", "lowest": "min(depth)", "last_depth": "max_by(depth, line)"}
+FILE_FACTS = {"n_lines": "count(*)", "n_code": "sum(CASE WHEN c <> '' THEN 1 ELSE 0 END)", "n_module_vars": f"sum(CASE WHEN scope = 0 AND m[c, {starts(VAR)}] THEN 1 ELSE 0 END)", "opening": "max(CASE WHEN line = 1 THEN t ELSE '' END)", "lowest": "min(depth)", "last_depth": "max_by(depth, line)",
+    "n_heads": "sum(head)", "n_tails": f"sum(CASE WHEN m[c, {starts(END_PROC + '|' + END_FUNC)}] THEN 1 ELSE 0 END)", "n_try": f"sum(CASE WHEN m[c, {starts(TRY)}] THEN 1 ELSE 0 END)", "n_end_try": f"sum(CASE WHEN m[c, {starts(END_TRY)}] THEN 1 ELSE 0 END)"}
 FILE_RULES: list[tuple[str, str, str, bool, str]] = [
-    ("BSL001", "ParseError", "E", True, "lowest < 0 OR last_depth <> 0"),
+    ("BSL001", "ParseError", "E", True, "lowest < 0 OR last_depth <> 0 OR n_heads <> n_tails OR n_try <> n_end_try"),
     ("BSL048", "EmptyFile", "I", True, "n_code = 0"),
     ("BSL063", "LargeModule", "W", True, "n_lines > 1000"),
     ("BSL083", "TooManyModuleVariables", "I", False, "n_module_vars > 10"),

@@ -30,6 +30,7 @@ CASES = [
     ("BSL197", method("Если Б Тогда", "В();", "КонецЕсли;", "Если Г Тогда", "В();", "КонецЕсли;"), False),
 ]
 RULES = [
+    ("BSL001", ["Процедура А()", "Б();"], True), ("BSL001", ["Процедура А()", "Б();", "КонецПроцедуры"], False), ("BSL001", ["Попытка", "Б();", "Исключение"], True), ("BSL001", ["Попытка", "Б();", "Исключение", "КонецПопытки;"], False), ("BSL001", ["КонецФункции"], True),
     ("BSL012", ['// Пароль = "секрет";'], False), ("BSL012", ['Б(); Пароль = "секрет";'], True), ("BSL041", method("О = Новый ОписаниеОповещения(1);", head="Процедура ОбработкаКоманды(Б)", above=["&НаКлиенте"]), False), ("BSL041", method("О = Новый ОписаниеОповещения(1);", head="Процедура ОбработкаКоманды(Б)"), True),
     ("BSL058", ['Т = "ВЫБРАТЬ', "|   Код,", "|ИЗ", '|   Товары";'], True), ("BSL058", ['Т = "ВЫБРАТЬ', "|   Код", "|ИЗ", "|   Товары", "|ГДЕ", '|   Код = 1";'], False), ("BSL058", ['Т = "ВЫБРАТЬ ПЕРВЫЕ 10', "| Код", '|ИЗ Товары";'], False), ("BSL058", ['Т = "Кнопка ВЫБРАТЬ ИЗ списка";'], False),
     ("BSL077", ['Т = "ВЫБРАТЬ', '| * ИЗ Б";'], True), ("BSL077", ['Т = "ВЫБРАТЬ Б ИЗ В";'], False), ("BSL106", ["Пока А Цикл", 'Т = "ВЫБРАТЬ * ИЗ Б";', "КонецЦикла;"], True), ("BSL106", ['Т = "ВЫБРАТЬ * ИЗ Б";'], False),
