@@ -71,8 +71,9 @@ def formatted(lines: DataFrame, unit: str = "\t") -> DataFrame:
     indent = F.repeat(F.lit(unit), F.greatest(F.lit(0), depth + deeper).cast("int"))
     laid = each.select("file_path", "line", "part", "inside", F.when(verbatim | (content == ""), content).otherwise(F.concat(indent, content)).alias("text"))
     blank = (F.btrim("text", F.lit(" \t")) == "") & (F.col("inside") == 0)
-    later = F.max((~blank).cast("int")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    marked = laid.select("*", blank.alias("blank"), F.lag(blank).over(order).alias("before"), later.alias("later"))
+    # From the end upwards: a frame that ends at the last line would be summed anew for each line.
+    later = F.max((~blank).cast("int")).over(Window.partitionBy("file_path").orderBy(F.col("line").desc(), F.col("part").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    marked = laid.select("*", blank.alias("blank"), F.lag(blank).over(order).alias("before")).withColumn("later", later)
     return marked.where((F.col("later") == 1) & ~(F.col("blank") & F.coalesce("before", F.lit(True)))).select("file_path", "line", "part", "text")
 
 

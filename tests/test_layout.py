@@ -96,3 +96,11 @@ def test_literals_and_comments_are_kept(spark):
 def test_range(spark):
     ranges = spark.createDataFrame([("f0", 6, 7)], "file_path string, first int, last int")
     assert text_of(layout.formatted_range(frame(spark, BEFORE), ranges)) == "\tЕсли А = 1 и (Б <> \"если\") Тогда\n\t\tВызов(А, Б);\n\tКонецЕсли;"
+
+
+def test_no_frame_runs_to_the_end_of_a_module(spark):
+    """A frame from a line to the end of its file is summed anew for every line: seconds grow with the square of a module."""
+    lines = spark.createDataFrame([("m", 1, "A = 1;"), ("m", 2, ""), ("m", 3, "B = 2;"), ("m", 4, ""), ("m", 5, " ")], "file_path string, line int, text string")
+    laid = layout.formatted(lines)
+    assert [(r.line, r.text) for r in laid.orderBy("line").collect()] == [(1, "A = 1;"), (2, ""), (3, "B = 2;")]
+    assert "unboundedfollowing" not in laid._jdf.queryExecution().optimizedPlan().toString().replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "").lower()
