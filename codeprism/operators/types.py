@@ -6,6 +6,7 @@ called on it (a map of return types), the elements of a collection that a loop r
 over.  The event it depends on is the last one before it that gave that variable a value,
 in the method or else in the module, which one window finds.  Dependencies point to
 earlier events only, so rounds of joins, each with what the last one settled, end.
+Copies of copies are passed by doubling first; rounds are left for calls and loops.
 """
 
 from __future__ import annotations
@@ -59,6 +60,18 @@ def assignments(facts: DataFrame, numbers: tuple[str, str, str] = LITERALS) -> D
     return said.join(linked, ["file_path", "id"], "left")
 
 
+def _past_copies(found: DataFrame) -> DataFrame:
+    """``found`` with dep moved past plain copies to the event that they all copy; each round doubles the way, so a chain of n copies takes log n."""
+    jump = cut(found.where("dep IS NOT NULL AND form = 'copy' AND NOT each").select("file_path", "id", F.col("dep").alias("to")))
+    while True:
+        moved = jump.join(jump.select("file_path", F.col("id").alias("to"), F.col("to").alias("next")), ["file_path", "to"], "left")
+        if not moved.where("next IS NOT NULL").limit(1).count():
+            break
+        jump = cut(moved.select("file_path", "id", F.coalesce("next", "to").alias("to")))
+    past = found.join(jump.select("file_path", F.col("id").alias("dep"), "to"), ["file_path", "dep"], "left")
+    return past.withColumn("dep", F.coalesce("to", "dep")).select(*found.columns)
+
+
 def typed(found: DataFrame, returns: dict[str, str] = RETURNS, elements: dict[str, str] = ELEMENTS) -> DataFrame:
     """``found`` (assignments) with every type that can be told; others are empty."""
     table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.create_map().cast("map<string,string>")
@@ -70,7 +83,7 @@ def typed(found: DataFrame, returns: dict[str, str] = RETURNS, elements: dict[st
         value = F.when(F.col("form") == "call", F.coalesce(F.try_element_at(given, F.concat(F.lower(F.coalesce(F.nullif(known, empty), F.col("of"))), F.lit("."), F.lower("method"))), empty)).otherwise(F.coalesce(known, empty))
         return F.when(F.col("form") == "const", F.coalesce(F.col("type"), empty)).when(F.col("each"), F.coalesce(F.try_element_at(held, F.lower(value)), empty)).otherwise(value)
 
-    found = cut(found)
+    found = cut(_past_copies(cut(found)))
     settled = found.where("dep IS NULL").withColumn("type", told(F.lit(None).cast("string")))
     done, waiting = settled, found.where("dep IS NOT NULL")
     while True:

@@ -77,3 +77,12 @@ def test_random_modules(spark, seed):
 
 def test_empty(spark):
     assert types.inferred(rules.line_facts(frame(spark, [["A();"]]))).collect() == []
+
+
+def test_long_chains_of_copies_take_few_rounds(spark, monkeypatch):
+    cuts, plain = [], types.cut
+    monkeypatch.setattr(types, "cut", lambda df: cuts.append(1) or plain(df))
+    text = ["В0 = Новый Запрос;", *[f"В{i + 1} = В{i};" for i in range(20)], "Р = В20.Выполнить();"]
+    got = {(r["scope"], r["name"]): r["type"] for r in types.inferred(rules.line_facts(frame(spark, [text]))).collect()}
+    assert got == interpreted(text) and len(got) == 22
+    assert len(cuts) < 16  # two for each copy before
