@@ -49,10 +49,15 @@ def caller_tree(calls: DataFrame, name: str, depth: int = 5, width: int = 20) ->
     return grow(name, depth)
 
 
-def callees_in_definitions(symbols: DataFrame, calls: DataFrame, end_line: str = "end_line") -> DataFrame:
-    """Calls inside each definition's line range: equality on the file, then an interval."""
-    d = symbols.select(F.col("file_path").alias("caller_file"), F.col("name").alias("definition"), "line", end_line)
-    return calls.join(d, "caller_file").where(F.col("caller_line").between(F.col("line"), F.col(end_line)))
+def callees_in_definitions(symbols: DataFrame, calls: DataFrame, end_line: str = "end_line", width: int = 64) -> DataFrame:
+    """Calls inside each definition's line range: equality on the file and a bucket of lines, then an interval.
+
+    A definition goes to each bucket of ``width`` lines that it touches, so a call meets the definitions near it and not all of its file.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    d = symbols.where(F.col("line") <= F.col(end_line)).select(F.col("file_path").alias("caller_file"), F.col("name").alias("definition"), "line", end_line)
+    near = d.withColumn("bucket", F.explode(F.sequence(bucket("line"), bucket(end_line))))
+    return calls.withColumn("bucket", bucket("caller_line")).join(near, ["caller_file", "bucket"]).drop("bucket").where(F.col("caller_line").between(F.col("line"), F.col(end_line)))
 
 
 def first_symbols(symbols: DataFrame) -> DataFrame:

@@ -49,3 +49,16 @@ def test_block_windows_carry_no_text(spark):
     below = plan[plan.index("if_elsif") :].split("\n")
     thin = next(x for x in below if "Project [file_path" in x and "hits" in x)
     assert " text#" not in thin and " code#" not in thin
+
+
+def test_calls_meet_definitions_by_buckets_of_lines(spark):
+    from codeprism.operators.graph import callees_in_definitions
+
+    spans = [("a", "one", 1, 21), ("a", "two", 60, 130), ("a", "none", 9, 8), ("b", "far", 1, 500), ("b", "left", -70, 2)]
+    symbols = spark.createDataFrame(spans, "file_path string, name string, line int, end_line int")
+    places = [(f, n) for f in "abc" for n in (-1, 0, 1, 21, 22, 60, 63, 64, 127, 128, 130, 131, 500, 501)]
+    calls = spark.createDataFrame(places, "caller_file string, caller_line int")
+    found = callees_in_definitions(symbols, calls)
+    assert sorted(map(tuple, found.select("caller_file", "caller_line", "definition").collect())) == sorted((f, n, s[1]) for f, n in places for s in spans if s[0] == f and s[2] <= n <= s[3])
+    join = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x)
+    assert "bucket" in join
