@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeprism.functions.tables import apart, stored
 from codeprism.operators import rules as R
 from codeprism.operators.structure import blocks
-from codeprism.operators.syntax import ENDS, comments_above, methods, variables
+from codeprism.operators.syntax import DECLARES, ENDS, comments_above, methods, variables
 
 #: Names in code, members of objects left out.
 NAME = rf"(?<![\p{{L}}\p{{N}}_.])({R.ID})"
@@ -25,18 +26,42 @@ ERROR_CALL = r"(?iu)^\s*(?:ИнформацияОбОшибке|ErrorInfo|Опи
 GIVEN = ("команда", "command", "дополнительныепараметры", "additionalparameters")
 
 
+def _begins() -> Column:
+    """Whether a line begins a statement; plain tests of what ends most statements come before the patterns."""
+    p1 = F.col("p1")
+    plain = (p1 == "") | F.endswith(p1, F.lit(";")) | F.startswith(p1, F.lit("#")) | F.startswith(p1, F.lit("&")) | p1.rlike(r"\)$")
+    return plain | F.col("c").rlike("(?iu)" + R.BEGINS) | p1.rlike("(?iu)" + ENDS)
+
+
+def kept(facts: DataFrame) -> DataFrame:
+    """What def-use rules read of the line facts, as a stored table: they pass over the lines several times.
+
+    code stands where a header or a declaration may, body where a header may, p1 above a method's first line.
+    """
+    header = F.expr(R.OF_HEADER)
+    texts = {"code": header | F.col("code").rlike("(?iu)" + DECLARES), "body": header, "p1": F.col("head") == 1}
+    of_text = (F.when(where, F.col(c)).alias(c) for c, where in texts.items())
+    return stored(facts.where((F.col("c") != "") | header).select("file_path", "line", "scope", "head", "unclosed", apart(F.col("c")).alias("c"), _begins().alias("begins"), *of_text))
+
+
 def statements(facts: DataFrame) -> DataFrame:
     """file_path, scope, line, k, target, kind (write, loop, count) and rest (what is read) of every statement in code but declarations."""
+    begins = F.col("begins") if "begins" in facts.columns else _begins()
+    coded = facts.where((F.col("c") != "") & ~F.startswith("c", F.lit("#")) & ~F.startswith("c", F.lit("&")) & ~F.col("c").rlike("(?iu)" + R.starts(R.VAR)))
+    coded = coded.select("file_path", "scope", "line", apart(F.col("c")).alias("c"), begins.alias("begins"), F.expr(R.OF_HEADER).alias("of_header"))
     heads = R.headers(facts).select("file_path", F.explode(F.sequence("line", "last_line")).alias("line"))
-    plain = facts.join(heads, ["file_path", "line"], "left_anti").where((F.col("c") != "") & ~F.startswith("c", F.lit("#")) & ~F.startswith("c", F.lit("&")) & ~F.col("c").rlike("(?iu)" + R.starts(R.VAR)))
-    begins = F.col("c").rlike("(?iu)" + R.BEGINS) | F.col("p1").rlike("(?iu)" + ENDS) | F.col("p1").rlike(r"^[#&]|\)$") | (F.col("p1") == "")
-    said = plain.select("file_path", "scope", "line", begins.alias("begins"), F.posexplode(F.split("c", ";")).alias("k", "s")).where(F.btrim("s") != "")
-    first = F.col("begins") | (F.col("k") > 0)
-    each, to, given = (F.regexp_extract("s", p, 1) for p in (FOR_EACH, FOR_TO, ASSIGNED))
-    target = F.when(each != "", each).when(to != "", to).when(first & (given != ""), given)
-    rest = F.when(each != "", F.regexp_extract("s", FOR_EACH, 2)).when(to != "", F.regexp_extract("s", FOR_TO, 2)).when(first & (given != ""), F.regexp_extract("s", ASSIGNED, 2)).otherwise(F.col("s"))
-    kind = F.when(each != "", "loop").when(to != "", "count").otherwise("write")
-    return said.select("file_path", "scope", "line", "k", target.alias("target"), kind.alias("kind"), rest.alias("rest"))
+    plain = coded.where("NOT of_header").unionByName(coded.where("of_header").join(heads, ["file_path", "line"], "left_anti"))
+    said = plain.select("file_path", "scope", "line", "begins", F.posexplode(F.split("c", ";")).alias("k", "s")).where(F.btrim("s") != "")
+    looped, low = F.lit(False), F.expr(R.folded("s"))
+    for word in ("for", "для"):
+        looped = looped | F.contains(low, F.lit(word))
+    said = said.select("file_path", "scope", "line", "k", apart(F.col("s")).alias("s"), looped.alias("looped"), (F.contains("s", F.lit("=")) & (F.col("begins") | (F.col("k") > 0))).alias("set"))
+    part = lambda p, i: F.coalesce(F.when(F.col("looped") if p != ASSIGNED else F.col("set"), F.regexp_extract("s", p, i)), F.lit(""))
+    found = said.select("file_path", "scope", "line", "k", apart(F.col("s")).alias("s"), "looped", "set", part(FOR_EACH, 1).alias("each"), part(FOR_TO, 1).alias("to"), part(ASSIGNED, 1).alias("given"))
+    each, to, given = (F.col(c) != "" for c in ("each", "to", "given"))
+    target = F.when(each, F.col("each")).when(to, F.col("to")).when(given, F.col("given"))
+    rest = F.when(each, part(FOR_EACH, 2)).when(to, part(FOR_TO, 2)).when(given, part(ASSIGNED, 2)).otherwise(F.col("s"))
+    return found.select("file_path", "scope", "line", "k", target.alias("target"), F.when(each, "loop").when(to, "count").otherwise("write").alias("kind"), apart(rest).alias("rest"))
 
 
 def events(facts: DataFrame) -> DataFrame:
@@ -46,8 +71,7 @@ def events(facts: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<name:string,role:int,kind:string,error:int>>")
     reads = F.transform(F.array_distinct(F.regexp_extract_all("rest", F.lit(NAME), F.lit(1))), lambda n: F.struct(n.alias("name"), F.lit(0).alias("role"), F.lit("read").alias("kind"), F.lit(0).alias("error")))
     used = said.select("file_path", "scope", "line", "k", F.inline(F.concat(F.coalesce(write, none), reads)))
-    scoped = facts.where("head = 1").select("file_path", F.col("line").alias("proc_line"), "scope")
-    params = R.parameters(facts).join(scoped, ["file_path", "proc_line"]).select("file_path", "scope", F.col("proc_line").alias("line"), F.lit(-1).alias("k"), "name", F.lit(1).alias("role"), F.lit("param").alias("kind"), F.lit(0).alias("error"))
+    params = R.scoped_parameters(facts).select("file_path", "scope", F.col("proc_line").alias("line"), F.lit(-1).alias("k"), "name", F.lit(1).alias("role"), F.lit("param").alias("kind"), F.lit(0).alias("error"))
     declared = variables(facts).select("file_path", "scope", "line", F.lit(-1).alias("k"), "name", F.lit(1).alias("role"), F.when(F.col("is_export") == 1, "exported").otherwise("decl").alias("kind"), F.lit(0).alias("error"))
     return used.unionByName(params).unionByName(declared).withColumn("word", F.lower("name"))
 
@@ -65,27 +89,28 @@ def unused_variables(found: DataFrame) -> DataFrame:
 
     The module's own may be read by any method; a method that assigns one of them has no local of that name.
     """
-    sums = found.groupBy("file_path", "scope", "word").agg(_has("read").alias("reads"), _has("decl", "write").alias("made"), _has("param", "exported").alias("kept"), F.min(F.when(F.col("kind").isin("decl", "write"), F.struct("line", "name"))).alias("f"))
-    module = sums.where("scope = 0 AND (made = 1 OR kept = 1)").select("file_path", "word")
-    read = sums.where("reads = 1").select("file_path", "word").distinct()
-    idle = sums.where("made = 1 AND reads = 0 AND kept = 0")
-    own = idle.where("scope > 0").join(module, ["file_path", "word"], "left_anti")
-    whole = idle.where("scope = 0").join(read, ["file_path", "word"], "left_anti")
-    return _warn(own.unionByName(whole).select("file_path", "f.line", "f.name"), "BSL007", "WARNING")
+    made = F.min(F.when(F.col("kind").isin("decl", "write"), F.col("line"))).alias("line")
+    named = found.groupBy("file_path", "scope", "word", "name").agg(_has("read").alias("reads"), _has("param", "exported").alias("kept"), made)
+    first = F.min(F.when(F.col("line").isNotNull(), F.struct("line", "name"))).alias("f")
+    sums = named.repartition("file_path", "word").groupBy("file_path", "scope", "word").agg(F.max("reads").alias("reads"), F.max("kept").alias("kept"), first)
+    module = Window.partitionBy("file_path", "word")
+    anywhere = sums.select("*", F.max(F.expr("scope = 0 AND (f IS NOT NULL OR kept = 1)")).over(module).alias("of_module"), F.max("reads").over(module).alias("read"))
+    idle = anywhere.where("f IS NOT NULL AND reads = 0 AND kept = 0 AND CASE WHEN scope > 0 THEN NOT of_module ELSE read = 0 END")
+    return _warn(idle.select("file_path", "f.line", "f.name"), "BSL007", "WARNING")
 
 
 def chained(found: DataFrame) -> DataFrame:
-    """Events with first (the place among those of its variable, parameters not counted) and reads_after (how many reads follow)."""
-    by = Window.partitionBy("file_path", "scope", "word")
-    order = by.orderBy("line", "k", "role")
-    read = (F.col("kind") == "read").cast("int")
-    counted = F.when(F.col("kind") == "param", 0).otherwise(1)
-    return found.withColumn("reads_after", F.sum(read).over(by) - F.sum(read).over(order)).withColumn("first", F.sum(counted).over(order))
+    """Events with first: the place among those of its variable, parameters not counted."""
+    order = Window.partitionBy("file_path", "scope", "word").orderBy("line", "k", "role")
+    return found.withColumn("first", F.sum(F.when(F.col("kind") == "param", 0).otherwise(1)).over(order))
 
 
 def unused_errors(found: DataFrame) -> DataFrame:
     """Error information that is kept and not read from there on (BSL034)."""
-    return _warn(chained(found).where("error = 1 AND reads_after = 0"), "BSL034", "WARNING")
+    place = F.shiftleft(F.col("line").cast("long"), 31) + F.col("k")
+    last = found.where("kind = 'read'").groupBy("file_path", "scope", "word").agg(F.max(place).alias("last"))
+    told = found.where("error = 1").withColumn("place", place).join(last, ["file_path", "scope", "word"], "left")
+    return _warn(told.where("last IS NULL OR last <= place"), "BSL034", "WARNING")
 
 
 def changed_module_variables(found: DataFrame) -> DataFrame:
@@ -166,8 +191,9 @@ def missing_final_newline(modules: DataFrame) -> DataFrame:
 def flow_diagnostics(lines: DataFrame) -> DataFrame:
     """file_path, line, code, severity, name of all def-use rules over file_path, line, text."""
     facts = R.line_facts(lines)
-    found, params = events(facts), R.parameters(facts)
+    narrow = kept(facts)
+    found, params = events(narrow), R.parameters(narrow)
     out = unused_variables(found)
-    for more in (unused_errors(found), changed_module_variables(found), rewritten_parameters(found, params), unused_iterators(facts, found), unused_parameters(facts, found, params), undescribed_parameters(facts)):
+    for more in (unused_errors(found), changed_module_variables(found), rewritten_parameters(found, params), unused_iterators(narrow, found), unused_parameters(narrow, found, params), undescribed_parameters(facts)):
         out = out.unionByName(more)
     return out

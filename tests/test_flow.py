@@ -84,3 +84,11 @@ def test_long_branches(spark, last):
     lines = ["If B Then", *body, "Else", *body, "EndIf;", "If B Then", *body, "Else", *body[:-2], "C();", body[-1], "EndIf;"]
     found = flow.repeated_branches(rules.line_facts(spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(lines)], "file_path string, line int, text string")))
     assert [r["line"] for r in found.collect()] == [last + 2]
+
+
+def test_defuse_rules_pass_over_a_stored_table(spark):
+    """The lines are computed once for all passes, and idle variables are told in one pass over the events."""
+    lines = spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(method("Перем Б;", "Б = 1; Для = 2;", "В(Д);"))], "file_path string, line int, text string")
+    plan = flow.unused_variables(flow.events(flow.kept(rules.line_facts(lines))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert plan.count("posexplode(split") <= 2  # statements, and those of lines that a header may hold
