@@ -92,3 +92,10 @@ def test_defuse_rules_pass_over_a_stored_table(spark):
     plan = flow.unused_variables(flow.events(flow.kept(rules.line_facts(lines))))._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan
     assert plan.count("posexplode(split") <= 2  # statements, and those of lines that a header may hold
+
+
+def test_calls_of_procedures_compute_the_code_once(spark):
+    facts = rules.line_facts(spark.createDataFrame([("a", 1, "А = Б(1);"), ("a", 2, "В = Г(2);"), ("a", 3, "Б(3);")], "file_path string, line int, text string"))
+    found = rules.procedures_as_functions(facts, spark.createDataFrame([("б", "procedure"), ("г", "function")], "name_lower string, kind string"))
+    assert [tuple(r)[:3] for r in found.collect()] == [("a", 1, "BSL117")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("octet_length") + found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
