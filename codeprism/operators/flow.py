@@ -162,24 +162,36 @@ def undescribed_parameters(facts: DataFrame) -> DataFrame:
 def repeated_branches(facts: DataFrame) -> DataFrame:
     """Branches of an If that have the same lines, in the same order, as an earlier one (BSL197): the line where each begins.
 
-    Sizes and the first and last code line are compared first, which windows tell; only branches
-    that agree in these with a sibling are read whole, by buckets of lines.
+    Sizes and the first and last code line are compared first, which windows over the lines that part
+    branches tell; that is all of a branch of one or two lines.  Only longer ones that agree in these
+    with a sibling are read whole, by buckets of lines, and only if there are any.
     """
     opens, closes = (F.col("c").rlike("(?iu)" + R.starts(w)) for w in (R.IF, R.END_IF))
     code = (F.col("c") != "").cast("int")
-    counted = facts.select("file_path", "line", "c", "n1", "p1", "if_depth", "if_id", (opens | closes | (F.col("elsif") == 1) | (F.col("other") == 1)).alias("mark"), F.sum(code).over(Window.partitionBy("file_path").orderBy("line")).alias("upto"))
+    parts = opens | closes | (F.col("elsif") == 1) | (F.col("other") == 1)
+    counted = facts.select("file_path", "line", apart(F.lower("n1")).alias("n1"), F.lower("p1").alias("p1"), "if_depth", "if_opens", parts.alias("mark"), code.alias("code"))
+    counted = counted.withColumn("upto", F.sum("code").over(Window.partitionBy("file_path").orderBy("line"))).where("mark")
+    numbered = counted.withColumn("if_id", F.sum("if_opens").over(Window.partitionBy("file_path", "if_depth").orderBy("line")))
     chain = Window.partitionBy("file_path", "if_depth", "if_id").orderBy("line")
-    marks = counted.where("mark").select("*", *(F.lead(c).over(chain).alias(f"next_{c}") for c in ("line", "upto", "p1"))).where("next_line IS NOT NULL")
+    marks = numbered.select("*", *(F.lead(c).over(chain).alias(f"next_{c}") for c in ("line", "upto", "p1"))).where("next_line IS NOT NULL")
     marks = marks.withColumn("size", F.col("next_upto") - F.col("upto") - 1).where("size > 0")
-    alike = Window.partitionBy("file_path", "if_depth", "if_id", "size", F.lower("n1"), F.lower("next_p1"))
-    asked = marks.withColumn("same", F.count(F.lit(1)).over(alike)).where("same > 1").select("file_path", "if_depth", "if_id", F.col("line").alias("start_line"), "next_line")
-    width = 64
+    alike = Window.partitionBy("file_path", "if_depth", "if_id", "size", "n1", "next_p1")
+    asked = marks.withColumns({"same": F.count(F.lit(1)).over(alike), "nth": F.row_number().over(alike.orderBy("line"))}).where("same > 1")
+    asked = stored(asked.select("file_path", "if_depth", "if_id", "size", "nth", F.col("line").alias("start_line"), "next_line"))
+    found, longer = asked.where("size <= 2 AND nth > 1").select("file_path", F.col("start_line").alias("line")), asked.where("size > 2")
+    if not longer.isEmpty():
+        found = found.unionByName(_repeated_long(facts, longer))
+    return found.select("file_path", "line", F.lit("BSL197").alias("code"), F.lit("WARNING").alias("severity"))
+
+
+def _repeated_long(facts: DataFrame, asked: DataFrame, width: int = 64) -> DataFrame:
+    """file_path and line of the branches ``asked`` whose lines are those of an earlier one of their chain."""
     bucketed = asked.withColumn("b", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("next_line") / width))))
-    lines = facts.where("c <> ''").select("file_path", "line", F.lower("c").alias("c"), F.floor(F.col("line") / width).alias("b"))
+    lines = facts.select("file_path", "line", F.explode(F.filter(F.array(F.lower("c")), lambda c: c != "")).alias("c")).withColumn("b", F.floor(F.col("line") / width))
     body = bucketed.join(lines, ["file_path", "b"]).where((F.col("line") > F.col("start_line")) & (F.col("line") < F.col("next_line")))
     digest = body.groupBy("file_path", "if_depth", "if_id", "start_line").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "c"))), lambda x: x["c"]), "\n"), 256).alias("digest"))
     nth = F.row_number().over(Window.partitionBy("file_path", "if_depth", "if_id", "digest").orderBy("start_line"))
-    return digest.withColumn("nth", nth).where("nth > 1").select("file_path", F.col("start_line").alias("line"), F.lit("BSL197").alias("code"), F.lit("WARNING").alias("severity"))
+    return digest.withColumn("nth", nth).where("nth > 1").select("file_path", F.col("start_line").alias("line"))
 
 
 def missing_final_newline(modules: DataFrame) -> DataFrame:

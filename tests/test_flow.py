@@ -94,6 +94,14 @@ def test_defuse_rules_pass_over_a_stored_table(spark):
     assert plan.count("posexplode(split") <= 2  # statements, and those of lines that a header may hold
 
 
+def test_short_repeated_branches_need_no_lines(spark):
+    text = method("Если Б Тогда", "В();", "Иначе", "в();", "КонецЕсли;", "Если Б Тогда", "В();", "Г();", "ИначеЕсли Д Тогда", "Е();", "Иначе", "В();", "Г();", "КонецЕсли;")
+    facts = rules.line_facts(spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(text)], "file_path string, line int, text string"))
+    found = flow.repeated_branches(facts)
+    assert sorted(r.line for r in found.collect()) == [4, 12]
+    assert "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_calls_of_procedures_compute_the_code_once(spark):
     facts = rules.line_facts(spark.createDataFrame([("a", 1, "А = Б(1);"), ("a", 2, "В = Г(2);"), ("a", 3, "Б(3);")], "file_path string, line int, text string"))
     found = rules.procedures_as_functions(facts, spark.createDataFrame([("б", "procedure"), ("г", "function")], "name_lower string, kind string"))
