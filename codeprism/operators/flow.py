@@ -41,27 +41,27 @@ def kept(facts: DataFrame) -> DataFrame:
     header = F.expr(R.OF_HEADER)
     texts = {"code": header | F.col("code").rlike("(?iu)" + DECLARES), "body": header, "p1": F.col("head") == 1}
     of_text = (F.when(where, F.col(c)).alias(c) for c, where in texts.items())
-    return stored(facts.where((F.col("c") != "") | header).select("file_path", "line", "scope", "head", "unclosed", apart(F.col("c")).alias("c"), _begins().alias("begins"), *of_text))
+    return stored(facts.where((F.col("c") != "") | header).select("file_path", "line", "scope", "head", "unclosed", "c", _begins().alias("begins"), *of_text))
 
 
 def statements(facts: DataFrame) -> DataFrame:
     """file_path, scope, line, k, target, kind (write, loop, count) and rest (what is read) of every statement in code but declarations."""
     begins = F.col("begins") if "begins" in facts.columns else _begins()
     coded = facts.where((F.col("c") != "") & ~F.startswith("c", F.lit("#")) & ~F.startswith("c", F.lit("&")) & ~F.col("c").rlike("(?iu)" + R.starts(R.VAR)))
-    coded = coded.select("file_path", "scope", "line", apart(F.col("c")).alias("c"), begins.alias("begins"), F.expr(R.OF_HEADER).alias("of_header"))
+    coded = coded.select("file_path", "scope", "line", "c", begins.alias("begins"), F.expr(R.OF_HEADER).alias("of_header"))
     heads = R.headers(facts).select("file_path", F.explode(F.sequence("line", "last_line")).alias("line"))
     plain = coded.where("NOT of_header").unionByName(coded.where("of_header").join(heads, ["file_path", "line"], "left_anti"))
     said = plain.select("file_path", "scope", "line", "begins", F.posexplode(F.split("c", ";")).alias("k", "s")).where(F.btrim("s") != "")
     looped, low = F.lit(False), F.expr(R.folded("s"))
     for word in ("for", "для"):
         looped = looped | F.contains(low, F.lit(word))
-    said = said.select("file_path", "scope", "line", "k", apart(F.col("s")).alias("s"), looped.alias("looped"), (F.contains("s", F.lit("=")) & (F.col("begins") | (F.col("k") > 0))).alias("set"))
+    said = said.select("file_path", "scope", "line", "k", "s", looped.alias("looped"), (F.contains("s", F.lit("=")) & (F.col("begins") | (F.col("k") > 0))).alias("set"))
     part = lambda p, i: F.coalesce(F.when(F.col("looped") if p != ASSIGNED else F.col("set"), F.regexp_extract("s", p, i)), F.lit(""))
-    found = said.select("file_path", "scope", "line", "k", apart(F.col("s")).alias("s"), "looped", "set", part(FOR_EACH, 1).alias("each"), part(FOR_TO, 1).alias("to"), part(ASSIGNED, 1).alias("given"))
+    found = said.select("file_path", "scope", "line", "k", "s", "looped", "set", part(FOR_EACH, 1).alias("each"), part(FOR_TO, 1).alias("to"), part(ASSIGNED, 1).alias("given"))
     each, to, given = (F.col(c) != "" for c in ("each", "to", "given"))
     target = F.when(each, F.col("each")).when(to, F.col("to")).when(given, F.col("given"))
     rest = F.when(each, part(FOR_EACH, 2)).when(to, part(FOR_TO, 2)).when(given, part(ASSIGNED, 2)).otherwise(F.col("s"))
-    return found.select("file_path", "scope", "line", "k", target.alias("target"), F.when(each, "loop").when(to, "count").otherwise("write").alias("kind"), apart(rest).alias("rest"))
+    return found.select("file_path", "scope", "line", "k", target.alias("target"), F.when(each, "loop").when(to, "count").otherwise("write").alias("kind"), rest.alias("rest"))
 
 
 def events(facts: DataFrame) -> DataFrame:
