@@ -80,6 +80,12 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_levels(logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Logits whose last two bits, which make no difference, hold the level of ``counts``, so that both are one lookup."""
+    level = LEVEL[np.minimum(counts, len(LEVEL) - 1)]
+    return ((logits.astype(np.float32).view(np.int32) & ~3) | level).view(np.float32)
+
+
 class Code:
     """Huffman code of symbols 0 to n - 1 by weight: the nodes and bits from the root to each."""
 
@@ -106,25 +112,49 @@ class Code:
             self.nodes[place], self.bits[place] = parent[node] - n, side[node]
             at[symbol] = parent[node]
         self.inner = max(1, n - 1)
-        self.mix = np.arange(1, self.inner + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)
+        # Four levels of a walk share a group of 16 slots, which lie together in memory: by the node where they begin, and the bits since.
+        level = np.arange(len(self.nodes)) - np.repeat(self.start, self.size)
+        begin, self.leaf = np.arange(len(self.nodes)) - level % 4, np.ones(len(self.nodes), np.uint8)
+        for back in range(3):
+            rows = np.flatnonzero(level % 4 > back)
+            self.leaf[rows] = 2 * self.leaf[rows] + self.bits[begin[rows] + back]
+        self.mix = (self.nodes[begin].astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+
+    def counters(self, counts: np.ndarray) -> np.ndarray:
+        """Occurrences of both bits of every node, from those of the symbols."""
+        places = 2 * self.nodes.astype(np.int64) + self.bits
+        return np.bincount(places, np.repeat(counts, self.size), 2 * self.inner).astype(np.int64).reshape(-1, 2)
+
+
+class Words:
+    """The most frequent words with their counts, as one string; each worker makes one dictionary of it."""
+
+    def __init__(self, held: list[tuple[bytes, int]]):
+        self.joined, self.counts = b"\n".join(w for w, _ in held), np.array([c for _, c in held] or [0], np.int64)
+        self.size, self.place = len(held), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None}
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word by frequency, -1 for words that are not held."""
+        if self.place is None:
+            self.place = dict(zip(self.joined.split(b"\n"), range(self.size)))  # no word has a line end
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
 
 
 class Model:
     """What all tasks share: symbols, code, counters, weights and map."""
 
     def __init__(self, top: list[tuple[bytes, int]], rare_mass: float, table_bits: int = 18):
-        self.ids = {word: i for i, (word, _) in enumerate(top)}
         self.counts = np.array([c for _, c in top], float)
         self.rare, self.first, self.bits = len(top), len(top) + 1, table_bits
         self.code = Code([*self.counts, max(rare_mass, 0.5)])
         self.base = np.log10(np.append(self.counts + 0.5, 1.0))
-        self.slots = [self.code.inner, 1 << table_bits, 1 << table_bits]
+        self.slots = [len(self.code.size), 2 << table_bits, 2 << table_bits]  # of the first context symbols are counted; its nodes follow from them
         self.weights = np.tile(np.array([0.4, 0.3, 0.3, 0.0]), (GATES, 1))
         self.map, self.moved = np.zeros((STEPS, 2)), np.zeros((GATES, 4))
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, words, repeat(self.rare)), np.int64, len(words))
-
     def contexts(self, symbols: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols one and two places before each; firsts: where texts begin."""
         one = np.concatenate([[self.first], symbols[:-1]]).astype(np.uint64)
@@ -134,22 +164,24 @@ class Model:
         return one, two
 
     def decisions(self, symbols: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Owner token, bit and the slots in the three tables of every decision."""
+        """Owner token, bit, place in the code and the slots in the two hashed tables of every decision."""
         size = self.code.size[symbols]
-        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
-        at = np.arange(len(owner), dtype=np.int32) + (self.code.start[symbols] - (np.cumsum(size, dtype=np.int32) - size))[owner]
-        node, bit = self.code.nodes[at], self.code.bits[at]
+        owner = np.repeat(np.arange(len(symbols)), size)
+        at = np.repeat(self.code.start[symbols] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        bit = self.code.bits.take(at)
         c1 = one * np.uint64(0x9E3779B97F4A7C15)
         c1 ^= c1 >> np.uint64(29)
         c2 = c1 * np.uint64(0xBF58476D1CE4E5B9) + two * np.uint64(0xC2B2AE3D27D4EB4F)
         c2 ^= c2 >> np.uint64(29)
-        mix, slots = self.code.mix[node], [node]
+        mix, leaf, slots = self.code.mix.take(at), self.code.leaf.take(at), [at]
         for c in (c1, c2):
-            h = (c >> np.uint64(32)).astype(np.uint32)[owner]
+            h = np.repeat((c >> np.uint64(32)).astype(np.uint32), size)
             h += mix
             h *= np.uint32(0x85EBCA6B)
             h >>= np.uint32(32 - self.bits)
-            slots.append(h)
+            h ^= leaf
+            slots.append(h.astype(np.int64))  # take() is slow with other types
         return owner, bit, slots
 
     def pieces(self, symbols: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]:
@@ -160,43 +192,49 @@ class Model:
             yield part, self.decisions(symbols[part], one[part], two[part])
 
     def ready(self) -> None:
-        """For learning: logits of all counters with one occurrence of the bit left out (by slot and bit), and their levels."""
-        self.without, self.levels = [], []
+        """For learning: logits of all counters with one occurrence of the bit left out, by place in the code or by slot and bit."""
+        self.logits = []
         for t in self.tables:
             x = np.empty(t.shape, np.float32)
             x[:, 1] = _logs(np.maximum(t[:, 1] - 1, 0)) - _logs(t[:, 0])
             x[:, 0] = _logs(t[:, 1]) - _logs(np.maximum(t[:, 0] - 1, 0))
-            self.without.append(x.reshape(-1))
-            self.levels.append(LEVEL[np.minimum(np.maximum(t.sum(axis=1) - 1, 0), len(LEVEL) - 1)])
+            self.logits.append(_with_levels(x, np.maximum(t.sum(axis=1, dtype=np.int64) - 1, 0)[:, None]).reshape(-1))
+        self.logits[0] = self.logits[0][2 * self.code.nodes.astype(np.int64) + self.code.bits]
 
     def seal(self) -> None:
-        """For scoring: logits and levels of all counters take the place of the counters."""
-        self.logits = [_logs(t[:, 1]) - _logs(t[:, 0]) for t in self.tables]
-        self.levels = [LEVEL[np.minimum(t.sum(axis=1), len(LEVEL) - 1)] for t in self.tables]
-        self.tables = self.without = None
+        """For scoring: logits of all counters, by place in the code or by slot, take the place of the counters."""
+        self.logits = [_with_levels(_logs(t[:, 1]) - _logs(t[:, 0]), t.sum(axis=1, dtype=np.int64)) for t in self.tables]
+        self.logits[0] = self.logits[0][self.code.nodes]
+        self.tables = None
 
     def slim(self, *names: str) -> "Model":
         """A copy without the words and without attributes ``names``, to send to tasks."""
         import copy
 
         out = copy.copy(self)
-        for name in ("ids", "more", "base", "counts", *names):
+        for name in ("words", "base", "counts", *names):
             out.__dict__.pop(name, None)
         return out
 
-    def mixed(self, x: list[np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The gate, and the mixed logit in steps of 1 / ``GRAIN`` from -12."""
-        gate = 4 * self.levels[1][slots[1]] + self.levels[2][slots[2]]
-        return gate, self.steps(x, gate)
+    def inputs(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Logits of every decision and the gate that they pick."""
+        x = [t.take(s) for t, s in zip(self.logits, slots)]
+        gate = x[1].view(np.int32) & 3
+        gate <<= 2
+        gate |= x[2].view(np.int32) & 3
+        return x, gate.astype(np.int64)
 
     def steps(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        w = self.weights.T.astype(np.float32)
-        z = w[3][gate]
+        """The mixed logit in steps of 1 / ``GRAIN`` from -12."""
+        w = np.ascontiguousarray(self.weights.T, np.float32)
+        w *= np.float32(GRAIN)
+        w[3] += np.float32(12 * GRAIN)
+        z = w[3].take(gate, mode="clip")
         for k in range(3):
-            z += w[k][gate] * x[k]
-        z += np.float32(12)
-        z *= np.float32(GRAIN)
-        return np.clip(z, 0, 24 * GRAIN, out=z).astype(np.int32)
+            part = w[k].take(gate, mode="clip")
+            part *= x[k]
+            z += part
+        return np.clip(z, 0, 24 * GRAIN, out=z).astype(np.int64)
 
     def table(self) -> np.ndarray:
         """log10 probability of bits 0 and 1 at each step of the mixed logit, as the map refines it."""
@@ -210,24 +248,27 @@ class Model:
         """log10 probability of each symbol in its context."""
         out, table = np.zeros(len(symbols)), self.table()
         for part, (owner, bit, slots) in self.pieces(symbols, firsts):
-            _, step = self.mixed([t[s] for t, s in zip(self.logits, slots)], slots)
-            out[part] = np.bincount(owner, table[2 * step + bit], part.stop - part.start)
+            step = self.steps(*self.inputs(slots))
+            step <<= 1
+            step += bit
+            out[part] = np.bincount(owner, table.take(step), part.stop - part.start)
         return out
 
     def learn(self, symbols: np.ndarray, firsts: np.ndarray) -> None:
         """Online steps of weights and map over a run of training symbols."""
         sigmoid = (1 / (1 + np.exp(-np.linspace(-12, 12, 24 * GRAIN + 1)))).astype(np.float32)
         for _, (_, bit, slots) in self.pieces(symbols, firsts):
-            x = [t[(s << (1 if s.dtype != np.uint32 else np.uint32(1))) + bit] for t, s in zip(self.without, slots)]
-            gate = 4 * self.levels[1][slots[1]] + self.levels[2][slots[2]]
-            steps = []
+            for slot in slots[1:]:
+                slot <<= 1
+                slot += bit
+            (x, gate), steps = self.inputs(slots), []
             for at in range(0, len(bit), STEP):
                 part = slice(at, at + STEP)
                 inputs, g, b = [v[part] for v in x], gate[part], bit[part]
                 steps.append(self.steps(inputs, g))
-                miss = b - sigmoid[steps[-1]]
+                miss = b - sigmoid.take(steps[-1])
                 seen = np.maximum(np.bincount(g, minlength=GATES), 1)
-                pull = np.stack([np.bincount(g, miss * v, GATES) / seen for v in (*inputs, 1)], axis=1)
+                pull = np.stack([np.bincount(g, v, GATES) / seen for v in (*(miss * v for v in inputs), miss)], axis=1)
                 self.moved += pull * pull
                 self.weights += RATE * pull / np.sqrt(self.moved + 1e-6)
             near = (np.concatenate(steps) + 3 * GRAIN // 8) // (3 * GRAIN // 4)
@@ -307,32 +348,33 @@ def vocabulary(tokens: DataFrame, symbols: int | None = None, table_bits: int |
     most, bits = sized(n)
     symbols, table_bits = symbols or most, table_bits or bits
     held = frequent(counts, max(symbols, HELD_WORDS), symbols)
-    top, more = held[:symbols], held[symbols:]
+    top = held[:symbols]
     model = Model(top, n - sum(c for _, c in top) + 0.5 * (v - len(top) + 1), table_bits)
-    model.more = dict(more)
+    model.words = Words(held)
     return model, counts, n, v
 
 
 def coded(tokens: DataFrame, model: Model, *names: str) -> DataFrame:
     """Columns ``names`` of ``tokens`` with rid, ids (symbols), n_tokens, known, many (rare tokens), heavy and held_logs
     (sums of log10 weights that tasks know) and rare (the other words, for a join)."""
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    shared = tokens.sparkSession.sparkContext.broadcast((model.words, model.base, model.rare))  # code and tables are not needed here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rows, place = shared.value, 0, TaskContext.get().partitionId() << 33
+        (known, base, rare), rows, place = shared.value, 0, TaskContext.get().partitionId() << 33
         for b, row, stop, words, firsts in _runs(batches):
-            ids, size = m.symbols(words), stop - row
+            found, size = known.places(words), stop - row
+            ids = np.where((found < 0) | (found > rare), rare, found)
             bounds = np.append(firsts, len(ids))
             text = np.repeat(np.arange(size), np.diff(bounds))
-            at = np.flatnonzero(ids == m.rare)
-            held = np.fromiter((m.more.get(words[i], 0) for i in at), np.int64, len(at))
+            at = np.flatnonzero(ids == rare)
+            held = np.where(found[at] < 0, 0, known.counts[found[at]])
             far = at[held == 0]
             sent = np.bincount(text[far], minlength=size)
             arrays = {
                 "rid": pa.array(place + rows + np.arange(size)), **{c: b.slice(row, size)[c] for c in names},
                 "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
                 "n_tokens": pa.array(np.diff(bounds), pa.int64()), "known": pa.array(np.diff(bounds) - sent, pa.int64()),
-                "many": pa.array(np.bincount(text[at], minlength=size), pa.int64()), "heavy": pa.array(np.bincount(text, m.base[ids], size), pa.float64()),
+                "many": pa.array(np.bincount(text[at], minlength=size), pa.int64()), "heavy": pa.array(np.bincount(text, base[ids], size), pa.float64()),
                 "held_logs": pa.array(np.bincount(text[at], np.where(held > 0, np.log10(held + 0.5), 0), size).astype(float)),
                 "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sent)]), pa.int32()), pa.array([words[i] for i in far], pa.binary())),
             }
@@ -363,15 +405,14 @@ def fitted(model: Model, known: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sums = [np.zeros(2 * size, np.int64) for size in m.slots]
+        sums = [np.zeros(size, np.int64) for size in m.slots]
         for _, ids, firsts in _coded(batches):
+            sums[0] += np.bincount(ids, minlength=len(sums[0]))
             for _, (_, bit, slots) in m.pieces(ids, firsts):
-                for total, slot in zip(sums, slots):
-                    place = 2 * slot.astype(np.int64) + bit
-                    if len(total) <= 8 * len(place):
-                        total += np.bincount(place, minlength=len(total))
-                    else:
-                        np.add.at(total, place, 1)
+                for total, place in zip(sums[1:], slots[1:]):
+                    place <<= 1
+                    place += bit
+                    np.add.at(total, place, 1)
         for t, total in enumerate(sums):
             for chunk in range(0, len(total), CHUNK):
                 part = total[chunk : chunk + CHUNK].astype("<i4")
@@ -383,10 +424,14 @@ def fitted(model: Model, known: DataFrame) -> Model:
     sent = known.select("ids").coalesce(tasks).mapInArrow(count, "t int, chunk int, counts binary")
     found = stored(sent.repartition("t", "chunk").mapInArrow(_sums, "t int, chunk int, counts binary")).toArrow()  # the tables, whose size is bounded
     shared.destroy()  # what it served is stored
-    model.tables = [np.zeros((size, 2), np.int32) for size in model.slots]
-    for t, chunk, counts in zip(*(found[c].to_pylist() for c in ("t", "chunk", "counts"))):
-        part = np.frombuffer(counts, "<i8")
-        model.tables[t].reshape(-1)[chunk * CHUNK : chunk * CHUNK + len(part)] = part
+    sums = [np.zeros(model.slots[0], np.int64), *(np.zeros(size, np.int32) for size in model.slots[1:])]
+    for b in found.to_batches():
+        for t, chunk, counts in zip(b["t"].to_pylist(), b["chunk"].to_pylist(), b["counts"]):
+            part = np.frombuffer(counts.as_buffer(), "<i8")
+            sums[t][chunk * CHUNK : chunk * CHUNK + len(part)] = np.minimum(part, 2**31 - 1) if t else part
+    del found
+    model.tables = [model.code.counters(sums[0]), *(x.reshape(-1, 2) for x in sums[1:])]
+    del sums
     model.ready()
     counted = spark.sparkContext.broadcast(model.slim("tables"))
 
