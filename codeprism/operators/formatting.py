@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,22 +36,36 @@ def indents(lines: DataFrame) -> DataFrame:
     return flags.select("file_path", "line", F.greatest(depth, F.lit(0)).alias("indent"))
 
 
+def _python(pattern: str) -> str:
+    return pattern.replace(r"[^\p{L}\p{N}_]", r"\W").replace(r"[\p{L}\p{N}_]", r"\w")
+
+
+_CANON = {k.lower(): k for k in KEYWORDS}
+_PARTS, _WORD, _SIGN, _NOTE = re.compile(r'("(?:[^"]|"")*"|//.*$)'), re.compile(r"[^\W\d]\w*"), re.compile(r"\s*(<>|<=|>=|=|<|>)\s*"), re.compile(r"^//(?=[^\s/@&])")
+_LITERAL, _COMMENT = re.compile(R.STRING), re.compile(r"//.*$")
+_STEPS = tuple(re.compile(_python(p), re.I) for p in (CLOSES, OPENS, MIDDLE))
+
+
+@lru_cache(maxsize=1 << 16)  # modules repeat many lines
+def _format_line(line: str) -> tuple[str, bool, bool, bool]:
+    """A stripped line formatted but for its indent, and whether it closes, opens or divides a block."""
+    parts = _PARTS.split(line)
+    for i in range(0, len(parts), 2):
+        part = _WORD.sub(lambda m: _CANON.get(m[0].lower(), m[0]), parts[i])
+        parts[i] = _SIGN.sub(r" \1 ", part) if not part.lstrip().startswith(("#", "&")) else part
+    for i in range(1, len(parts), 2):
+        if parts[i].startswith("//"):
+            parts[i] = _NOTE.sub("// ", parts[i])
+    line = "".join(parts).strip()
+    code = _COMMENT.sub("", _LITERAL.sub('""', line)).strip()
+    return line, *(bool(p.search(code)) for p in _STEPS)
+
+
 def format_module(text: str) -> str:
     """One module: keyword case, one blank around ``=`` and comparisons, indent by tabs, comments spaced, blank lines squeezed."""
-    canon = {k.lower(): k for k in KEYWORDS}
     out, depth = [], 0
     for raw in re.split(r"\r\n|\r|\n", text.removeprefix("\ufeff")):
-        line = raw.strip()
-        parts = re.split(r'("(?:[^"]|"")*"|//.*$)', line)
-        for i in range(0, len(parts), 2):
-            part = re.sub(r"[^\W\d]\w*", lambda m: canon.get(m[0].lower(), m[0]), parts[i])
-            parts[i] = re.sub(r"\s*(<>|<=|>=|=|<|>)\s*", r" \1 ", part) if not part.lstrip().startswith(("#", "&")) else part
-        for i in range(1, len(parts), 2):
-            if parts[i].startswith("//"):
-                parts[i] = re.sub(r"^//(?=[^\s/@&])", "// ", parts[i])
-        line = "".join(parts).strip()
-        code = re.sub(r"//.*$", "", re.sub(R.STRING, '""', line)).strip()
-        closes, opens, middle = (bool(re.search(_python(p), code, re.I)) for p in (CLOSES, OPENS, MIDDLE))
+        line, closes, opens, middle = _format_line(raw.strip())
         depth = max(0, depth - closes)
         if line or (out and out[-1]):
             out.append("\t" * max(0, depth - middle) + line if line else "")
@@ -60,10 +75,6 @@ def format_module(text: str) -> str:
     return "\n".join(out) + "\n" if out else ""
 
 
-def _python(pattern: str) -> str:
-    return pattern.replace(r"[^\p{L}\p{N}_]", r"\W").replace(r"[\p{L}\p{N}_]", r"\w")
-
-
 def fix_module(text: str) -> tuple[str, dict[str, int]]:
     """Safe fixes bottom-up: self-assignments, useless returns, blank runs, double negation; counts by rule."""
     newline = "\r\n" if "\r\n" in text else "\n"
