@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeprism.functions.tables import stored
 from codeprism.functions.text import comment
 from codeprism.operators.rules import ALL_RULES
 
@@ -118,26 +119,42 @@ def with_unused(found: DataFrame, unused: DataFrame) -> DataFrame:
     return found.select("file_path", "line", "code", "severity").unionByName(unused.select("file_path", "line", F.lit("BSL-DEAD").alias("code"), F.lit("INFORMATION").alias("severity")))
 
 
-def sarif_documents(found: DataFrame, tool: str = "codeprism", version: str = "1.0.0") -> DataFrame:
-    """file_path and document: a whole SARIF 2.1.0 log as JSON for each module.
+#: Lines whose results make one piece of a log, what closes a log, and the number of the piece that does.
+SPAN, CLOSING, LAST = 1024, "]}]}", 2**31 - 1
+
 
-    Rules stand in order of first appearance, columns count from 1; a module's log is of a module's size, so
-    none gathers the corpus.
+def sarif_pieces(found: DataFrame, tool: str = "codeprism", version: str = "1.0.0") -> DataFrame:
+    """file_path, part and text: SARIF 2.1.0 logs as JSON in pieces; a module's texts, one behind the other by part, are its log.
+
+    Part 0 has all but the results, with rules in order of first appearance; the next ones have the results of
+    ``SPAN`` lines each, columns counting from 1.  No row or group grows with its module.
     """
-    rows = sarif_rows(found)
+    rows = sarif_rows(stored(found))  # rules and results read it
     names = F.create_map(*(F.lit(x) for r in {r[0]: r[1] for r in ALL_RULES}.items() for x in r))
     name = F.coalesce(F.try_element_at(names, "rule_id"), F.col("rule_id"))
     region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("start_line").alias("endLine"))
     place = F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(name.alias("text")).alias("message"), F.array(place).alias("locations"))
-    one = rows.select("uri", "start_line", "rule_id", "level", name.alias("name"), result.alias("result"))
-    rules = one.groupBy("uri", "rule_id").agg(F.min("start_line").alias("at"), F.min("level").alias("level"), F.min("name").alias("name"))
+    part_of = lambda line: (F.floor(F.col(line) / SPAN) + 1).cast("int").alias("part")
+    rules = rows.groupBy("uri", "rule_id").agg(F.min("start_line").alias("at"), F.min("level").alias("level")).withColumn("name", name)
     rule = F.struct(F.col("rule_id").alias("id"), "name", F.struct("level").alias("defaultConfiguration"))
     listed = rules.groupBy("uri").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "rule_id", rule.alias("rule")))), lambda x: x["rule"]).alias("rules"))
-    results = one.groupBy("uri").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "rule_id", "result"))), lambda x: x["result"]).alias("results"))
     driver = F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules").alias("rules")).alias("driver"))
-    log = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results").alias("results"))).alias("runs"))
-    return listed.join(results, "uri").select(F.col("uri").alias("file_path"), F.to_json(log).alias("document"))
+    log = F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.array().alias("results"))).alias("runs")))
+    ends = F.array(F.struct(F.lit(0).alias("part"), F.left(log, F.char_length(log) - len(CLOSING)).alias("text")), F.struct(F.lit(LAST).alias("part"), F.lit(CLOSING).alias("text")))
+    each = rows.groupBy("uri", part_of("start_line")).agg(F.sort_array(F.collect_list(F.struct("start_line", "rule_id", F.to_json(result).alias("result")))).alias("results"))
+    first = rules.groupBy("uri").agg(F.min("at").alias("at")).select("uri", part_of("at"), F.lit("").alias("comma"))
+    told = each.join(first, ["uri", "part"], "left").select("uri", "part", F.concat(F.coalesce("comma", F.lit(",")), F.array_join(F.transform("results", lambda x: x["result"]), ",")).alias("text"))
+    return told.unionByName(listed.select("uri", F.inline(ends))).withColumnRenamed("uri", "file_path")
+
+
+def sarif_documents(found: DataFrame, tool: str = "codeprism", version: str = "1.0.0") -> DataFrame:
+    """file_path and document: a whole SARIF 2.1.0 log as JSON for each module, put together from ``sarif_pieces``.
+
+    A row is of its module's log's size; where that is too large for one text, take the pieces.
+    """
+    texts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    return sarif_pieces(found, tool, version).groupBy("file_path").agg(F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("document"))
 
 
 def sonar_documents(found: DataFrame) -> DataFrame:

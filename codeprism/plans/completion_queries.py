@@ -96,12 +96,24 @@ query("lint_with_unused", f"""WITH {DEFAULT} SELECT file_path, line, code, sever
   AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.callee_name_lower = s.name_lower AND (c.caller_name IS NULL OR lower(c.caller_name) <> s.name_lower))""")(
     lambda r: reporting.with_unused(rules.diagnostics(r("source_lines")), index.unused_symbols(r("symbols"), r("calls")))
 )
-#: Logs are read back: number of results, codes of the rules as they stand, levels and lines of all results.
-_LOG = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<region:struct<startLine:int>>>>>>>>"
+#: Logs are read back, each piece as JSON: codes of the rules as they stand, number, levels and lines of all results.
+_LOG = "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>>>"
+_RESULTS = "array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<region:struct<startLine:int>>>>>>"
+
+
+def _read_back(pieces):
+    piece = lambda asked: F.when(F.expr(asked), F.col("text"))
+    run = F.from_json(F.concat(piece("part = 0"), F.lit(reporting.CLOSING)), _LOG)["runs"][0]
+    results = F.from_json(F.concat(F.lit("["), F.ltrim(piece(f"part > 0 AND part < {reporting.LAST}"), F.lit(",")), F.lit("]")), _RESULTS)
+    told = F.transform("results", lambda x: F.concat_ws(":", x["ruleId"], x["level"], x["locations"][0]["physicalLocation"]["region"]["startLine"].cast("string")))
+    read = pieces.select("file_path", "part", run.alias("run"), results.alias("results"))
+    brief = read.select("file_path", "part", F.array_join(F.transform("run.tool.driver.rules", lambda x: x["id"]), ",").alias("rules"), F.size("results").alias("n"), F.array_join(told, ",").alias("told"))
+    texts = F.sort_array(F.collect_list(F.when(F.col("told").isNotNull(), F.struct("part", "told"))))
+    return brief.groupBy("file_path").agg(F.max("rules").alias("rules"), F.sum(F.when(F.col("told").isNotNull(), F.col("n"))).alias("n_results"), F.array_join(F.transform(texts, lambda x: x["told"]), ",").alias("results"))
+
+
 query("report_sarif_documents", f"""WITH {DEFAULT}, seen AS (SELECT file_path, code, min(line) AS spot FROM diag GROUP BY ALL)
   SELECT file_path, (SELECT string_agg(code, ',' ORDER BY spot, code) FROM seen WHERE seen.file_path = d.file_path) AS rules, count(*) AS n_results, string_agg(code || ':' || CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END || ':' || line, ',' ORDER BY line, code) AS results
   FROM diag d GROUP BY file_path""")(
-    lambda r: reporting.sarif_documents(rules.diagnostics(r("source_lines"))).select("file_path", F.from_json("document", _LOG).alias("d")).select("file_path", F.col("d.runs")[0].alias("run"))
-    .select("file_path", F.array_join(F.transform("run.tool.driver.rules", lambda x: x["id"]), ",").alias("rules"), F.size("run.results").cast("long").alias("n_results"),
-            F.array_join(F.transform("run.results", lambda x: F.concat_ws(":", x["ruleId"], x["level"], x["locations"][0]["physicalLocation"]["region"]["startLine"].cast("string"))), ",").alias("results"))
+    lambda r: _read_back(reporting.sarif_pieces(rules.diagnostics(r("source_lines"))))
 )

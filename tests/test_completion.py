@@ -54,6 +54,16 @@ def test_documents_hold_the_rows(spark):
     assert reporting.sarif_documents(found.limit(0)).count() == 0
 
 
+def test_logs_come_in_pieces_of_bounded_size(spark):
+    lines = spark.range(1, 5001).selectExpr("'a' AS file_path", "CAST(id + 2000 AS INT) AS line", "'BSL009' AS code", "'WARNING' AS severity")
+    found = lines.unionByName(frame(spark, "file_path string, line int, code string, severity string", ("b", 1, "X1", "ERROR")))
+    pieces = sorted((tuple(r) for r in reporting.sarif_pieces(found).collect()))
+    assert max(len(t) for _, _, t in pieces) < 300 * reporting.SPAN and len([f for f, _, _ in pieces if f == "a"]) == 8
+    runs = {f: json.loads("".join(t for g, _, t in pieces if g == f))["runs"][0] for f in "ab"}
+    assert [x["locations"][0]["physicalLocation"]["region"]["startLine"] for x in runs["a"]["results"]] == list(range(2001, 7001))
+    assert [x["id"] for x in runs["b"]["tool"]["driver"]["rules"]] == ["X1"] and runs["b"]["results"][0]["message"]["text"] == "X1"
+
+
 def test_unused_symbols_join_the_report(spark):
     found = frame(spark, "file_path string, line int, code string, severity string", ("a", 3, "BSL009", "WARNING"))
     unused = frame(spark, "file_path string, line int, name string", ("a", 7, "X"))
