@@ -23,6 +23,11 @@ def codes_of(names: Sequence[str]) -> set[str]:
     return {r[0] for r in ALL_RULES if r[0].lower() in wanted or r[1].lower() in wanted}
 
 
+def wanted(select: Sequence[str] = (), ignore: Sequence[str] = ()) -> set[str]:
+    """Codes of the rules that ``choose`` leaves, so that others need not run."""
+    return (codes_of(select) if select else {r[0] for r in ALL_RULES}) - codes_of(ignore)
+
+
 def choose(found: DataFrame, select: Sequence[str] = (), ignore: Sequence[str] = (), per_file: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Diagnostics of selected, not ignored rules; ``per_file``: path pattern (SQL LIKE) to ignored rules."""
     if select:

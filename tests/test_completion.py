@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from codeprism.operators import completion, reporting
 
 
@@ -68,3 +69,9 @@ def test_unused_symbols_join_the_report(spark):
     found = frame(spark, "file_path string, line int, code string, severity string", ("a", 3, "BSL009", "WARNING"))
     unused = frame(spark, "file_path string, line int, name string", ("a", 7, "X"))
     assert [tuple(r) for r in reporting.with_unused(found, unused).orderBy("line").collect()] == [("a", 3, "BSL009", "WARNING"), ("a", 7, "BSL-DEAD", "INFORMATION")]
+
+
+def test_only_wanted_rules_run(spark):
+    assert reporting.wanted(["bsl009", "TabIndentation"], ["TabIndentation"]) == {"BSL009"} and "BSL009" not in reporting.wanted(ignore=["BSL009"])
+    plan = entry.queries()["lint_select_ignore"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "BSL004" not in plan and "BSL009" in plan
