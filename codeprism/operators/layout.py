@@ -42,39 +42,68 @@ def restored(code: Column, literals: Column) -> Column:
     return F.array_join(F.zip_with(F.split(code, '""', -1), literals, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
+def _past_headers(lines: DataFrame) -> DataFrame:
+    """``lines`` (file_path, line, c, net, held, head, begins, ...) with after_header: whether the nearest line before that has code ends a method's header, as ``rules.headers`` has it.
+
+    net counts a line's brackets and held tells lines that a header may hold.  Windows in the order that facts
+    have tell it, so no line is shuffled or sorted again.
+    """
+    order = Window.partitionBy("file_path").orderBy("line")
+    upto, prior = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda asked, c, frame: F.last(F.when(asked, c), ignorenulls=True).over(frame)
+    known = lines.withColumns({"base": last(F.col("head") == 1, F.col("total") - F.col("net"), upto), "begun": last(F.col("head") == 1, F.col("line"), upto)})
+    known = known.withColumn("closed", F.col("total") <= F.col("base"))
+    known = known.withColumns({"ended": last(F.col("held") & F.col("closed") & (F.col("c") != ""), F.col("line"), prior), "broken": last(F.col("held") & (F.col("head") == 0) & F.col("begins"), F.col("line"), upto)})
+    part = F.col("held") & (F.greatest(F.coalesce("ended", F.lit(-1)), F.coalesce("broken", F.lit(-1))) < F.col("begun"))
+    known = known.withColumn("of_header", F.coalesce(part, F.lit(False))).drop("base", "begun", "ended", "broken", "total", "net")
+    known = known.withColumn("near", last(F.col("c") != "", F.struct("line", "of_header", "closed"), prior))
+    # Open brackets end a header only where the very next line is none of its lines.
+    stops = (F.col("near.line") == F.col("line") - 1) & ~(F.col("of_header") & (F.col("head") == 0))
+    return known.withColumn("after_header", F.coalesce(F.col("near.of_header") & (F.col("near.closed") | stops), F.lit(False)))
+
+
 def formatted(lines: DataFrame, unit: str = "\t") -> DataFrame:
     """file_path, line, part and text of every line of the laid-out modules; a header's statement on the same line is part 1."""
-    facts = R.line_facts(lines)
-    ends = R.headers(facts).select("file_path", F.col("last_line").alias("line"), F.lit(1).alias("header_end"))
-    by = Window.partitionBy("file_path").orderBy("line")
-    before = F.last(F.when(F.col("c") != "", F.coalesce("header_end", F.lit(0))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    known = facts.join(ends, ["file_path", "line"], "left").withColumn("after_header", F.coalesce(before, F.lit(0)))
-    begins = F.col("c").rlike("(?iu)" + R.BEGINS) | F.col("p1").rlike("(?iu)" + ENDS) | F.col("p1").rlike("^[#&~]") | (F.col("p1") == "") | (F.col("after_header") == 1)
-    note = F.regexp_replace("note", r"^//(?=[^\s/@&])", "// ")
-    literals = F.when(F.contains("body", F.lit('"')), F.regexp_extract_all("body", F.lit(OPEN_STRING), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    order = Window.partitionBy("file_path").orderBy("line")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    net = F.char_length(F.replace("code", F.lit(")"), F.lit(""))) - F.char_length(F.replace("code", F.lit("("), F.lit("")))
+    settled = F.col("p1").rlike("(?iu)" + ENDS) | F.col("p1").rlike("^[#&~]") | (F.col("p1") == "")
+    # Windows hold whole modules, so rows have the text and the literals only where they are needed behind them.
+    narrow = R.line_facts(lines).select(
+        "file_path", "line", "inside", "head", "c", "note", net.alias("net"), F.expr(R.OF_HEADER).alias("held"), F.col("c").rlike("(?iu)" + R.BEGINS).alias("begins"), settled.alias("settled"),
+        F.when(F.col("inside") == 1, F.col("text")).alias("text"), F.when(F.contains("body", F.lit('"')), F.col("body")).alias("body"),
+    )
     split = F.col("c").rlike(HEADER) & ~F.col("c").rlike(CLOSED) & (F.col("inside") == 0)
-    head, tail = (F.regexp_extract("c", HEADER, i) for i in (1, 2))
+    is_open = lambda c: (F.col("inside") == 0) & c.rlike("(?iu)" + OPENS) & ~c.rlike(CLOSED)
+    is_word = lambda c, words: (F.col("inside") == 0) & c.rlike("(?iu)" + words)
     count = lambda c: ((F.char_length(c) - F.char_length(F.replace(c, F.lit('""'), F.lit("")))) / 2).cast("int")
-    piece = lambda part, code, own, told: F.struct(F.lit(part).alias("part"), code.alias("code"), own.alias("literals"), told.alias("told"))
-    parts = F.when(split, F.array(piece(0, head, F.slice(literals, F.lit(1), count(head)), F.lit("")), piece(1, tail, F.slice(literals, count(head) + 1, F.size(literals)), note))).otherwise(F.array(piece(0, F.col("c"), literals, note)))
-    each = known.select("file_path", "line", "text", "t", "inside", begins.alias("begins"), F.inline(parts))
-    is_open = (F.col("inside") == 0) & F.col("code").rlike("(?iu)" + OPENS) & ~F.col("code").rlike(CLOSED)
-    is_close, is_middle = ((F.col("inside") == 0) & F.col("code").rlike("(?iu)" + w) for w in (CLOSES, MIDDLE))
-    order = Window.partitionBy("file_path").orderBy("line", "part")
-    each = each.select("*", is_open.cast("int").alias("o"), is_close.cast("int").alias("x"), is_middle.cast("int").alias("m"))
-    depth = F.sum("o").over(order) - F.sum("x").over(order) - F.col("o") - F.col("m")
+    # Two statements at most stand on a line, so what windows tell is told by line.
+    halves = narrow.select("*", F.when(split, F.regexp_extract("c", HEADER, 1)).otherwise(F.col("c")).alias("first"), F.when(split, F.regexp_extract("c", HEADER, 2)).alias("second"))
+    flags = {name + c: F.coalesce(told.cast("int"), F.lit(0)) for c in ("first", "second") for name, told in (("o_", is_open(F.col(c))), ("x_", is_word(F.col(c), CLOSES)), ("m_", is_word(F.col(c), MIDDLE)))}
+    each = halves.select("*", *(c.alias(name) for name, c in flags.items())).select(
+        *narrow.columns, F.col("second").isNotNull().alias("two"), (F.col("o_first") + F.col("o_second") - F.col("x_first") - F.col("x_second")).alias("step"),
+        (F.col("x_first") + F.col("m_first")).alias("less"), (F.col("o_first") - F.col("x_first") - F.col("x_second") - F.col("m_second")).alias("then"), ((F.col("inside") == 0) & (F.col("c") == "") & (F.col("note") == "")).alias("blank"),
+    )
+    more = F.expr("lead(CASE WHEN NOT blank THEN 1 END) IGNORE NULLS OVER (PARTITION BY file_path ORDER BY line) IS NOT NULL")
+    each = each.withColumns({"total": F.sum("net").over(upto), "running": F.sum("step").over(upto), "before": F.lag("blank").over(order), "more": more})
+    each = _past_headers(each.where(~F.col("blank") | (F.col("more") & ~F.coalesce("before", F.lit(True)))).drop("blank", "before", "more"))
+    note = F.regexp_replace("note", r"^//(?=[^\s/@&])", "// ")
+    literals = F.when(F.col("body").isNotNull(), F.regexp_extract_all("body", F.lit(OPEN_STRING), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    each = each.select("file_path", "line", "text", "inside", (F.col("begins") | F.col("settled") | F.col("after_header")).alias("begins"), "c", "two", (F.col("running") - F.col("step")).alias("running"), "less", "then", note.alias("told"), literals.alias("literals"))
+    head, tail = (F.regexp_extract("c", HEADER, i) for i in (1, 2))
+    piece = lambda part, code, own, told, depth: F.struct(F.lit(part).alias("part"), code.alias("code"), own.alias("literals"), told.alias("told"), depth.alias("depth"))
+    whole_line = F.array(piece(0, F.col("c"), F.col("literals"), F.col("told"), F.col("running") - F.col("less")))
+    n, below = count(head), F.col("running") + F.col("then")
+    both = F.array(piece(0, head, F.slice("literals", F.lit(1), n), F.lit(""), F.col("running") - F.col("less")), piece(1, tail, F.slice("literals", n + 1, F.size("literals")), F.col("told"), below))
+    each = each.select("file_path", "line", "text", "inside", "begins", F.inline(F.when(F.col("two"), both).otherwise(whole_line)))
     deeper = F.when(F.col("inside") == 1, 1).when((F.col("code") == "") | F.col("code").rlike("^[#&]") | F.col("begins") | (F.col("part") == 1), 0).otherwise(1)
     code = restored(spaced(F.col("code")), F.col("literals"))
     whole = F.when(F.col("code") == "", F.col("told")).when(F.col("told") == "", code).otherwise(F.concat(code, F.lit(" "), "told"))
-    verbatim = (F.col("inside") == 1) & ~F.startswith("t", F.lit("|"))
-    content = F.when(F.col("inside") == 1, F.when(F.startswith("t", F.lit("|")), F.ltrim("text", F.lit(" \t"))).otherwise(F.col("text"))).otherwise(whole)
-    indent = F.repeat(F.lit(unit), F.greatest(F.lit(0), depth + deeper).cast("int"))
-    laid = each.select("file_path", "line", "part", "inside", F.when(verbatim | (content == ""), content).otherwise(F.concat(indent, content)).alias("text"))
-    blank = (F.btrim("text", F.lit(" \t")) == "") & (F.col("inside") == 0)
-    # From the end upwards: a frame that ends at the last line would be summed anew for each line.
-    later = F.max((~blank).cast("int")).over(Window.partitionBy("file_path").orderBy(F.col("line").desc(), F.col("part").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    marked = laid.select("*", blank.alias("blank"), F.lag(blank).over(order).alias("before")).withColumn("later", later)
-    return marked.where((F.col("later") == 1) & ~(F.col("blank") & F.coalesce("before", F.lit(True)))).select("file_path", "line", "part", "text")
+    goes_on = F.startswith(F.btrim("text", F.lit(" \t")), F.lit("|"))
+    verbatim = (F.col("inside") == 1) & ~goes_on
+    content = F.when(F.col("inside") == 1, F.when(goes_on, F.ltrim("text", F.lit(" \t"))).otherwise(F.col("text"))).otherwise(whole)
+    indent = F.repeat(F.lit(unit), F.greatest(F.lit(0), F.col("depth") + deeper).cast("int"))
+    return each.select("file_path", "line", "part", F.when(verbatim | (content == ""), content).otherwise(F.concat(indent, content)).alias("text"))
 
 
 def formatted_range(lines: DataFrame, ranges: DataFrame, unit: str = "\t") -> DataFrame:

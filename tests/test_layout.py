@@ -104,3 +104,11 @@ def test_no_frame_runs_to_the_end_of_a_module(spark):
     laid = layout.formatted(lines)
     assert [(r.line, r.text) for r in laid.orderBy("line").collect()] == [(1, "A = 1;"), (2, ""), (3, "B = 2;")]
     assert "unboundedfollowing" not in laid._jdf.queryExecution().optimizedPlan().toString().replace("specifiedwindowframe(RowFrame, unboundedpreceding$(), unboundedfollowing$())", "").lower()
+
+
+def test_layout_shuffles_lines_once_and_joins_nothing(spark):
+    lines = spark.createDataFrame([("a", 1, "Procedure A(P1,"), ("a", 2, ""), ("a", 3, "P2)"), ("a", 4, "B = 1;")], "file_path string, line int, text string")
+    laid = layout.formatted(lines)
+    plan = laid._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and laid._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r["text"] for r in laid.orderBy("line").collect()] == ["Procedure A(P1,", "", "\t\tP2)", "\tB = 1;"]
