@@ -145,3 +145,8 @@ def test_headers_over_lines_look_at_no_other_lines(spark):
     facts = R.line_facts(spark.createDataFrame([("a", i + 1, t) for i, t in enumerate(text)], "file_path string, line int, text string"))
     assert [r.unclosed for r in facts.orderBy("line").collect()] == [1] * 5 + [0] * 3 + [1] * 4
     assert sorted((r.proc_line, r.name, r.default_value) for r in R.parameters(facts).collect()) == [(1, "P1", None), (1, "P2", '"a,b"')]
+
+
+def test_conditions_stand_outside_of_lambdas():
+    hits = rules._hits(rules._codes(rules.LINE_RULES, {"BSL009", "BSL014"}))
+    assert "CASE WHEN" in hits and all("CASE" not in tail for tail in hits.split("->")[1:]) and hits.index("CASE") < hits.index("->") and "array(CASE" not in hits
