@@ -148,5 +148,5 @@ def test_headers_over_lines_look_at_no_other_lines(spark):
 
 
 def test_conditions_stand_outside_of_lambdas():
-    hits = rules._hits(rules._codes(rules.LINE_RULES, {"BSL009", "BSL014"}))
+    hits = R._hits(R._codes(R.LINE_RULES, {"BSL009", "BSL014"}))
     assert "CASE WHEN" in hits and all("CASE" not in tail for tail in hits.split("->")[1:]) and hits.index("CASE") < hits.index("->") and "array(CASE" not in hits
